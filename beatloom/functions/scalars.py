@@ -53,10 +53,6 @@ def trimmed_number(c) -> Column:
     return F.when(F.round(c) == c, F.format_string("%.0f", c)).otherwise(fixed2(c))
 
 
-def unit_velocity(v) -> Column:
-    return F.least(F.greatest(col(v).cast("double"), F.lit(0.0)), F.lit(1.0)) if v is not None else F.lit(None)
-
-
 def norm_velocity(v, mode: str = "runtime", default: float | None = None) -> Column:
     """Clamp to [0, 1]. Adapter mode divides values above one by 127 and may apply a default."""
     x = col(v).cast("double")

@@ -116,6 +116,8 @@ def value_summaries(songs: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def evaluate_charts(charts, notes, measures, expectations, focused) -> DataFrame:
+    """Reports of all charts. Notes are cut first: metrics, streaks and previews all read them."""
+    notes = cut(notes)
     metrics = M.chart_metrics(charts, notes, measures)
     pairs = charts.select("chart_id", "song_id", "key_difficulty", F.col("difficulty").alias("chart_difficulty"))
     return C.report_row(V.evaluate(metrics, pairs, expectations, focused), M.note_preview(notes))

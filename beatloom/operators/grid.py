@@ -119,9 +119,16 @@ def with_next(times: DataFrame) -> DataFrame:
     ).drop("__c")
 
 
+def _gap() -> Column:
+    """Length of a beat, at least 1e-4; null for the last one (``greatest`` skips nulls)."""
+    return F.when(
+        F.col("next_start").isNotNull(), F.greatest(F.col("next_start") - F.col("start_seconds"), F.lit(0.0001))
+    )
+
+
 def mean_beat_interval(beats: DataFrame, summary: DataFrame) -> DataFrame:
     """Mean beat length, else from the tempo, else half a second."""
-    gap = F.greatest(F.col("next_start") - F.col("start_seconds"), F.lit(0.0001))
+    gap = _gap()
     stats = with_next(beats).groupBy("track_id").agg(F.avg(gap).alias("m"))
     return stats.join(summary.select("track_id", "tempo_bpm"), "track_id", "left").select(
         "track_id",
@@ -131,9 +138,10 @@ def mean_beat_interval(beats: DataFrame, summary: DataFrame) -> DataFrame:
 
 def _snap_shift(first: Column, bar_mean: Column, tempo: Column) -> Column:
     """How far a loop starts late, when that is close enough to zero to be snapped."""
-    ref = F.coalesce(bar_mean / K.BEATS_PER_BAR, F.lit(60.0) / F.greatest(tempo, F.lit(1.0)))
+    by_tempo = F.when(tempo.isNotNull(), F.lit(60.0) / F.greatest(tempo, F.lit(1.0)))
+    ref = F.coalesce(bar_mean / K.BEATS_PER_BAR, by_tempo)
     limit = F.least(ref * K.LOOP_SNAP_BEAT_SHARE, F.lit(K.LOOP_SNAP_SECONDS))
-    snap = (first > 0) & (first <= K.LOOP_SNAP_SECONDS) & (ref > 0) & (first <= limit)
+    snap = ref.isNotNull() & (first > 0) & (first <= K.LOOP_SNAP_SECONDS) & (ref > 0) & (first <= limit)
     return F.when(snap, first).otherwise(F.lit(0.0))
 
 
@@ -255,7 +263,7 @@ def beat_durations(beats: DataFrame, summary: DataFrame) -> DataFrame:
     ``beats`` may carry ``subdivisions``; a beat is never shorter than one slot of the mean beat.
     """
     b = with_next(beats)
-    gap = F.greatest(F.col("next_start") - F.col("start_seconds"), F.lit(0.0001))
+    gap = _gap()
     mean = b.groupBy("track_id").agg(F.avg(gap).alias("__m"))
     info = mean.join(summary.select("track_id", "tempo_bpm"), "track_id", "left").select(
         "track_id",
@@ -334,7 +342,7 @@ def relative_onsets(hits: DataFrame, beats: DataFrame) -> DataFrame:
     Hits before the first beat or beyond the last beat's mean length are left out.
     """
     b = with_next(beats.select("track_id", "start_seconds"))
-    gap = F.greatest(F.col("next_start") - F.col("start_seconds"), F.lit(0.0001))
+    gap = _gap()
     info = b.groupBy("track_id").agg(
         F.avg(gap).alias("final_seconds"), F.max("start_seconds").alias("last_start"), F.count(F.lit(1)).alias("n_beats")
     ).where(F.col("n_beats") >= 2)
@@ -419,7 +427,8 @@ def beat_grid(
         "track_id", "confidence",
         *(["subdivisions_per_beat"] if "subdivisions_per_beat" in summary.columns else [F.lit(None).cast("int").alias("subdivisions_per_beat")]),
     )
-    explicit = F.least(F.greatest(F.col("subdivisions_per_beat"), F.lit(1)), F.lit(K.MAX_SUBDIVISIONS))
+    given = F.col("subdivisions_per_beat")
+    explicit = F.when(given.isNotNull(), F.least(F.greatest(given, F.lit(1)), F.lit(K.MAX_SUBDIVISIONS)))
     if hits is not None:
         info = info.join(cut(infer_subdivisions(hits, b)), "track_id", "left")
         chosen = F.coalesce(explicit, F.col("subdivisions"), F.lit(K.DEFAULT_SUBDIVISIONS))

@@ -190,3 +190,11 @@ def focused_expectations(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(2).alias("min_note_count"),
         F.lit(5).alias("max_note_count"),
     )
+
+
+def subdivisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Explicit subdivision times for every third beat of a track."""
+    b = beats(spark, sf).where((F.col("track_id") + F.col("n")) % 3 == 0)
+    return b.select("track_id", F.explode(F.array(F.lit(0.0), F.lit(0.13), F.lit(0.26), F.lit(0.39))).alias("k"), "start_seconds").select(
+        "track_id", (F.col("start_seconds") + F.col("k")).alias("start_seconds")
+    )
