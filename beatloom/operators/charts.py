@@ -79,11 +79,9 @@ def _notes_text(what: str) -> Column:
     return F.when(F.col("analyzer_events"), a).when(F.col("timed"), b).otherwise(c)
 
 
-def grids(payloads: DataFrame, analysis: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+def grids(parts: DataFrame, analysis: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Grid of every document, and the tracks whose own timing was used."""
-    beats = cut(P.extract_times(payloads, "beats"))
-    downs = cut(P.extract_times(payloads, "downbeats"))
-    subs = cut(P.extract_times(payloads, "subdivisions"))
+    beats, downs, subs = (P.long_times(parts, x) for x in ("beats", "downbeats", "subdivisions"))
     summary = analysis.select("track_id", "tempo_bpm", "downbeat_offset", "duration_seconds", "confidence", "subdivisions_per_beat")
     timed = beats.select("track_id").distinct()
     onsets = candidates.select("track_id", F.col("candidate_seconds").alias("onset_seconds")).where(F.col("onset_seconds").isNotNull())
@@ -95,8 +93,9 @@ def grids(payloads: DataFrame, analysis: DataFrame, candidates: DataFrame) -> tu
 def generate_charts(payloads: DataFrame, generated_at: str = "1970-01-01 00:00:00") -> dict[str, DataFrame]:
     """Analysis, grid, events, summary, charts, measures and notes of every document."""
     analysis = cut(P.normalize_analysis(payloads).drop("raw"))
-    candidates = cut(P.project_hits(P.extract_hits(payloads)))
-    grid, timed = grids(payloads, analysis, candidates)
+    parts = P.document_parts(payloads)
+    candidates = cut(P.project_hits(P.long_hits(parts)))
+    grid, timed = grids(parts, analysis, candidates)
     quantized = cut(E.quantize(candidates.where(F.col("drop_reason").isNull()), grid))
     shaped = cut(H.shape_events(quantized).drop("drift_seconds"))
     events = cut(H.with_groove(shaped, grid))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from beatloom import constants as K
 from beatloom.functions import scalars as S
 from beatloom.functions import variants as V
+from beatloom.session import cut
 
 DEPTH = 8
 TIME_KEYS = {"beats": K.BEAT_KEYS, "downbeats": K.DOWNBEAT_KEYS, "subdivisions": K.SUBDIVISION_KEYS}
@@ -89,6 +90,32 @@ def times_array(payloads: DataFrame, what: str) -> DataFrame:
     return found.select("track_id", V.normalize_starts("times").alias("times"))
 
 
+def document_parts(payloads: DataFrame) -> DataFrame:
+    """Beats, downbeats, subdivisions and hits of every document in one pass.
+
+    Documents where the root lacks one of them are searched once for all of it.
+    """
+    extract = {**{k: (lambda v, keys=keys: _times_at(v, keys)) for k, keys in TIME_KEYS.items()}, "hits": _hits_at}
+    direct = cut(payloads.select("track_id", "raw", *[f("raw").alias(k) for k, f in extract.items()]))
+    lacking = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in extract]) & F.col("raw").isNotNull()
+    roots = candidate_roots(direct.where(lacking).select("track_id", "raw")).where(F.col("depth") > 0)
+    found = cut(roots.select("track_id", "depth", "path", *[f("v").alias(k) for k, f in extract.items()]))
+    deep = found.groupBy("track_id").agg(
+        *[F.min_by(k, F.when(F.col(k).isNotNull(), F.struct("depth", "path"))).alias(f"__{k}") for k in extract]
+    )
+    both = direct.drop("raw").join(deep, "track_id", "left")
+    pick = {k: F.coalesce(k, f"__{k}") for k in extract}
+    return cut(both.select("track_id", *[(V.normalize_starts(c) if k != "hits" else c).alias(k) for k, c in pick.items()]))
+
+
+def long_times(parts: DataFrame, what: str) -> DataFrame:
+    return parts.select("track_id", F.posexplode(what).alias("pos", "start_seconds"))
+
+
+def long_hits(parts: DataFrame) -> DataFrame:
+    return parts.select("track_id", F.posexplode("hits").alias("pos", "h")).select("track_id", "pos", "h.outer", "h.inner")
+
+
 def extract_times(payloads: DataFrame, what: str) -> DataFrame:
     """Beats, downbeats or subdivisions in long form: track_id, pos, start_seconds."""
     return times_array(payloads, what).select("track_id", F.posexplode("times").alias("pos", "start_seconds"))

@@ -33,10 +33,11 @@ def compose(sql: str) -> str:
     """Prefix a statement with the views it needs, in dependency order."""
     order: list[str] = []
 
-    def need(text: str):
+    def need(text: str, within: tuple = ()):
         for word in dict.fromkeys(re.findall(r"[a-z_0-9]+", text)):
-            if word in WITH and word not in order:
-                need(WITH[word])
+            # a view may have a column of its own name
+            if word in WITH and word not in order and word not in within:
+                need(WITH[word], (*within, word))
                 if word not in order:
                     order.append(word)
 

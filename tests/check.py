@@ -75,7 +75,7 @@ if __name__ == "__main__":
             else:
                 n, err = fn(spark, d).count(), ""
         except Exception as e:  # report and go on
-            err, n = f"{type(e).__name__}: {str(e)[:400]}", -1
+            err, n = f"{type(e).__name__}: {str(e).splitlines()[0][:400]}", -1
         print(f"{'ok  ' if not err else 'FAIL'} {name} rows={n} {time.time() - t:.1f}s {'sql' if name in o else 'rows'} {err[:700]}", flush=True)
         if err:
             bad.append(name)
