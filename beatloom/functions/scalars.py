@@ -86,14 +86,19 @@ def octave_fold(bpm, low: float, high: float) -> Column:
     Scaling by a power of two is exact in binary floating point, so one multiplication gives
     what repeated doubling would; one correction step covers rounding of the logarithm.
     """
-    b = col(bpm)
-    up = F.when(b < low, F.ceil(F.log2(F.lit(low) / b))).otherwise(F.lit(0))
-    x = b * F.pow(F.lit(2.0), up)
-    x = F.when(x < low, x * 2).when((up > 0) & (x / 2 >= low), x / 2).otherwise(x)
-    down = F.when(x > high, F.ceil(F.log2(x / F.lit(high)))).otherwise(F.lit(0))
-    y = x / F.pow(F.lit(2.0), down)
-    y = F.when(y > high, y / 2).when((down > 0) & (y * 2 <= high), y * 2).otherwise(y)
-    return F.when(b > 0, y)
+    def let(value, body):
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def fold(x, steps, scale, back, outside, inside):
+        # one power of two, then one step either way when the logarithm was off by a rounding error
+        moved = let(F.struct(x.alias("x"), F.when(outside(x), F.ceil(F.log2(steps(x)))).otherwise(F.lit(0)).alias("k")),
+                    lambda s: F.struct(scale(s["x"], F.pow(F.lit(2.0), s["k"])).alias("y"), s["k"].alias("k")))
+        return let(moved, lambda s: F.when(outside(s["y"]), scale(s["y"], F.lit(2.0)))
+                   .when((s["k"] > 0) & inside(back(s["y"])), back(s["y"])).otherwise(s["y"]))
+
+    times, over = (lambda v, f: v * f), (lambda v, f: v / f)
+    raised = fold(F.when(col(bpm) > 0, col(bpm)), lambda v: F.lit(low) / v, times, lambda v: v / 2, lambda v: v < low, lambda v: v >= low)
+    return fold(raised, lambda v: v / F.lit(high), over, lambda v: v * 2, lambda v: v > high, lambda v: v <= high)
 
 
 def retry_time(completed_at, attempt, max_attempts) -> Column:

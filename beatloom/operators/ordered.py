@@ -10,6 +10,7 @@ the only window over a bare key runs on summaries.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,6 +40,16 @@ def _local(by: list[str], chunk: str, order: list[str]):
     return Window.partitionBy(*by, chunk).orderBy(*order)
 
 
+def _placed(df: DataFrame, by: list[str], chunk: str) -> DataFrame:
+    """The frame partitioned by (key, chunk).
+
+    Rows without a key or a place in the order are left out. Saying so here, before the frame is
+    used twice, also keeps the two uses identical: a join would add that filter to one side only.
+    """
+    keys = [F.col(c) for c in [*by, chunk]]
+    return df.where(reduce(lambda a, b: a & b, [k.isNotNull() for k in keys])).repartition(*keys)
+
+
 def _edges(base: DataFrame, by: list[str], chunk: str, aggs: list[Column]) -> DataFrame:
     """Summary of each chunk of an already partitioned frame.
 
@@ -59,7 +70,7 @@ def neighbors(
 ) -> DataFrame:
     """``lag``/``lead`` by one row: ``{new column: source column}`` for each direction."""
     prev, next = prev or {}, next or {}
-    base = df.repartition(*[F.col(c) for c in [*by, chunk]])
+    base = _placed(df, by, chunk)
     w = _local(by, chunk, order)
     wc = Window.partitionBy(*by).orderBy(chunk)
     before, after = _struct(sorted(set(prev.values()))), _struct(sorted(set(next.values())))
@@ -100,7 +111,7 @@ def running(
 ) -> DataFrame:
     """Running sums and last non-null values up to and including each row."""
     sums, lasts = sums or {}, lasts or {}
-    base = df.repartition(*[F.col(c) for c in [*by, chunk]])
+    base = _placed(df, by, chunk)
     w = _local(by, chunk, order).rowsBetween(Window.unboundedPreceding, 0)
     wc = Window.partitionBy(*by).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     edge = _edges(

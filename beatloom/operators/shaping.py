@@ -164,7 +164,7 @@ def by_beat(collapsed: DataFrame) -> DataFrame:
     """Collapsed events partitioned once for all the windows below: by track and range of beats."""
     df = collapsed.withColumn("__beat", F.coalesce("onset_beat_index", F.lit(-1)).cast("int"))
     df = df.withColumns({"__c": O.index_chunk("__beat"), "__strength": _strength()})
-    return df.repartition("track_id", "__c")
+    return df.where(F.col("track_id").isNotNull() & F.col("__c").isNotNull()).repartition("track_id", "__c")
 
 
 def shape_roles(collapsed: DataFrame) -> DataFrame:

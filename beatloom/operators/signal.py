@@ -291,10 +291,8 @@ def promote_kicks(located: DataFrame) -> DataFrame:
     by_conf = d.where("__snare").join(need, "track_id").groupBy("track_id", "quota", "confidence").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy("track_id").orderBy(F.col("confidence").desc())
     by_conf = by_conf.withColumn("upto", F.sum("c").over(w)).withColumn("left", F.col("quota") - (F.col("upto") - F.col("c"))).where(F.col("left") > 0)
-    take = by_conf.select("track_id", F.col("confidence").alias("__conf"), F.least("left", "c").alias("places"), "c")
-    d = d.join(info.select("track_id", F.col("n_anchored")), "track_id", "left").join(
-        take, (d["track_id"] == take["track_id"]) & (d["confidence"] == take["__conf"]) & d["__snare"], "left"
-    ).drop(take["track_id"])
+    take = by_conf.select("track_id", "confidence", F.lit(True).alias("__snare"), F.least("left", "c").alias("places"), "c")
+    d = d.join(info.select("track_id", "n_anchored"), "track_id", "left").join(take, ["track_id", "confidence", "__snare"], "left")
     partial = F.col("places").isNotNull() & (F.col("places") < F.col("c"))
     rank = F.row_number().over(Window.partitionBy("track_id", "confidence", "__snare").orderBy("onset_seconds"))
     d = d.withColumn("__rank", F.when(partial, rank))
@@ -306,7 +304,7 @@ def promote_kicks(located: DataFrame) -> DataFrame:
     return d.withColumns({
         "promoted": promoted, "lane": F.when(promoted, "kick").otherwise(F.col("lane")), "label": F.when(promoted, "kick").otherwise(F.col("label")),
         "confidence": F.when(promoted, conf).otherwise(F.col("confidence")),
-    }).drop("__snare", "__anchored", "n_anchored", "__conf", "places", "c", "__rank")
+    }).drop("__snare", "__anchored", "n_anchored", "places", "c", "__rank")
 
 
 def filter_weak(located: DataFrame) -> DataFrame:

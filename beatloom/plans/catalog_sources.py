@@ -90,7 +90,7 @@ def t08(spark, sf):
     return E.order_events(e.select("track_id", "event_id", "onset_seconds", "lane"))
 
 
-@query("a29_payload_summary", """SELECT c.track_id, CASE WHEN bad OR track_id % 4 = 1 THEN NULL ELSE 100.0 + track_id % 50 END::DOUBLE AS tempo_bpm, CASE WHEN NOT bad AND shape = 0 THEN 18 ELSE 0 END AS beat_count,
+@query("a29_payload_summary", """SELECT c.track_id, CASE WHEN bad OR shape = 1 OR track_id % 4 = 1 THEN NULL ELSE 100.0 + track_id % 50 END::DOUBLE AS tempo_bpm, CASE WHEN NOT bad AND shape = 0 THEN 18 ELSE 0 END AS beat_count,
  CASE WHEN NOT bad AND shape = 0 THEN 5 ELSE 0 END AS downbeat_count, CASE WHEN NOT bad AND shape = 0 THEN n ELSE 0 END AS event_count FROM clips c""")
 def a29(spark, sf):
     return TM.summarize(CD.parsed(spark, sf))["summary"].select("track_id", "tempo_bpm", "beat_count", "downbeat_count", "event_count")
@@ -276,7 +276,7 @@ def a21(spark, sf):
     return SG.tempo(V.hits(spark, sf)).withColumn("tempo_bpm", F.round("tempo_bpm", 4))
 
 
-@query("a21_beat_tempo", f"SELECT track_id, round({_fold('70.0', '220.0')}, 2) AS tempo_bpm, round(b, 2) AS plain FROM (SELECT track_id, 60/median(g) FILTER (g > 0) AS b FROM gaps GROUP BY 1)")
+@query("a21_beat_tempo", f"SELECT track_id, round(round_even({_fold('70.0', '220.0')}, 3), 2) AS tempo_bpm, round(b, 2) AS plain FROM (SELECT track_id, 60/median(g) FILTER (g > 0) AS b FROM gaps GROUP BY 1)")
 def a21b(spark, sf):
     h = V.hits(spark, sf)
     return SG.tempo(h, "beat").join(SG.tempo(h, "plain").select("track_id", F.round("tempo_bpm", 2).alias("plain")), "track_id").withColumn("tempo_bpm", F.round("tempo_bpm", 2))
@@ -514,7 +514,7 @@ def s02(spark, sf):
     # manifests of at most a few hundred songs each
     j = j.withColumn("part", F.pmod(F.xxhash64("s.id"), F.lit(8)))
     root = work_dir(spark, "corpus")
-    j.groupBy("part").agg(F.collect_list("s").alias("songs")).select("songs").write.json(root)
+    j.groupBy("part").agg(F.collect_list("s").alias("songs")).repartition(8, "part").write.partitionBy("part").json(root)
     c = files.read_corpus(spark, root, tag="smoke")
     return c["expectations"].join(c["songs"].select("song_id", F.array_contains("tags", "smoke").alias("smoke")), "song_id").select("song_id", "difficulty", F.size("required_lanes").alias("required"), "smoke")
 
