@@ -75,27 +75,14 @@ def _times_at(v, keys: list[str]) -> Column:
     return F.get(F.filter(found, lambda t: F.size(t) > 0), F.lit(0))
 
 
-def _first_root(payloads: DataFrame, extract, name: str) -> DataFrame:
-    """``extract`` on the document itself, else on the first nested root where it finds anything."""
-    direct = payloads.withColumn(name, extract("raw"))
-    rest = candidate_roots(direct.where(F.col(name).isNull() & F.col("raw").isNotNull()).select("track_id", "raw"))
-    deep = rest.select("track_id", "depth", "path", extract("v").alias(name)).where(F.col(name).isNotNull())
-    deep = deep.groupBy("track_id").agg(F.min_by(name, F.struct("depth", "path")).alias(name))
-    return direct.where(F.col(name).isNotNull()).select("track_id", name).unionByName(deep)
-
-
-def times_array(payloads: DataFrame, what: str) -> DataFrame:
-    """``track_id, times``: the normalised times of a document."""
-    found = _first_root(payloads, lambda v: _times_at(v, TIME_KEYS[what]), "times")
-    return found.select("track_id", V.normalize_starts("times").alias("times"))
-
-
-def document_parts(payloads: DataFrame) -> DataFrame:
+def document_parts(payloads: DataFrame, *only: str) -> DataFrame:
     """Beats, downbeats, subdivisions and hits of every document in one pass.
 
-    Documents where the root lacks one of them are searched once for all of it.
+    Documents where the root lacks one of them are searched once for all of it. ``only`` names
+    the parts that are wanted.
     """
     extract = {**{k: (lambda v, keys=keys: _times_at(v, keys)) for k, keys in TIME_KEYS.items()}, "hits": _hits_at}
+    extract = {k: f for k, f in extract.items() if not only or k in only}
     direct = cut(payloads.select("track_id", "raw", *[f("raw").alias(k) for k, f in extract.items()]))
     lacking = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in extract]) & F.col("raw").isNotNull()
     roots = candidate_roots(direct.where(lacking).select("track_id", "raw")).where(F.col("depth") > 0)
@@ -117,8 +104,8 @@ def long_hits(parts: DataFrame) -> DataFrame:
 
 
 def extract_times(payloads: DataFrame, what: str) -> DataFrame:
-    """Beats, downbeats or subdivisions in long form: track_id, pos, start_seconds."""
-    return times_array(payloads, what).select("track_id", F.posexplode("times").alias("pos", "start_seconds"))
+    """Beats, downbeats or subdivisions in long form: track_id, pos, start_seconds."""
+    return long_times(document_parts(payloads, what), what)
 
 
 # --- hits ---------------------------------------------------------------------------------
@@ -177,9 +164,7 @@ def extract_hits(payloads: DataFrame) -> DataFrame:
     Twenty-three container paths are tried in order, the first non-empty one wins; a hit wrapped
     in event/hit/drum keeps both objects, inner keys winning.
     """
-    return _first_root(payloads, _hits_at, "hits").select("track_id", F.posexplode("hits").alias("pos", "h")).select(
-        "track_id", "pos", F.col("h.outer").alias("outer"), F.col("h.inner").alias("inner")
-    )
+    return long_hits(document_parts(payloads, "hits"))
 
 
 def project_hits(raw_hits: DataFrame, version: str = "runtime") -> DataFrame:

@@ -257,13 +257,13 @@ WITH["in_bar_b"] = WITH["in_bar"].replace("notes_a", "notes_b")
 WITH["runs_b"] = WITH["runs"].replace("notes_a", "notes_b")
 WITH["cm_b"] = WITH["cm"].replace("FROM nc c", "FROM nc_b c").replace("notes_a", "notes_b").replace("in_bar", "in_bar_b").replace("JOIN runs r", "JOIN runs_b r").replace("FROM lu ", "FROM lu_b ")
 _eval_views("_b", "cm_b")
-_LINE = "concat(tick, '|', beat_index, '|', subdivision_index, '|', lane, '|', round(velocity, 6))"
+_LINE = "concat(tick, '|', beat_index, '|', subdivision_index, '|', lane, '|', round(velocity*1000000)::BIGINT)"
 
 
 @query("e01_preview_changes", f"""SELECT chart_id, 'added' AS change, line FROM (SELECT chart_id, {_LINE} AS line FROM preview_b EXCEPT SELECT chart_id, {_LINE} FROM preview_a)
  UNION ALL SELECT chart_id, 'removed', line FROM (SELECT chart_id, {_LINE} AS line FROM preview_a EXCEPT SELECT chart_id, {_LINE} FROM preview_b)""")
 def e01(spark, sf):
-    text = F.concat_ws("|", "tick", "beat_index", "subdivision_index", "lane", r6("velocity"))
+    text = F.concat_ws("|", "tick", "beat_index", "subdivision_index", "lane", F.round(F.col("velocity") * 1000000).cast("long"))
     side = lambda n: M.note_preview(n).select("chart_id", text.alias("line"))
     return C.preview_changes(side(V.notes_base(spark, sf)), side(V.notes_cand(spark, sf)), ["chart_id"])
 

@@ -276,10 +276,10 @@ def a21(spark, sf):
     return SG.tempo(V.hits(spark, sf)).withColumn("tempo_bpm", F.round("tempo_bpm", 4))
 
 
-@query("a21_beat_tempo", f"SELECT track_id, round(round_even({_fold('70.0', '220.0')}, 3), 2) AS tempo_bpm, round(b, 2) AS plain FROM (SELECT track_id, 60/median(g) FILTER (g > 0) AS b FROM gaps GROUP BY 1)")
+@query("a21_beat_tempo", f"SELECT track_id, round_even({_fold('70.0', '220.0')}, 3) AS tempo_bpm, round(b, 6) AS plain FROM (SELECT track_id, 60/median(g) FILTER (g > 0) AS b FROM gaps GROUP BY 1)")
 def a21b(spark, sf):
     h = V.hits(spark, sf)
-    return SG.tempo(h, "beat").join(SG.tempo(h, "plain").select("track_id", F.round("tempo_bpm", 2).alias("plain")), "track_id").withColumn("tempo_bpm", F.round("tempo_bpm", 2))
+    return SG.tempo(h, "beat").join(SG.tempo(h, "plain").select("track_id", r6("tempo_bpm").alias("plain")), "track_id")
 
 
 @query("a22_timing_confidence", """SELECT s.track_id, round(least(greatest(greatest(1 - sd/greatest(m, 1e-6), 0), 0.2), 0.99), 3) AS plain, round(least(greatest(greatest(1 - sd/greatest(m, 1e-6), 0) + CASE WHEN s.track_id % 3 = 0 THEN 0.08 ELSE -0.05 END, 0.2), 0.99), 3) AS beat

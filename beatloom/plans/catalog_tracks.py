@@ -116,15 +116,15 @@ def j03(spark, sf):
 # --- grid -----------------------------------------------------------------------------
 
 
-@query("g01_fallback_grid", """SELECT track_id, b AS beat_index, b // 4 AS bar_index, b % 4 + 1 AS beat_in_bar, b*4 + s AS subdivision_index, round(st, 6) AS start_seconds,
- round(least(spb/4, greatest(dur - st, 0)), 6) AS duration_seconds, (b % 4 = 0 AND s = 0) AS is_downbeat
+@query("g01_fallback_grid", """SELECT track_id, b AS beat_index, b // 4 AS bar_index, b % 4 + 1 AS beat_in_bar, b*4 + s AS subdivision_index, round(st, 8) AS start_seconds,
+ round(least(spb/4, greatest(dur - st, 0)), 8) AS duration_seconds, (b % 4 = 0 AND s = 0) AS is_downbeat
  FROM (SELECT *, (off + b*spb) + s/4.0::DOUBLE*spb AS st FROM (SELECT *, unnest(range(greatest(ceil((dur - off)/spb)::INT, 1))) AS b FROM (
  SELECT *, greatest(coalesce(duration_seconds, off + spb*4), off + spb) AS dur FROM (SELECT *, 60.0::DOUBLE/greatest(coalesce(tempo_bpm, 120), 1) AS spb,
  greatest(coalesce(downbeat_offset, 0), 0) AS off FROM summary))), range(4) r(s)) WHERE st <= dur + 0.0001""")
 def g01(spark, sf):
     return G.fallback_grid(V.summary(spark, sf)).select(
-        "track_id", "beat_index", "bar_index", "beat_in_bar", "subdivision_index", r6("start_seconds").alias("start_seconds"),
-        r6("duration_seconds").alias("duration_seconds"), "is_downbeat",
+        "track_id", "beat_index", "bar_index", "beat_in_bar", "subdivision_index", F.round("start_seconds", 8).alias("start_seconds"),
+        F.round("duration_seconds", 8).alias("duration_seconds"), "is_downbeat",
     )
 
 
