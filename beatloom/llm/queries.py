@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from beatloom.llm import warc
+from beatloom.llm import token_files, warc
 
-QUERIES = {"op2_warc_bundles": warc.op2_warc_bundles}
+QUERIES = {
+    "op2_warc_bundles": warc.op2_warc_bundles,
+    "op6_simple8b_ids": token_files.op6_simple8b_ids,
+}
 
 ORACLES = {"op2_warc_bundles": warc.OP2_SQL}
