@@ -27,37 +27,41 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, "<u8"), np.zeros(0, "<u4"), table
     ids = ids.astype(np.uint64)
-    # A selector of short codes is of use only where a whole run of ids fits; most never fit anywhere.
+    # Leave out selectors that never fit, and all that are wider than one that always fits.
     use = []
     for k, escape in enumerate(ESCAPES):
         high = np.flatnonzero(ids >= escape) if k > 1 else np.flatnonzero(ids)
         if WIDTHS[k] > 6 or np.diff(high, prepend=-1, append=n).max() > COUNTS[k]:
             use.append(k)
-    sels, counts, narrow = np.array(use), COUNTS[use].astype(np.int32), int((WIDTHS[use] <= 6).sum())
+        if not len(high):
+            break
+    sels, counts, narrow = np.array(use), COUNTS[use].astype(np.int32)[:, None], int((WIDTHS[use] <= 6).sum())
     # before[k, i]: ids before i that selector k can hold only by an escape
     before = np.zeros((len(use), n + 1), np.int32)
     for row, k in zip(before, use, strict=True):
         np.cumsum(ids >= ESCAPES[k] if k > 1 else ids != 0, out=row[1:])
-    pos = np.arange(blocks, dtype=np.int32) * BLOCK
-    ends = np.minimum(pos + BLOCK, n).astype(np.int32)
+    flat, offset = before.ravel(), (np.arange(len(use)) * (n + 1))[:, None]
+    pos = np.arange(blocks) * BLOCK
+    ends = np.minimum(pos + BLOCK, n)
     lanes, steps = np.arange(blocks), []
     while len(lanes):
         p, end = pos[lanes], ends[lanes]
-        best, took, least = np.zeros(len(lanes), np.int64), np.zeros(len(lanes), np.int32), np.full(len(lanes), np.inf, np.float32)
-        for row, k, count in zip(before, range(len(use)), counts, strict=True):
-            upto = np.minimum(p + count, end)
-            wrong, n_ids = row[upto] - row[p], upto - p
-            bits = (64 + 32 * wrong).astype(np.float32) / n_ids
-            better = bits < least
-            if k < narrow:
-                better &= wrong == 0
-            best[better], took[better], least[better] = sels[k], n_ids[better], bits[better]
-        steps.append((lanes, p, best, took))
-        pos[lanes] = p + took
-        lanes = lanes[p + took < end]
-    lane, p, sel, took = (np.concatenate([s[i] for s in steps]) for i in range(4))
-    order = np.argsort(p, kind="stable")
-    lane, p, sel, took = lane[order], p[order], sel[order], took[order]
+        upto = np.minimum(p + counts, end)
+        wrong = flat.take(upto + offset) - flat.take(p + offset)
+        bits = (64 + 32 * wrong).astype(np.float32) / (upto - p).astype(np.float32)
+        bits[:narrow][wrong[:narrow] > 0] = np.inf
+        best = bits.argmin(0)
+        after = upto[best, np.arange(len(lanes))]
+        steps.append((lanes, p, sels[best], after - p))
+        pos[lanes] = after
+        lanes = lanes[after < end]
+    lane = np.concatenate([s[0] for s in steps])
+    per_block = np.bincount(lane, minlength=blocks)
+    first = np.cumsum(per_block) - per_block
+    place = np.concatenate([first[s[0]] + i for i, s in enumerate(steps)])
+    p, sel, took = (np.empty(len(lane), np.int64) for _ in range(3))
+    for i, column in enumerate((p, sel, took), 1):
+        column[place] = np.concatenate([s[i] for s in steps])
     words = sel.astype(np.uint64) << np.uint64(60)
     padded = np.concatenate([ids, np.zeros(int(COUNTS.max()), np.uint64)])
     for k in np.unique(sel[sel > 1]):
@@ -67,7 +71,7 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         codes[lanes_of >= took[at, None]] = 0
         words[at] |= np.bitwise_or.reduce(codes << (lanes_of * int(WIDTHS[k])).astype(np.uint64), axis=1)
     escaped = np.flatnonzero((ids >= np.repeat(ESCAPES[sel], took)) & np.repeat(sel > 1, took))
-    table["words"] = np.bincount(lane, minlength=blocks)
+    table["words"] = per_block
     table["exceptions"] = np.bincount(escaped // BLOCK, minlength=blocks)
     table["word_at"] = np.cumsum(table["words"]) - table["words"]
     table["exception_at"] = np.cumsum(table["exceptions"]) - table["exceptions"]

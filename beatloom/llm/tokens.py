@@ -14,9 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A space between two characters that are no white space.
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: Pieces with these are encoded alone.
+SPECIAL = re.compile(r"<\||[\s\u0120]")
 ODD_SPACE = re.compile(r" \s|\s |^ | $")
 
 
@@ -32,19 +35,33 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4")
         self.spaced, self.limit, self.part = spaced, memo, part
         self.known: dict[str, bytes] = {}
-        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
-        self.mark = special[0] if special and all("<|" in t for t, _ in special) else None
+        self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.edge[[i for t, i in self.tokenizer.get_vocab().items() if (t.startswith("\u0120") if spaced else t.endswith("</w>"))]] = True
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, pieces: list[str], out: list[bytes], which: list[int], between: str, edge: np.ndarray, first: bool) -> None:
+        """Encode pieces many at a time; ``edge`` marks the ids that start (``first``) or end each piece."""
+        groups, size = [which[at : at + 128] for at in range(0, len(which), 128)], self.dtype.itemsize
+        for group, ids in zip(groups, self._ids([between.join(pieces[i] for i in g) for g in groups]), strict=True):
+            raw, at = ids.tobytes(), np.flatnonzero(edge[ids]).tolist()
+            bounds = [*at, len(ids)] if first else [0, *(i + 1 for i in at)]
+            for i, j, k in zip(group, bounds[:-1], bounds[1:], strict=True):
+                out[i] = raw[j * size : k * size]
 
     def _plain(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces, encoded as one text in which a special token stands between them."""
-        if self.mark is None or any("<|" in p for p in pieces):
-            return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-        out: list[bytes] = []
-        for at in range(0, len(pieces), 4096):
-            ids = np.array(self.tokenizer.encode(self.mark[0].join(pieces[at : at + 4096]), add_special_tokens=False).ids, self.dtype)
-            ends = np.append(np.flatnonzero(ids == self.mark[1]), len(ids)).tolist()
-            raw, size = ids.tobytes(), self.dtype.itemsize
-            out += [raw[i * size : j * size] for i, j in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)]
+        """Ids of pieces. Most are encoded many at a time and told apart in the ids: by the space that opens
+        each of them, or by the mark that closes a word; those with unusual characters are encoded alone."""
+        out: list[bytes] = [b""] * len(pieces)
+        if self.spaced:
+            many = [i for i, p in enumerate(pieces) if not SPECIAL.search(p, 1)]
+        else:
+            many = [i for i, p in enumerate(pieces) if p.lower().isalpha()]
+        alone = sorted(set(range(len(pieces))).difference(many))
+        for i, ids in zip(alone, self._ids([pieces[i] for i in alone]), strict=True):
+            out[i] = ids.tobytes()
+        self._joined(pieces, out, many, "" if self.spaced else " ", self.edge, self.spaced)
         return out
 
     def _cut(self, text: str) -> tuple[str, list[str]]:
@@ -77,7 +94,7 @@ class Encoder:
                 size += len(texts[end])
                 end += 1
             cuts = [self._cut(t) for t in texts[at:end]]
-            heads = self._plain([h for h, _ in cuts]) if self.spaced else [b""] * len(cuts)
+            heads = [ids.tobytes() for ids in self._ids([h for h, _ in cuts])] if self.spaced else [b""] * len(cuts)
             out += [head + ids for head, ids in zip(heads, self._known([rest for _, rest in cuts]), strict=True)]
             at = end
         return out
@@ -96,7 +113,7 @@ def encoder(path: str, spaced: bool) -> Encoder:
 def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 23) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of a batch of about ``most`` bytes of text, with the texts; null texts are empty."""
     texts = batch.column(column)
-    lengths = np.array(pa.compute.fill_null(pa.compute.binary_length(texts), 0))
+    lengths = np.array(pc.fill_null(pc.binary_length(texts), 0))
     ends = np.cumsum(lengths)
     at = 0
     while at < batch.num_rows:
