@@ -33,7 +33,7 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         high = np.flatnonzero(ids >= escape) if k > 1 else np.flatnonzero(ids)
         if WIDTHS[k] > 6 or np.diff(high, prepend=-1, append=n).max() > COUNTS[k]:
             use.append(k)
-        if not len(high):
+        if use and not len(high):
             break
     sels, counts, narrow = np.array(use), COUNTS[use].astype(np.int32)[:, None], int((WIDTHS[use] <= 6).sum())
     # before[k, i]: ids before i that selector k can hold only by an escape
