@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from beatloom.llm import token_files, warc
+from beatloom.llm import packing, token_files, warc
 
 QUERIES = {
     "op2_warc_bundles": warc.op2_warc_bundles,
     "op6_simple8b_ids": token_files.op6_simple8b_ids,
+    "op8_mixture_packing": packing.op8_mixture_packing,
 }
 
 ORACLES = {"op2_warc_bundles": warc.OP2_SQL}

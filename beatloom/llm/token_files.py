@@ -137,7 +137,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, spaced: bool, end_id
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     order = ["doc_id", F.xxhash64("text")]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    files = stage(dealt.mapInArrow(write, "shard int, file string, documents long, ids long"), "token-files")
+    files = stage(dealt.mapInArrow(write, "shard long, file string, documents long, ids long"), "token-files")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return files.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 
