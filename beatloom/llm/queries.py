@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from beatloom.llm import packing, token_files, warc
+from beatloom.llm import packing, pii, token_files, warc
 
 QUERIES = {
+    "op1_pii_spans": pii.op1_pii_spans,
     "op2_warc_bundles": warc.op2_warc_bundles,
     "op6_simple8b_ids": token_files.op6_simple8b_ids,
     "op8_mixture_packing": packing.op8_mixture_packing,
