@@ -19,28 +19,35 @@ ESCAPES = np.array([(1 << int(w)) - 1 if w else 0 for w in WIDTHS], np.uint64)
 BLOCK_DTYPE = np.dtype([("word_at", "<u8"), ("exception_at", "<u8"), ("words", "<u4"), ("exceptions", "<u4"), ("ids", "<u4")])
 
 
+def _longest(high: np.ndarray) -> int:
+    """Length of the longest run without a mark."""
+    at = np.flatnonzero(high)
+    return int(max(at[0], len(high) - 1 - at[-1], (at[1:] - at[:-1]).max(initial=1) - 1)) if len(at) else len(high)
+
+
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, exceptions and a block table (places count words and exceptions) of an array of ids below 2^32."""
+    """Words, exceptions and a block table (places count words and exceptions) of an array of ids below 2^32 - 1."""
     n = len(ids)
     blocks = -(-n // BLOCK)
     table = np.zeros(blocks, BLOCK_DTYPE)
     if not n:
         return np.zeros(0, "<u8"), np.zeros(0, "<u4"), table
-    ids = ids.astype(np.uint64)
+    ids = ids.astype(np.uint32, copy=False)
+    if ids.max() == 0xFFFFFFFF:
+        raise ValueError("the largest 32-bit number is no id")
     # Leave out selectors that never fit, and all that are wider than one that always fits.
-    use = []
-    for k, escape in enumerate(ESCAPES):
-        high = np.flatnonzero(ids >= escape) if k > 1 else np.flatnonzero(ids)
-        if WIDTHS[k] > 6 or np.diff(high, prepend=-1, append=n).max() > COUNTS[k]:
+    use, before = [], []  # before[k][i]: ids before i that selector k can hold only by an escape
+    for k, escape in enumerate(ESCAPES.tolist()):
+        high = ids >= min(escape, 0xFFFFFFFF) if k > 1 else ids != 0
+        if WIDTHS[k] > 6 or _longest(high) >= COUNTS[k]:
             use.append(k)
-        if use and not len(high):
+            before.append(np.zeros(n + 1, np.int32))
+            np.cumsum(high, out=before[-1][1:])
+        if use and not high.any():
             break
     sels, counts, narrow = np.array(use), COUNTS[use].astype(np.int32)[:, None], int((WIDTHS[use] <= 6).sum())
-    # before[k, i]: ids before i that selector k can hold only by an escape
-    before = np.zeros((len(use), n + 1), np.int32)
-    for row, k in zip(before, use, strict=True):
-        np.cumsum(ids >= ESCAPES[k] if k > 1 else ids != 0, out=row[1:])
-    flat, offset = before.ravel(), (np.arange(len(use)) * (n + 1))[:, None]
+    before = np.concatenate(before)
+    flat, offset = before, (np.arange(len(use)) * (n + 1))[:, None]
     pos = np.arange(blocks) * BLOCK
     ends = np.minimum(pos + BLOCK, n)
     lanes, steps = np.arange(blocks), []
@@ -63,14 +70,16 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for i, column in enumerate((p, sel, took), 1):
         column[place] = np.concatenate([s[i] for s in steps])
     words = sel.astype(np.uint64) << np.uint64(60)
-    padded = np.concatenate([ids, np.zeros(int(COUNTS.max()), np.uint64)])
+    padded = np.concatenate([ids, np.zeros(int(COUNTS.max()), np.uint32)])
     for k in np.unique(sel[sel > 1]):
         at = np.flatnonzero(sel == k)
         lanes_of = np.arange(COUNTS[k])
-        codes = np.minimum(padded[p[at, None] + lanes_of], ESCAPES[k])
+        codes = np.minimum(padded[p[at, None] + lanes_of].astype(np.uint64), ESCAPES[k])
         codes[lanes_of >= took[at, None]] = 0
         words[at] |= np.bitwise_or.reduce(codes << (lanes_of * int(WIDTHS[k])).astype(np.uint64), axis=1)
-    escaped = np.flatnonzero((ids >= np.repeat(ESCAPES[sel], took)) & np.repeat(sel > 1, took))
+    bound = np.minimum(ESCAPES, 0xFFFFFFFF).astype(np.uint32)
+    bound[:2] = 0xFFFFFFFF
+    escaped = np.flatnonzero(ids >= np.repeat(bound[sel], took))
     table["words"] = per_block
     table["exceptions"] = np.bincount(escaped // BLOCK, minlength=blocks)
     table["word_at"] = np.cumsum(table["words"]) - table["words"]

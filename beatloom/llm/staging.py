@@ -22,3 +22,8 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a folder or file, usable in tasks and in the driver alike."""
     return fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "", 1))
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Deal few rows that stand for much work, such as file names, to as many tasks as a shuffle has."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from beatloom.llm import simple8b
-from beatloom.llm.staging import filesystem, stage
+from beatloom.llm.staging import filesystem, spread, stage
 from beatloom.llm.tokens import encoder, slices
 from beatloom.session import work_dir
 
@@ -157,7 +157,7 @@ def read_ids(manifest: DataFrame) -> DataFrame:
                     start += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    dealt = manifest.select("file", "start").repartition("file")
+    dealt = spread(manifest.select("file", "start"), "file")
     return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -27,7 +27,7 @@ class Encoder:
     """Ids of texts. ``spaced``: the pre-tokenizer keeps a space before a word (byte-level kind); otherwise
     white space is dropped. ``memo`` bounds the distinct pieces kept; ``part`` the characters at work."""
 
-    def __init__(self, path: str, spaced: bool, memo: int = 800_000, part: int = 1 << 20) -> None:
+    def __init__(self, path: str, spaced: bool, memo: int = 1_600_000, part: int = 1 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
