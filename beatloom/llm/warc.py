@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beatloom.llm.staging import filesystem, stage
+from beatloom.llm.staging import filesystem, spread, stage
 from beatloom.session import work_dir
 
 # Fixed values of the seekable format.
@@ -205,7 +205,7 @@ def read_bundles(index: DataFrame) -> DataFrame:
                         rows.append(row)
                     yield _batch(rows)
 
-    return index.select("bundle").distinct().mapInArrow(read, RECORD_SCHEMA)
+    return spread(index.select("bundle").distinct(), "bundle").mapInArrow(read, RECORD_SCHEMA)
 
 
 def read_records(index: DataFrame, wanted: DataFrame) -> DataFrame:
