@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from beatloom.llm import packing, pii, simhash, token_files, warc
+from beatloom.llm import packing, pii, simhash, token_files, toxicity, warc
 
 QUERIES = {
     "op1_pii_spans": pii.op1_pii_spans,
     "op2_warc_bundles": warc.op2_warc_bundles,
+    "op3_toxicity_scores": toxicity.op3_toxicity_scores,
     "op4_simhash_groups": simhash.op4_simhash_groups,
     "op6_simple8b_ids": token_files.op6_simple8b_ids,
     "op8_mixture_packing": packing.op8_mixture_packing,
