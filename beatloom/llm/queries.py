@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from beatloom.llm import packing, pii, simhash, token_files, toxicity, warc
+from beatloom.llm import decontaminate, packing, pii, simhash, token_files, toxicity, warc
 
 QUERIES = {
     "op1_pii_spans": pii.op1_pii_spans,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity_scores": toxicity.op3_toxicity_scores,
     "op4_simhash_groups": simhash.op4_simhash_groups,
     "op6_simple8b_ids": token_files.op6_simple8b_ids,
+    "op7_benchmark_passages": decontaminate.op7_benchmark_passages,
     "op8_mixture_packing": packing.op8_mixture_packing,
 }
 
