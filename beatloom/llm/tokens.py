@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces with these are encoded alone.
 SPECIAL = re.compile(r"<\||[\s\u0120]")
+#: Where lower-casing may differ between libraries, or make a special token of a text.
+BEYOND_LATIN = re.compile(r"[^\x00-\u024f]|\u0130|<\|")
 ODD_SPACE = re.compile(r" \s|\s |^ | $")
 
 
@@ -35,6 +37,8 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4")
         self.spaced, self.limit, self.part = spaced, memo, part
         self.known: dict[str, bytes] = {}
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.lowers = not spaced and ids("ABC ÀŽ Ǆ") == ids("abc àž ǆ")
         self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.edge[[i for t, i in self.tokenizer.get_vocab().items() if (t.startswith("\u0120") if spaced else t.endswith("</w>"))]] = True
 
@@ -67,6 +71,8 @@ class Encoder:
     def _cut(self, text: str) -> tuple[str, list[str]]:
         """A head to encode as it stands and the pieces after it."""
         if not self.spaced:
+            if self.lowers and not BEYOND_LATIN.search(text):
+                text = text.lower()
             return "", text.replace("\n", " ").split(" ")
         head, *rest = LONE_SPACE.split(text) if ODD_SPACE.search(text) else text.split(" ")
         return head, rest
