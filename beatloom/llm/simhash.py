@@ -162,10 +162,10 @@ def group_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The same columns, one row of each group: the document with the smallest doc_id. Rows that share
-    it are kept as they are; documents without doc_id are kept."""
-    lost = group_documents(docs, doc_id, text).filter("doc_id != component_id").select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, docs[doc_id] == F.col("__lost"), "left_anti")
+    """The same columns, one document of each group: that with the smallest doc_id. A doc_id stands for
+    one document, so rows that repeat it stay or go together; rows without doc_id stay."""
+    lost = group_documents(docs, doc_id, text).filter("doc_id != component_id").select(F.col("doc_id").alias("__lost"))
+    return docs.join(stage(lost, "simhash-lost"), F.col(doc_id).cast("long") == F.col("__lost"), "left_anti")
 
 
 def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
