@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from beatloom.llm import decontaminate, packing, pii, projections, simhash, token_files, toxicity, warc
+from beatloom.llm import decontaminate, packing, pii, projections, secrets, simhash, token_files, toxicity, warc
 
 QUERIES = {
     "op1_pii_spans": pii.op1_pii_spans,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_benchmark_passages": decontaminate.op7_benchmark_passages,
     "op8_mixture_packing": packing.op8_mixture_packing,
     "op9_projection_groups": projections.op9_projection_groups,
+    "op10_secret_spans": secrets.op10_secret_spans,
 }
 
 ORACLES = {"op2_warc_bundles": warc.OP2_SQL, "op9_projection_groups": projections.OP9_SQL}
