@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from beatloom.llm import decontaminate, packing, pii, projections, secrets, simhash, token_files, toxicity, warc
+from beatloom.llm import decontaminate, licenses, packing, pii, projections, secrets, simhash, token_files, toxicity, warc
 
 QUERIES = {
     "op1_pii_spans": pii.op1_pii_spans,
     "op2_warc_bundles": warc.op2_warc_bundles,
     "op3_toxicity_scores": toxicity.op3_toxicity_scores,
     "op4_simhash_groups": simhash.op4_simhash_groups,
+    "op5_license_rules": licenses.op5_license_rules,
     "op6_simple8b_ids": token_files.op6_simple8b_ids,
     "op7_benchmark_passages": decontaminate.op7_benchmark_passages,
     "op8_mixture_packing": packing.op8_mixture_packing,
