@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beatloom.llm.components import connected_components
-from beatloom.llm.staging import stage
+from beatloom.llm.staging import stage, unused
 
 SEED = 42
 MOST_BITS = 3
@@ -164,8 +164,9 @@ def group_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The same columns, one document of each group: that with the smallest doc_id. A doc_id stands for
     one document, so rows that repeat it stay or go together; rows without doc_id stay."""
-    lost = group_documents(docs, doc_id, text).filter("doc_id != component_id").select(F.col("doc_id").alias("__lost"))
-    return docs.join(stage(lost, "simhash-lost"), F.col(doc_id).cast("long") == F.col("__lost"), "left_anti")
+    name = unused(docs, "lost_id")
+    lost = group_documents(docs, doc_id, text).filter("doc_id != component_id").select(F.col("doc_id").alias(name))
+    return docs.join(stage(lost, "simhash-lost"), F.col(doc_id).cast("long") == F.col(name), "left_anti")
 
 
 def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

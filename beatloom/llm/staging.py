@@ -27,3 +27,11 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Deal few rows that stand for much work, such as file names, to as many tasks as a shuffle has."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of the frame has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from beatloom.llm.staging import stage
+from beatloom.llm.staging import stage, unused
 from beatloom.llm.tokens import slices
 
 SAMPLE = 200_000  # labelled documents that are learnt from, at most; those with the least hash
@@ -130,8 +130,6 @@ def add_features(docs: DataFrame, model: Model, text: str = "text", name: str =
                 rows = pa.array([features(t, words, beginnings) for t in texts], pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*part.columns, rows], names=[*part.schema.names, name])
 
-    if name in docs.columns:
-        raise ValueError(f"the rows have a column {name} already")
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, ArrayType(DoubleType()))]))
 
 
@@ -163,24 +161,31 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, rounds: int = 30
     return model
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxic_score") -> DataFrame:
-    """The rows with a score from 0 to 1. Null texts are scored as empty ones; one pass, no shuffle."""
-    rows = add_features(docs, model, text)
+def _scored(docs: DataFrame, model: Model, text: str) -> DataFrame:
+    """The rows with their columns as c0, c1, ... (so that no name can clash) and a column score."""
+    rows = add_features(docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), model, f"c{docs.columns.index(text)}")
     if model.trees is None:
-        found = F.element_at("toxic_features", FEATURES.index("hand_hits") + 1)
-        return rows.withColumn(name, 1 - F.exp(-found)).drop("toxic_features")
-    own = docs.columns
+        return rows.withColumn("score", 1 - F.exp(-F.element_at("toxic_features", FEATURES.index("hand_hits") + 1)))
     rows = rows.withColumn("toxic_vector", array_to_vector("toxic_features"))
     trees = model.trees.setFeaturesCol("toxic_vector").setPredictionCol("toxic_class").setRawPredictionCol("toxic_raw").setProbabilityCol("toxic_probability")
-    calibration = model.calibration.setFeaturesCol("toxic_probability").setPredictionCol("toxic_calibrated")
-    rows = calibration.transform(trees.transform(rows))
-    return rows.select(*[f"`{c}`" for c in own], F.least(F.lit(1.0), F.greatest(F.lit(0.0), "toxic_calibrated")).alias(name))
+    calibration = model.calibration.setFeaturesCol("toxic_probability").setPredictionCol("calibrated")
+    return calibration.transform(trees.transform(rows)).withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "calibrated")))
+
+
+def _own(docs: DataFrame) -> list[Column]:
+    return [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxic_score") -> DataFrame:
+    """The rows with a score from 0 to 1, in a column that gets underscores if the name is taken. Null texts
+    are scored as empty ones; one pass, no shuffle."""
+    return _scored(docs, model, text).select(*_own(docs), F.col("score").alias(unused(docs, name)))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **names: str) -> DataFrame:
     """The rows that score below the threshold, with their own columns."""
-    scored = score(docs, fit(docs, labels, **names), names.get("text", "text"))
-    return scored.filter(F.col("toxic_score") < threshold).drop("toxic_score")
+    scored = _scored(docs, fit(docs, labels, **names), names.get("text", "text"))
+    return scored.filter(F.col("score") < threshold).select(*_own(docs))
 
 
 def op3_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
