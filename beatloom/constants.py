@@ -142,11 +142,6 @@ DOWNBEAT_KEYS = ["downbeats", "downbeatTimes", "downbeat_times"]
 SUBDIVISION_KEYS = [
     "subdivisions", "subdivisionTimes", "subdivision_times", "tatums", "tatumTimes", "tatum_times",
 ]
-INTERESTING_KEYS = [
-    "result", "output", "payload", "data", "analysis", "response", "prediction", "timing", "drums", "percussion",
-    "tracks", "track", "events", "drumEvents", "drum_events", "drumEventCandidates", "drum_event_candidates",
-    "candidates", "hits", "notes", "transcription", "detections",
-]
 HIT_PATHS = [
     "drumEvents", "drum_events", "drumEventCandidates", "drum_event_candidates", "events", "hits", "notes",
     "candidates", "drums.events", "drums.hits", "drums.candidates", "percussion.events", "percussion.hits",

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from beatloom.functions import documents as D
 from beatloom.functions import variants as V
 from beatloom.operators import payloads as P
 
@@ -30,12 +31,15 @@ def with_analyzer(tracks: DataFrame, analyze: Callable[[pd.DataFrame], pd.DataFr
         for batch in batches:
             try:
                 out = list(analyze(batch)["payload"])
+                if len(out) != len(batch):
+                    raise ValueError(f"{len(out)} payloads for {len(batch)} tracks")
                 errors = [None] * len(batch)
             except Exception:  # noqa: BLE001 - failures are data here
                 out, errors = [], []
                 for i in range(len(batch)):
                     try:
-                        out.append(analyze(batch.iloc[i : i + 1])["payload"].iloc[0])
+                        (payload,) = analyze(batch.iloc[i : i + 1])["payload"]
+                        out.append(payload)
                         errors.append(None)
                     except Exception as e:  # noqa: BLE001
                         out.append(None)
@@ -51,11 +55,19 @@ def stage_table(payloads: DataFrame) -> DataFrame:
     return payloads.withColumns({"events": P.stage_events("raw"), "warnings": texts("raw"), "has_timing": P.has_timing("raw")})
 
 
+def write_back(raw, events, warnings, defaults: dict, overrides: dict):
+    """The document with chosen hits, its warnings and runtime facts in it; null stays null."""
+    facts = lambda named: F.parse_json(F.to_json(F.struct(*[c.alias(k) for k, c in named.items()]))) if named else F.parse_json(F.lit("{}"))
+    listed = lambda x: F.parse_json(F.to_json(x))
+    return D.over(D.settled, "variant", raw, listed(events), listed(warnings), facts(defaults), facts(overrides))
+
+
 def merge_events(timing: DataFrame, events: DataFrame, policy: str = "optional") -> DataFrame:
     """Put a second stage's hits onto the timing documents.
 
     Both sides: track_id, raw, and for ``events`` an optional error text. Non-empty events replace
-    the timing side's own. With ``required``, ``violation`` names tracks that have none.
+    the timing side's own. ``raw`` comes back with the hits, warnings and runtime facts written into
+    it, so that charts are made from them. With ``required``, ``violation`` names tracks that have none.
     """
     if policy not in EVENT_POLICIES:
         raise ValueError(f"unsupported event policy {policy!r}; expected one of {sorted(EVENT_POLICIES)}")
@@ -83,10 +95,12 @@ def merge_events(timing: DataFrame, events: DataFrame, policy: str = "optional")
         F.lit(policy == "required") & ~ran,
         F.coalesce(F.concat(F.lit("required event backend failed: "), F.col("failure")), F.lit("event policy is required but no event payload was given")),
     )
+    warnings = F.concat("warnings", F.array(own), prefixed)
+    facts = {"eventPolicy": F.lit(policy), "eventBackendRan": ran, "eventBackendUsed": used, "eventBackendCandidateCount": F.when(ran, n).otherwise(F.lit(0)), "eventBackendFailure": F.col("failure")}
     return j.select(
-        "track_id", "raw",
+        "track_id", write_back(F.col("raw"), F.when(used, F.col("new_events")), warnings, {}, facts).alias("raw"),
         F.when(used, F.col("new_events")).otherwise(F.col("events")).alias("events"),
-        F.concat("warnings", F.array(own), prefixed).alias("warnings"),
+        warnings.alias("warnings"),
         ran.alias("event_backend_ran"), used.alias("event_backend_used"), F.when(ran, n).otherwise(F.lit(0)).alias("event_backend_count"),
         F.col("failure").alias("event_backend_failure"), violation.alias("violation"),
     )
@@ -96,8 +110,9 @@ def arbitrate(primary: DataFrame | None, fallback: DataFrame | None, policy: str
     """Choose between two analyzers per track.
 
     Both sides: track_id, raw, optional error. A missing or malformed document is an error. When
-    the primary has timing but no hits, the fallback's hits are merged onto it. Tracks without a
-    usable document keep a null ``raw`` and the reason in ``failure``.
+    the primary has timing but no hits, the fallback's hits are merged onto it. ``raw`` comes back with
+    the chosen hits, warnings and runtime facts written into it, so that charts are made from them.
+    Tracks without a usable document keep a null ``raw`` and the reason in ``failure``.
     """
     policy = POLICY_ALIASES.get(policy, policy)
     if policy not in FALLBACK_POLICIES:
@@ -160,13 +175,18 @@ def arbitrate(primary: DataFrame | None, fallback: DataFrame | None, policy: str
     warnings = F.when(fell, F.concat(F.coalesce("f_warnings", none), F.array("__text"))).when(
         ~no_raw, F.concat("p_warnings", F.coalesce(F.array_compact(F.array(merge_text)), none), prefixed, closing)
     )
+    selected = F.when(fell, "fallback").when(merged, "primary+fallback-events").when(~no_raw, "primary")
+    why = F.when(fell, c("__why")).otherwise(c("p_issue"))
+    defaults = {"selectedBackend": selected, "fallbackPolicy": lit(policy), "validationMode": lit(validation), "fallbackUsed": fell, "fallbackReason": why}
+    overrides = {"selectedBackend": F.when(merged, selected), "eventBackendUsed": F.when(merged, lit(True)), "eventBackendCandidateCount": F.when(merged, count("f"))}
+    chosen = F.when(fell, c("f_raw")).otherwise(c("p_raw"))
     return j.select(
         "track_id",
-        F.when(fell, c("f_raw")).otherwise(c("p_raw")).alias("raw"),
+        write_back(chosen, F.when(merged, c("f_events")), warnings, defaults, overrides).alias("raw"),
         F.when(fell, c("f_events")).when(merged, c("f_events")).otherwise(c("p_events")).alias("events"),
         warnings.alias("warnings"),
-        F.when(fell, "fallback").when(merged, "primary+fallback-events").when(~no_raw, "primary").alias("selected_backend"),
+        selected.alias("selected_backend"),
         fell.alias("fallback_used"),
-        F.when(fell, c("__why")).otherwise(c("p_issue")).alias("fallback_reason"),
+        why.alias("fallback_reason"),
         F.when(fell & c("f_raw").isNull(), F.coalesce("f_error", lit("document missing or malformed"))).when(~fell & no_raw, p_error).alias("failure"),
     )

@@ -93,7 +93,7 @@ def grids(parts: DataFrame, analysis: DataFrame, candidates: DataFrame) -> tuple
 def generate_charts(payloads: DataFrame, generated_at: str = "1970-01-01 00:00:00") -> dict[str, DataFrame]:
     """Analysis, grid, events, summary, charts, measures and notes of every document."""
     analysis = cut(P.normalize_analysis(payloads).drop("raw"))
-    parts = P.document_parts(payloads)
+    parts = cut(P.document_parts(payloads))
     candidates = cut(P.project_hits(P.long_hits(parts)))
     grid, timed = grids(parts, analysis, candidates)
     quantized = cut(E.quantize(candidates.where(F.col("drop_reason").isNull()), grid))

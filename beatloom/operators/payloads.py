@@ -1,35 +1,27 @@
 """Loose analyzer documents to typed tables.
 
 Input: ``track_id, raw`` with one VARIANT document per row (null for malformed text). Everything
-is a projection or an explode of one document, so nothing here shuffles except the rare search
-for nested roots.
+is a projection or an explode of one document, so nothing here shuffles. Searches that go to any
+depth run over the document's text, see ``functions.documents``.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beatloom import constants as K
+from beatloom.functions import documents as D
 from beatloom.functions import scalars as S
 from beatloom.functions import variants as V
-from beatloom.session import cut
-
-DEPTH = 8
-TIME_KEYS = {"beats": K.BEAT_KEYS, "downbeats": K.DOWNBEAT_KEYS, "subdivisions": K.SUBDIVISION_KEYS}
 
 
-def unwrap(v, depth: int = DEPTH) -> Column:
+def unwrap(v) -> Column:
     """Follow result/output/payload/data while an object is there."""
     v = S.col(v)
-
-    def inner(x):
-        return F.coalesce(*[V.obj(x, k) for k in K.PAYLOAD_CONTAINERS])
-
-    # one lambda applied repeatedly keeps the expression small
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), v, lambda x, _: F.coalesce(inner(x), x))
+    inner = F.coalesce(*[V.obj(v, k) for k in K.PAYLOAD_CONTAINERS])
+    # most documents are wrapped once at most; only the others are searched
+    return F.coalesce(D.over(D.unwrapped, "variant", inner), inner, v)
 
 
 def unwrap_payload(payloads: DataFrame) -> DataFrame:
@@ -37,62 +29,27 @@ def unwrap_payload(payloads: DataFrame) -> DataFrame:
     return payloads.withColumn("payload", F.coalesce(unwrap("raw"), F.parse_json(F.lit("{}"))))
 
 
-def nested_objects(payloads: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Every object of a document with its depth and path, the document itself first."""
-    level = payloads.where(V.is_object("raw")).select("track_id", F.lit(0).alias("depth"), F.lit("$").alias("path"), F.col("raw").alias("v"))
-    spark = payloads.sparkSession
-    found = [level]
-    for d in range(1, depth + 1):
-        level = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(
-            "track_id",
-            F.lit(d).alias("depth"),
-            F.concat("path", F.lit("/"), F.coalesce("key", F.lpad(F.col("pos").cast("string"), 8, "0"))).alias("path"),
-            F.col("value").alias("v"),
-        ).where(V.kind("v").isin("OBJECT", "ARRAY"))
-        found.append(level)
-    return reduce(DataFrame.unionByName, found).where(V.is_object("v"))
-
-
-def candidate_roots(payloads: DataFrame, depth: int = DEPTH) -> DataFrame:
+def candidate_roots(payloads: DataFrame) -> DataFrame:
     """Objects that may hold timing or hits, in (depth, path) order.
 
-    Of objects with the same keys only the first is kept; the rest are dropped on the map side.
+    Of objects with the same keys only the first is kept.
     """
-    keys = F.array_join(F.array_sort(F.map_keys(F.try_variant_get("v", "$", "map<string,variant>"))), "|")
-    return (
-        nested_objects(payloads, depth)
-        .groupBy("track_id", keys.alias("keys"))
-        .agg(F.min_by(F.struct("depth", "path", "v"), F.struct("depth", "path")).alias("o"))
-        .select("track_id", "o.depth", "o.path", "keys", "o.v")
-    )
-
-
-def _times_at(v, keys: list[str]) -> Column:
-    """First non-empty list of times at the keys, at the root or under ``timing``."""
-    found = F.transform(
-        F.array(*[V.get(v, k) for k in keys], *[V.get(v, "timing", k) for k in keys]), V.timing_values
-    )
-    return F.get(F.filter(found, lambda t: F.size(t) > 0), F.lit(0))
+    found = D.over(lambda doc: [{"depth": d, "path": p, "keys": k, "v": D.json.dumps(v)} for d, p, k, v in D.roots(doc)], "array<struct<depth:int,path:string,keys:string,v:string>>", "raw")
+    rows = payloads.select("track_id", F.explode(found).alias("o"))
+    return rows.select("track_id", "o.depth", "o.path", "o.keys", F.parse_json("o.v").alias("v"))
 
 
 def document_parts(payloads: DataFrame, *only: str) -> DataFrame:
     """Beats, downbeats, subdivisions and hits of every document in one pass.
 
-    Documents where the root lacks one of them are searched once for all of it. ``only`` names
-    the parts that are wanted.
+    Of each the first object that holds any counts, the document itself first. ``only`` names the
+    parts that are wanted.
     """
-    extract = {**{k: (lambda v, keys=keys: _times_at(v, keys)) for k, keys in TIME_KEYS.items()}, "hits": _hits_at}
-    extract = {k: f for k, f in extract.items() if not only or k in only}
-    direct = cut(payloads.select("track_id", "raw", *[f("raw").alias(k) for k, f in extract.items()]))
-    lacking = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in extract]) & F.col("raw").isNotNull()
-    roots = candidate_roots(direct.where(lacking).select("track_id", "raw")).where(F.col("depth") > 0)
-    found = cut(roots.select("track_id", "depth", "path", *[f("v").alias(k) for k, f in extract.items()]))
-    deep = found.groupBy("track_id").agg(
-        *[F.min_by(k, F.when(F.col(k).isNotNull(), F.struct("depth", "path"))).alias(f"__{k}") for k in extract]
-    )
-    both = direct.drop("raw").join(deep, "track_id", "left")
-    pick = {k: F.coalesce(k, f"__{k}") for k in extract}
-    return cut(both.select("track_id", *[(V.normalize_starts(c) if k != "hits" else c).alias(k) for k, c in pick.items()]))
+    wanted = list(only or (*D.TIMES, "hits"))
+    found = payloads.select("track_id", F.get(D.over(lambda doc: [D.parts(doc)], f"array<struct<{D.PARTS}>>", "raw"), 0).alias("p"))
+    parse = lambda h: F.struct(F.parse_json(h["outer"]).alias("outer"), F.parse_json(h["inner"]).alias("inner"))
+    pick = {k: V.normalize_starts(f"p.{k}") if k != "hits" else F.transform("p.hits", parse) for k in wanted}
+    return found.select("track_id", *[c.alias(k) for k, c in pick.items()])
 
 
 def long_times(parts: DataFrame, what: str) -> DataFrame:
@@ -111,58 +68,11 @@ def extract_times(payloads: DataFrame, what: str) -> DataFrame:
 # --- hits ---------------------------------------------------------------------------------
 
 
-def _hit(outer, inner) -> Column:
-    return F.struct(outer.alias("outer"), inner.alias("inner"))
-
-
-HIT_TYPE = "array<struct<outer:variant,inner:variant>>"
-
-
-def _none() -> Column:
-    return F.array().cast(HIT_TYPE)
-
-
-def _as_hit(v: Column) -> Column:
-    """The value as a hit: unwrapped event/hit/drum, or an object with a label or a time."""
-    inner = F.coalesce(*[V.obj(v, k) for k in ("event", "hit", "drum")])
-    plain = V.lane_value(V.reader(v)).isNotNull() | V.timing_value(v).isNotNull()
-    empty = F.lit(None).cast("variant")
-    return F.when(V.is_object(v), F.when(inner.isNotNull(), _hit(v, inner)).when(plain, _hit(v, empty)))
-
-
-def _listed(v: Column) -> Column:
-    """Elements of an array, or the value alone."""
-    return F.coalesce(V.items(v), F.when(V.is_object(v), F.array(v)), F.array().cast("array<variant>"))
-
-
-def _direct_hits(v: Column) -> Column:
-    return F.array_compact(F.transform(_listed(v), _as_hit))
-
-
-def _hits_in(v: Column) -> Column:
-    """Hits of a container: its elements, or for an element that is no hit the first child list."""
-
-    def element(x):
-        own = _as_hit(x)
-        children = F.transform(F.array(*[V.get(x, k) for k in K.HIT_CHILD_KEYS]), _direct_hits)
-        nested = F.get(F.filter(children, lambda c: F.size(c) > 0), F.lit(0))
-        return F.when(own.isNotNull(), F.array(own)).otherwise(F.coalesce(nested, _none()))
-
-    return F.flatten(F.transform(_listed(v), element))
-
-
-def _hits_at(v) -> Column:
-    # only containers that exist are searched
-    found = F.filter(F.array(*[V.get(v, *p.split(".")) for p in K.HIT_PATHS]), lambda c: c.isNotNull())
-    hits = F.filter(F.transform(found, _hits_in), lambda h: F.size(h) > 0)
-    return F.get(hits, F.lit(0))
-
-
 def extract_hits(payloads: DataFrame) -> DataFrame:
     """Raw hits of each document: track_id, pos, outer, inner.
 
     Twenty-three container paths are tried in order, the first non-empty one wins; a hit wrapped
-    in event/hit/drum keeps both objects, inner keys winning.
+    in event/hit/drum keeps both objects, inner keys winning. A container is searched to any depth.
     """
     return long_hits(document_parts(payloads, "hits"))
 
@@ -287,21 +197,9 @@ def timing_provenance(payload) -> Column:
     )
 
 
-def event_count(payload, depth: int = 3) -> Column:
+def event_count(payload) -> Column:
     """Length of the first event list, else the first non-zero count in a container."""
-    def size_at(v):
-        return F.coalesce(*[F.array_size(V.items(V.get(v, k))) for k in K.EVENT_COUNT_KEYS])
-
-    def count(v, d):
-        own = size_at(v)
-        if d == 0:
-            return F.coalesce(own, F.lit(0))
-        below = F.filter(
-            F.transform(F.array(*[V.obj(v, k) for k in K.EVENT_COUNT_CONTAINERS]), lambda x: count(x, d - 1)), lambda n: n > 0
-        )
-        return F.coalesce(own, F.get(below, F.lit(0)), F.lit(0))
-
-    return count(S.col(payload), depth)
+    return F.coalesce(D.over(D.event_count, "int", payload), F.lit(0))
 
 
 def event_provenance(payload) -> Column:
@@ -380,35 +278,9 @@ def segment_rows(analysis: DataFrame) -> DataFrame:
 
 # --- validation --------------------------------------------------------------------------------
 
-TIMING_KEYS = K.BEAT_KEYS + K.DOWNBEAT_KEYS + K.SUBDIVISION_KEYS
-
-
-def _has_number(v: Column) -> Column:
-    """A timing value as validation reads it: a number, or an object leading to one."""
-    plain = lambda x: ~V.kind(x).isin("STRING", "OBJECT", "ARRAY", "VOID")
-    inside = lambda x: V.first_present(x, ["seconds", "time", "start", "offset", "position"])
-
-    def ok(x):
-        a = inside(x)
-        return F.coalesce(plain(x), F.lit(False)) | F.coalesce(plain(a), F.lit(False)) | F.coalesce(plain(inside(a)), F.lit(False))
-
-    return F.coalesce(F.exists(V.items(v), ok), F.lit(False)) | ok(v)
-
-
-def has_timing(v, depth: int = 2) -> Column:
+def has_timing(v) -> Column:
     """Any of twelve timing keys at the root, under timing, in the raw output or a container."""
-    v = S.col(v)
-    here = F.exists(
-        F.array(*[V.get(v, k) for k in TIMING_KEYS], *[V.get(v, "timing", k) for k in TIMING_KEYS]),
-        lambda x: x.isNotNull() & _has_number(x),
-    )
-    if depth == 0:
-        return F.coalesce(here, F.lit(False))
-    raw = V.obj(v, "rawAnalyzerOutput")
-    below = F.exists(
-        F.filter(F.array(*[V.obj(v, k) for k in K.WRAPPER_CONTAINERS]), lambda x: x.isNotNull()), lambda x: has_timing(x, depth - 1)
-    )
-    return F.coalesce(here, F.lit(False)) | F.when(raw.isNotNull(), has_timing(raw, 0)).otherwise(F.coalesce(below, F.lit(False)))
+    return F.coalesce(D.over(D.has_timing, "boolean", v), F.lit(False))
 
 
 NO_TIMING = "payload did not contain recognizable beat/downbeat/subdivision timing"
@@ -421,18 +293,9 @@ def validate_payload(payloads: DataFrame, mode: str = "require-timing") -> DataF
     return payloads.withColumn("issue", F.when(~has_timing("raw"), NO_TIMING))
 
 
-def stage_events(v, depth: int = 2) -> Column:
+def stage_events(v) -> Column:
     """Event list of a stage document as array<variant>, null when there is none."""
-    v = S.col(v)
-    own = F.coalesce(*[V.items(V.get(v, k)) for k in K.STAGE_EVENT_KEYS])
-    if depth == 0:
-        return own
-    boxes = [*K.WRAPPER_CONTAINERS, "transcription", "drums", "percussion", "timing"]
-    below = F.filter(
-        F.transform(F.filter(F.array(*[V.obj(v, k) for k in boxes]), lambda x: x.isNotNull()), lambda x: stage_events(x, depth - 1)),
-        lambda e: F.size(e) > 0,
-    )
-    return F.coalesce(own, F.get(below, F.lit(0)))
+    return V.items(D.over(D.stage_events, "variant", v))
 
 
 # --- charts in JSON --------------------------------------------------------------------------------
