@@ -61,7 +61,7 @@ def rank_counters(counters: DataFrame) -> DataFrame:
 def _first_integer(warning: Column) -> Column:
     """First whitespace-separated token made of digits only."""
     tokens = F.filter(F.split(F.trim(warning), r"\s+"), lambda t: t.rlike("^[0-9]+$"))
-    return F.try_to_number(F.get(tokens, F.lit(0)), F.lit("999999999999")).cast("long")
+    return F.get(tokens, F.lit(0)).try_cast("bigint")
 
 
 def loop_counts(sources: DataFrame) -> DataFrame:
@@ -139,12 +139,13 @@ def loop_audit(documents: DataFrame) -> dict[str, DataFrame]:
     return {"sources": sources, "totals": loop_totals(sources)}
 
 
-def loop_markdown(sources: DataFrame, totals: DataFrame) -> DataFrame:
+def loop_markdown(sources: DataFrame, totals: DataFrame, title: str = "Loop audit") -> DataFrame:
     """Markdown lines of the loop audit: section, position, line_no, line."""
+    # --- fixed values: line labels
     text = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else F.coalesce(x.cast("string"), F.lit("None")) for x in p])
     c = F.col
     head = totals.select(F.lit(0).alias("section"), F.lit(0).alias("position"), F.posexplode(F.array(
-        F.lit("# Looperman Phase 1 Audit"), F.lit(""), text("- Sources: ", c("source_count")), text("- Stage-2 candidate count: ", c("stage2_total")),
+        F.lit(f"# {title}"), F.lit(""), text("- Sources: ", c("source_count")), text("- Stage-2 candidate count: ", c("stage2_total")),
         text("- Filtered candidates: ", c("filtered_total")), text("- Deduped candidates: ", c("deduped_total")),
         F.concat(F.lit("- Selected backends: "), F.when(c("selected_backends") != "", c("selected_backends")).otherwise("none")), F.lit(""),
     )).alias("line_no", "line"))

@@ -298,6 +298,19 @@ def j12(spark, sf):
     return AR.arbitrate(p, f, "on-error-or-invalid", "require-timing").select("track_id", "selected_backend", "fallback_used")
 
 
+@query("j12_chosen_hits", """SELECT c.track_id, f.n AS events, f.n AS told, 'primary+fallback-events' AS selected_backend, 'stage2_backend' AS event_source
+ FROM clips c JOIN fb f USING (track_id) WHERE c.shape = 1 AND NOT c.bad AND f.has_events""")
+def j12_hits(spark, sf):
+    """Hits and runtime facts as later steps read them from documents onto which hits were merged."""
+    p, f = two_sources(spark, sf)
+    docs = AR.arbitrate(p, f, "on-error-or-invalid", "require-timing").where(F.col("selected_backend") == "primary+fallback-events")
+    told = X.integer(X.get("raw", "runtime", "eventBackendCandidateCount"))
+    return docs.select(
+        "track_id", P.event_count("raw").alias("events"), told.alias("told"), X.text(X.get("raw", "runtime", "selectedBackend")).alias("selected_backend"),
+        P.event_provenance("raw")["event_source"].alias("event_source"),
+    )
+
+
 @query("u01_with_analyzer", "SELECT track_id, CASE WHEN track_id % 5 = 0 THEN NULL ELSE concat('{\"beats\":[', n, ']}') END AS payload, CASE WHEN track_id % 5 = 0 THEN 'no signal' END AS error FROM clips")
 def u01(spark, sf):
     def analyze(batch):

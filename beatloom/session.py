@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -28,12 +29,22 @@ def local_session(cpus: int | str = 8, name: str = "beatloom") -> SparkSession:
     return spark
 
 
-def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder for written tables: in the cluster's shared folder, or local in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one in spark.checkpoint.dir.
+
+    A local session, whose executors are the driver itself, may do without and gets a scratch folder.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("BEATLOOM_TEST_DIR")
+    if not root and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        root = os.environ["BEATLOOM_TEST_DIR"] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if not root:
-        root = os.environ.get("BEATLOOM_TEST_DIR") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{root.rstrip('/')}/beatloom/{purpose}-{uuid.uuid4().hex}"
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return root.rstrip("/")
+
+
+def work_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder for written tables below the shared root."""
+    return f"{shared_root(spark)}/beatloom/{purpose}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -43,7 +54,6 @@ def cut(df: DataFrame) -> DataFrame:
     composite jobs call this between their stages.
     """
     sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(root or os.environ.get("BEATLOOM_TEST_DIR") or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from beatloom.functions import scalars as S
 
 
-def artifact_names(df: DataFrame) -> DataFrame:
+def artifact_names(df: DataFrame, suffix: str = ".chart.json") -> DataFrame:
     """Adds ``file_name``: base name, time stamp and the first characters of the workflow.
 
     ``df``: source_uri, workflow_id, created_at.
@@ -16,7 +16,7 @@ def artifact_names(df: DataFrame) -> DataFrame:
     stem = F.regexp_replace(F.substring_index("source_uri", "/", -1), r"\.[^.]*$", "")
     name = F.concat(
         S.chart_base_name(stem), F.lit("--"), S.file_timestamp("created_at"), F.lit("--"),
-        F.lower(F.substring(F.col("workflow_id").cast("string"), 1, 6)), F.lit(".modchart.json"),
+        F.lower(F.substring(F.col("workflow_id").cast("string"), 1, 6)), F.lit(suffix),
     )
     return df.withColumn("file_name", name)
 
