@@ -38,6 +38,7 @@ class Encoder:
         self.spaced, self.limit, self.part = spaced, memo, part
         self.known: dict[str, bytes] = {}
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.marks = {m: np.array(ids("a" + m)[len(ids("a")) :], self.dtype).tobytes() for m in ",."}
         self.lowers = not spaced and ids("ABC ÀŽ Ǆ") == ids("abc àž ǆ")
         self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.edge[[i for t, i in self.tokenizer.get_vocab().items() if (t.startswith("\u0120") if spaced else t.endswith("</w>"))]] = True
@@ -83,8 +84,12 @@ class Encoder:
             self.known.clear()
         found = [list(map(self.known.get, pieces)) for pieces in cuts]
         missing = [[i for i, ids in enumerate(f) if ids is None] for f in found]
-        new = list({pieces[i] for pieces, at in zip(cuts, missing, strict=True) for i in at})
-        self.known.update(zip(new, self._plain([" " + p for p in new] if self.spaced else new), strict=True))
+        new = {pieces[i] for pieces, at in zip(cuts, missing, strict=True) for i in at}
+        # A comma or full stop after letters is a pre-token of its own: the ids of the word are mostly known.
+        marked = [p for p in new if p[-1:] in self.marks and p[:-1].isalpha()]
+        plain = list(new.difference(marked).union(p[:-1] for p in marked).difference(self.known))
+        self.known.update(zip(plain, self._plain([" " + p for p in plain] if self.spaced else plain), strict=True))
+        self.known.update((p, self.known[p[:-1]] + self.marks[p[-1]]) for p in marked)
         for pieces, f, at in zip(cuts, found, missing, strict=True):
             for i in at:
                 f[i] = self.known[pieces[i]]
