@@ -471,7 +471,7 @@ def f07(spark, sf):
 # --- files: each query writes what it derives from the tables to the shared folder and reads it back --------
 
 
-@query("s01_read_charts", "SELECT chart_id::VARCHAR AS song_id, 'normal' AS key_difficulty, count(*) AS n FROM notes_a WHERE chart_id % 13 <> 0 GROUP BY ALL")
+@query("s01_read_charts", "SELECT chart_id::VARCHAR AS song_id, 'normal' AS key_difficulty, count(*) AS n, sum(tick) AS ticks, count(DISTINCT lane) AS lanes FROM notes_a WHERE chart_id % 13 <> 0 GROUP BY ALL")
 def s01(spark, sf):
     charts = V.charts(spark, sf).select("chart_id")
     n = V.notes_base(spark, sf).join(charts, "chart_id").select("chart_id", F.struct("tick", "lane", F.col("beat_index").alias("beatIndex")).alias("n"))
@@ -480,28 +480,9 @@ def s01(spark, sf):
         F.col("chart_id"), F.to_json(F.struct(F.struct(F.lit("normal").alias("difficulty"), "notes").alias("chart"))).alias("value")
     )
     root = work_dir(spark, "charts")
-    write_named(docs.select(F.concat(F.col("chart_id").cast("string"), F.lit("--normal.json")).alias("name"), "value"), root)
+    sinks.write_documents(docs.select(F.concat(F.col("chart_id").cast("string"), F.lit("--normal.json")).alias("name"), "value"), root)
     t = files.chart_tables(files.read_charts(spark, root))
-    return t["notes"].join(t["charts"], "chart_id").groupBy("song_id", "key_difficulty").agg(F.count(F.lit(1)).alias("n"))
-
-
-def write_named(df, root):
-    """Write rows of (name, value) as files of that name through Hadoop's file system, on the executors' behalf.
-
-    Spark names its own output files, so each document is first written to its own partition folder
-    and then renamed; only names pass through the driver, in folders of bounded size.
-    """
-    spark = df.sparkSession
-    df.write.partitionBy("name").text(root)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    base = jvm.org.apache.hadoop.fs.Path(root)
-    fs = base.getFileSystem(conf)
-    for folder in fs.listStatus(base):
-        p = folder.getPath()
-        if p.getName().startswith("name="):
-            for f in fs.listStatus(p):
-                if f.getPath().getName().startswith("part-"):
-                    fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(p, p.getName()[5:]))
+    return t["notes"].join(t["charts"], "chart_id").groupBy("song_id", "key_difficulty").agg(F.count(F.lit(1)).alias("n"), F.sum("tick").alias("ticks"), F.count_distinct("lane").alias("lanes"))
 
 
 @query("s02_read_corpus", "SELECT song_id::VARCHAR AS song_id, 'prototype' AS difficulty, len(req) AS required, smoke FROM exp JOIN songs USING (song_id) WHERE smoke")
@@ -511,19 +492,19 @@ def s02(spark, sf):
         F.col("song_id").cast("string").alias("id"), "title", F.col("source_fixture").alias("sourceFixture"), F.col("source_type").alias("sourceType"), "tags",
         F.array(F.struct(F.lit("prototype").alias("difficulty"), F.col("required_lanes").alias("requiredLanes"))).alias("expectations"),
     ).alias("s"))
-    # manifests of at most a few hundred songs each
-    j = j.withColumn("part", F.pmod(F.xxhash64("s.id"), F.lit(8)))
+    # manifests of at most 256 songs each
+    j = j.withColumn("part", F.floor(F.col("s.id").cast("long") / 256))
     root = work_dir(spark, "corpus")
-    j.groupBy("part").agg(F.collect_list("s").alias("songs")).repartition(8, "part").write.partitionBy("part").json(root)
+    j.groupBy("part").agg(F.collect_list("s").alias("songs")).repartition("part").write.partitionBy("part").json(root)
     c = files.read_corpus(spark, root, tag="smoke")
     return c["expectations"].join(c["songs"].select("song_id", F.array_contains("tags", "smoke").alias("smoke")), "song_id").select("song_id", "difficulty", F.size("required_lanes").alias("required"), "smoke")
 
 
-@query("s03_read_payloads", "SELECT count(*) AS files, count(*) FILTER (NOT bad) AS valid FROM clips")
+@query("s03_read_payloads", "SELECT concat('clip-', track_id) AS track_id, NOT bad AS is_valid FROM clips")
 def s03(spark, sf):
     root = work_dir(spark, "payloads")
-    write_named(CD.payloads(spark, sf).select(F.concat(F.lit("clip-"), F.col("track_id").cast("string"), F.lit(".json")).alias("name"), F.col("text").alias("value")), root)
-    return files.read_payloads(spark, root).agg(F.count(F.lit(1)).alias("files"), F.count_if("is_valid").alias("valid"))
+    sinks.write_documents(CD.payloads(spark, sf).select(F.concat(F.lit("clip-"), F.col("track_id").cast("string"), F.lit(".json")).alias("name"), F.col("text").alias("value")), root)
+    return files.read_payloads(spark, root).select("track_id", "is_valid")
 
 
 @query("s04_read_log_json", "SELECT o_orderkey // 16 AS first_batch, count(*) AS items FROM orders GROUP BY 1")
@@ -550,7 +531,7 @@ def s05(spark, sf):
 @query("s06_audio_manifest")
 def s06(spark, sf):
     root = work_dir(spark, "audio")
-    h = V.hits(spark, sf).select((F.col("event_id") % 8).alias("b"), F.col("onset_seconds").cast("string").alias("value"))
+    h = V.hits(spark, sf).select(F.floor(F.col("event_id") / 5000).alias("b"), F.col("onset_seconds").cast("string").alias("value"))
     h.repartition("b").write.partitionBy("b").text(root)
     return files.audio_manifest(spark, root).select("path", "size", "content_type", "sha256")
 
@@ -593,7 +574,7 @@ def as_stream(df, root, parts=3):
 @query("st01_stream_charts")
 def st01(spark, sf):
     root, out = work_dir(spark, "stream-in"), work_dir(spark, "stream-charts")
-    write_named(CD.payloads(spark, sf).select(F.concat(F.lit("clip-"), F.col("track_id").cast("string"), F.lit(".json")).alias("name"), F.col("text").alias("value")), root)
+    sinks.write_documents(CD.payloads(spark, sf).select(F.concat(F.lit("clip-"), F.col("track_id").cast("string"), F.lit(".json")).alias("name"), F.col("text").alias("value")), root)
     ST.stream_charts(spark, root, out, out + "-checkpoint").awaitTermination()
     return spark.read.option("basePath", f"{out}/charts").parquet(f"{out}/charts").select("chart_id", "timing_source", "difficulty")
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +37,28 @@ def write_artifacts(df: DataFrame, root: str, mode: str = "append") -> None:
     df.select(*keys, "file_name", body.alias("document")).write.mode(mode).partitionBy(*keys).json(root)
 
 
+def write_documents(df: DataFrame, root: str) -> int:
+    """Every row (name, value) as a file of that name below a shared folder; returns how many.
+
+    Tasks write the files themselves, under a passing name first, so a retried task replaces a file by
+    the same content and readers never see half of one.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(root if "://" in root else root.replace("file:", "", 1))
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            for name, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                passing = f"{base}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(passing, compression=None) as out:
+                    out.write((value or "").encode())
+                system.move(passing, f"{base}/{name}")
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    rows = df.select(F.col("name").cast("string"), F.col("value").cast("string")).mapInArrow(write, "n long")
+    return rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def write_report(lines: DataFrame, results: DataFrame, json_path: str, text_path: str) -> None:
     """Report as JSON rows and as ordered text.
 
