@@ -237,7 +237,9 @@ def f02(spark, sf):
     )
 
 
-@query("f03_fixed_text")
+@query("f03_fixed_text", """SELECT event_id, text AS plain, CASE WHEN v >= 0 THEN '+' || text ELSE text END AS with_sign FROM (
+ SELECT event_id, v, CASE WHEN v < 0 AND d = 0 THEN '-' ELSE '' END || d::VARCHAR AS text FROM (
+ SELECT event_id, v, CAST(round(CAST(CAST(v AS VARCHAR) AS DECIMAL(34, 17)), 2) AS DECIMAL(34, 2)) AS d FROM (SELECT event_id, value - 100 AS v FROM events)))""")
 def f03(spark, sf):
     v = F.col("value") - 100
     return V.table(spark, sf, "events").select("event_id", S.fixed2(v).alias("plain"), S.signed(v, True).alias("with_sign"))

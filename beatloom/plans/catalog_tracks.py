@@ -174,7 +174,7 @@ def j13(spark, sf):
 
 
 @query("j14_interior_anchors", """SELECT s.track_id, b.n AS beat_index, round(s.start_seconds, 6) AS anchor_seconds FROM subdivisions s JOIN beats b
- ON s.track_id = b.track_id AND s.start_seconds > b.start_seconds + 0.0005 AND s.start_seconds < b.start_seconds + 0.5 - 0.0005""")
+ ON s.track_id = b.track_id AND b.n = floor(s.start_seconds / 0.5::DOUBLE) WHERE s.start_seconds > b.start_seconds + 0.0005 AND s.start_seconds < b.start_seconds + 0.5 - 0.0005""")
 def j14(spark, sf):
     b = V.beats(spark, sf).select("track_id", F.col("n").alias("beat_index"), "start_seconds", (F.col("start_seconds") + 0.5).alias("next_start"))
     return G.interior_anchors(b, V.subdivisions(spark, sf)).select("track_id", "beat_index", r6("anchor_seconds").alias("anchor_seconds"))

@@ -17,6 +17,8 @@ from beatloom import constants as K
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 WITH: dict[str, str] = {}
+#: Views that others name many times over; the checking engine computes them once.
+SHARED = {"collapsed", "bb", "acc", "sh0", "hats", "open_hat", "closed_hat", "texture"}
 
 
 def query(name: str, sql: str | None = None):
@@ -44,7 +46,7 @@ def compose(sql: str) -> str:
     need(sql)
     if not order:
         return sql
-    return "WITH " + ",\n".join(f"{n} AS ({WITH[n]})" for n in order) + "\n" + sql
+    return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' * (n in SHARED)}({WITH[n]})" for n in order) + "\n" + sql
 
 
 def r6(c) -> Column:
