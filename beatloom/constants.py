@@ -18,56 +18,66 @@ TOM_LANES = ["tom_high", "tom_mid", "tom_low"]
 # --- fixed values: label aliases per lane, by map version -------------------------
 LANE_ALIASES = {
     "runtime": {
-        "kick": "kick bd bass_drum bassdrum bass_drum_1 bass_drum_2 bassdrum_1 bassdrum_2 kik kick_drum",
-        "snare": "snare sd sn rimshot rim cross_stick side_stick sidestick",
-        "hihat_closed": "hihat_closed closed_hihat closed_hat closed_hi_hat hhc hat_closed hi_hat_closed chh hh hihat",
-        "hihat_open": "hihat_open open_hihat open_hat open_hi_hat hho hat_open hi_hat_open ohh",
-        "tom_low": "tom_low low_tom floor_tom floortom floor_tom_low low_floor_tom high_floor_tom tom_3 floor_tom_1",
-        "tom_mid": "tom_mid mid_tom middle_tom mid_tom_1 mid_tom_2 tom_medium tom_2 center_tom middle_rack_tom",
-        "tom_high": "tom_high high_tom rack_tom racktom rack_tom_1 rack_tom_2 high_rack_tom tom_1",
-        "crash": "crash crash_cymbal crash_left crash_right crash_1 crash_2 china",
-        "ride": "ride ride_cymbal ride_bell ride_1 ride_2",
-        "clap": "clap handclap hand_clap",
-        "percussion": "percussion perc cowbell shaker tambourine",
+        "kick": ["kick", "bd", "bass_drum", "bassdrum", "bass_drum_1", "bass_drum_2", "bassdrum_1", "bassdrum_2", "kik", "kick_drum"],
+        "snare": ["snare", "sd", "sn", "rimshot", "rim", "cross_stick", "side_stick", "sidestick"],
+        "hihat_closed": [
+            "hihat_closed", "closed_hihat", "closed_hat", "closed_hi_hat", "hhc", "hat_closed", "hi_hat_closed", "chh", "hh",
+            "hihat",
+        ],
+        "hihat_open": ["hihat_open", "open_hihat", "open_hat", "open_hi_hat", "hho", "hat_open", "hi_hat_open", "ohh"],
+        "tom_low": [
+            "tom_low", "low_tom", "floor_tom", "floortom", "floor_tom_low", "low_floor_tom", "high_floor_tom", "tom_3",
+            "floor_tom_1",
+        ],
+        "tom_mid": ["tom_mid", "mid_tom", "middle_tom", "mid_tom_1", "mid_tom_2", "tom_medium", "tom_2", "center_tom", "middle_rack_tom"],
+        "tom_high": ["tom_high", "high_tom", "rack_tom", "racktom", "rack_tom_1", "rack_tom_2", "high_rack_tom", "tom_1"],
+        "crash": ["crash", "crash_cymbal", "crash_left", "crash_right", "crash_1", "crash_2", "china"],
+        "ride": ["ride", "ride_cymbal", "ride_bell", "ride_1", "ride_2"],
+        "clap": ["clap", "handclap", "hand_clap"],
+        "percussion": ["percussion", "perc", "cowbell", "shaker", "tambourine"],
     },
     "audit": {
-        "kick": "kick bd bass_drum bassdrum bass_drum_1 bass_drum_2 bassdrum_1 bassdrum_2 kik kick_drum kickdrum surdo",
-        "snare": (
-            "snare sd sn rimshot rim cross_stick side_stick sidestick snare_drum snaredrum rim_shot vibraslap "
-            "claves castanets short_guiro guiro_short mute_cuica cuica_mute wood_block woodblock high_wood_block "
-            "highwood_block"
-        ),
-        "hihat_closed": (
-            "hihat_closed closed_hihat closed_hat closed_hi_hat hhc hat_closed hi_hat_closed chh hh hihat "
-            "closed_hi_hat_edge tight_hihat tight_hi_hat pedal_hihat pedal_hi_hat cowbell shaker tambourine cabasa "
-            "maracas short_whistle whistle_short high_agogo agogo_high sleigh_bells bell_tree mute_triangle "
-            "triangle_mute"
-        ),
-        "hihat_open": (
-            "hihat_open open_hihat open_hat open_hi_hat hho hat_open hi_hat_open ohh half_open_hihat "
-            "half_open_hi_hat open_hi_hat_edge long_whistle whistle_long long_guiro guiro_long open_triangle "
-            "triangle_open"
-        ),
-        "tom_low": (
-            "tom_low low_tom floor_tom floortom low_floor_tom floor_tom_1 floor_tom_2 tom_3 low_bongo bongo_low "
-            "low_conga conga_low low_timbale timbale_low low_wood_block lowwood_block woodblock_low lowwoodblock"
-        ),
-        "tom_mid": (
-            "tom_mid mid_tom middle_tom mid_tom_1 mid_tom_2 tom_medium medium_tom rack_tom_2 tom_2 low_mid_tom "
-            "lowmid_tom hi_mid_tom himid_tom low_agogo agogo_low open_cuica cuica_open"
-        ),
-        "tom_high": (
-            "tom_high high_tom rack_tom racktom high_rack_tom rack_tom_1 tom_1 high_floor_tom high_bongo bongo_high "
-            "mute_high_conga conga_mute_high open_high_conga conga_open_high high_conga conga_high high_timbale "
-            "timbale_high"
-        ),
-        "crash": (
-            "crash crash_cymbal crash_left crash_right crash_1 crash_2 china china_cymbal splash splash_cymbal "
-            "chinese_cymbal"
-        ),
-        "ride": "ride ride_cymbal ride_bell ride_1 ride_2",
-        "clap": "clap handclap hand_clap",
-        "percussion": "percussion perc",
+        "kick": [
+            "kick", "bd", "bass_drum", "bassdrum", "bass_drum_1", "bass_drum_2", "bassdrum_1", "bassdrum_2", "kik", "kick_drum",
+            "kickdrum", "surdo",
+        ],
+        "snare": [
+            "snare", "sd", "sn", "rimshot", "rim", "cross_stick", "side_stick", "sidestick", "snare_drum", "snaredrum",
+            "rim_shot", "vibraslap", "claves", "castanets", "short_guiro", "guiro_short", "mute_cuica", "cuica_mute",
+            "wood_block", "woodblock", "high_wood_block", "highwood_block",
+        ],
+        "hihat_closed": [
+            "hihat_closed", "closed_hihat", "closed_hat", "closed_hi_hat", "hhc", "hat_closed", "hi_hat_closed", "chh", "hh",
+            "hihat", "closed_hi_hat_edge", "tight_hihat", "tight_hi_hat", "pedal_hihat", "pedal_hi_hat", "cowbell", "shaker",
+            "tambourine", "cabasa", "maracas", "short_whistle", "whistle_short", "high_agogo", "agogo_high", "sleigh_bells",
+            "bell_tree", "mute_triangle", "triangle_mute",
+        ],
+        "hihat_open": [
+            "hihat_open", "open_hihat", "open_hat", "open_hi_hat", "hho", "hat_open", "hi_hat_open", "ohh", "half_open_hihat",
+            "half_open_hi_hat", "open_hi_hat_edge", "long_whistle", "whistle_long", "long_guiro", "guiro_long", "open_triangle",
+            "triangle_open",
+        ],
+        "tom_low": [
+            "tom_low", "low_tom", "floor_tom", "floortom", "low_floor_tom", "floor_tom_1", "floor_tom_2", "tom_3", "low_bongo",
+            "bongo_low", "low_conga", "conga_low", "low_timbale", "timbale_low", "low_wood_block", "lowwood_block",
+            "woodblock_low", "lowwoodblock",
+        ],
+        "tom_mid": [
+            "tom_mid", "mid_tom", "middle_tom", "mid_tom_1", "mid_tom_2", "tom_medium", "medium_tom", "rack_tom_2", "tom_2",
+            "low_mid_tom", "lowmid_tom", "hi_mid_tom", "himid_tom", "low_agogo", "agogo_low", "open_cuica", "cuica_open",
+        ],
+        "tom_high": [
+            "tom_high", "high_tom", "rack_tom", "racktom", "high_rack_tom", "rack_tom_1", "tom_1", "high_floor_tom",
+            "high_bongo", "bongo_high", "mute_high_conga", "conga_mute_high", "open_high_conga", "conga_open_high",
+            "high_conga", "conga_high", "high_timbale", "timbale_high",
+        ],
+        "crash": [
+            "crash", "crash_cymbal", "crash_left", "crash_right", "crash_1", "crash_2", "china", "china_cymbal", "splash",
+            "splash_cymbal", "chinese_cymbal",
+        ],
+        "ride": ["ride", "ride_cymbal", "ride_bell", "ride_1", "ride_2"],
+        "clap": ["clap", "handclap", "hand_clap"],
+        "percussion": ["percussion", "perc"],
     },
 }
 

@@ -29,7 +29,7 @@ def alias_table(spark: SparkSession, version: str) -> DataFrame:
     """(alias, alias_lane): fixed size, the first lane listing an alias owns it."""
     seen: dict[str, str] = {}
     for lane, words in K.LANE_ALIASES[version].items():
-        for w in words.split():
+        for w in words:
             seen.setdefault(w, lane)
     return _values(spark, list(seen.items()), "alias, alias_lane")
 

@@ -61,7 +61,7 @@ def values(rows, names: str) -> str:
 def _aliases(version):
     seen = {}
     for lane, words in K.LANE_ALIASES[version].items():
-        for w in words.split():
+        for w in words:
             seen.setdefault(w, lane)
     return list(seen.items())
 

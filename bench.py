@@ -24,6 +24,7 @@ HEADLINE = {
     "chart_metrics": "a01_a11_chart_metrics",
     "evaluate": "g09_evaluate",
     "match_onsets": "j08_match_onsets",
+    "hit_extraction": "p06_p24_project_hits",
 }
 
 
