@@ -43,6 +43,7 @@ def lint(songs: DataFrame, expectations: DataFrame) -> DataFrame:
     untagged = ~(
         F.coalesce(F.array_contains("tags", "regression"), F.lit(False)) | F.coalesce(F.array_contains("tags", "smoke"), F.lit(False))
     )
+    # --- fixed values: codes and messages
     per_song = songs.select(
         "song_id",
         F.explode(
@@ -196,6 +197,7 @@ def render_results(results: DataFrame, songs: DataFrame, density: DataFrame) ->
     focus = F.concat_ws(" ", *[F.concat(F.lit(f"{x}="), c(f"n_{x}").cast("string"), F.lit("@"), S.fixed2(share(x))) for x in ("kick", "snare", "hihat_closed")])
     usage = F.array_join(F.transform("usage", lambda u: F.concat(u["lane"], F.lit("="), u["n"].cast("string"))), " ")
     codes = F.array_join(F.transform("issues", lambda i: i["code"]), ",")
+    # --- fixed values: line labels
     lines = F.array_compact(
         F.array(
             head,

@@ -109,9 +109,8 @@ def nearest_beat(hits: DataFrame, beats: DataFrame) -> DataFrame:
     b = beats.select("track_id", "beat_index", F.col("start_seconds").alias("s")).withColumn("__c", O.time_chunk("s"))
     b = O.neighbors(b, TRACK, ["s", "beat_index"], "__c", next={"next_s": "s", "next_index": "beat_index"})
     gap = F.col("next_s") - F.col("s")
-    info = b.groupBy("track_id").agg(
-        F.median(F.when(gap > 0, gap)).alias("beat_interval"), F.min(F.struct("s", "beat_index")).alias("f")
-    )
+    middle = O.median(b.select("track_id", gap.alias("gap")).where(gap > 0), "gap").withColumnRenamed("median", "beat_interval")
+    info = b.groupBy("track_id").agg(F.min(F.struct("s", "beat_index")).alias("f")).join(middle, "track_id", "left")
     rows = b.join(info, "track_id").select("track_id", "s", "beat_index", "next_s", "next_index", "beat_interval")
     # before the first beat the only neighbour is the first beat
     lead_in = info.select(

@@ -227,3 +227,31 @@ def fold(
     """
     cols = [F.col(k) for k in keys]
     return df.repartition(*cols).sortWithinPartitions(*keys, *order).mapInArrow(step, schema)
+
+
+def at_ranks(series: DataFrame, value: str, ranks: Column, bins: int = 4096) -> DataFrame:
+    """Values of each track at given ranks, exactly: track_id, k, rank_value. Nulls are left out.
+
+    ``ranks`` is an array of ranks from 0, as a function of the track's number of values ``n``. Equal
+    values are counted first; a histogram finds the bins that hold the ranks, and only their values
+    are ranked, so no track's values are ever gathered.
+    """
+    v = series.where(F.col(value).isNotNull()).groupBy("track_id", F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    stats = v.groupBy("track_id").agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    span = F.col("hi") - F.col("lo")
+    bin_ = F.when(span > 0, F.floor((F.col("v") - F.col("lo")) / span * (bins - 1))).otherwise(F.lit(0))
+    b = v.join(stats, "track_id").select("track_id", "v", "c", bin_.alias("b"), F.array_distinct(ranks).alias("ks"))
+    w = Window.partitionBy("track_id").orderBy("b")
+    h = b.groupBy("track_id", "b", "ks").agg(F.sum("c").alias("c")).withColumn("upto", F.sum("c").over(w))
+    h = h.select("track_id", "b", "upto", (F.col("upto") - F.col("c")).alias("before"), F.explode("ks").alias("k"))
+    h = h.where((F.col("k") < F.col("upto")) & (F.col("k") >= F.col("before"))).drop("upto")
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy("track_id", "b", "k").orderBy("v"))
+    inside = b.select("track_id", "v", "c", "b").join(h, ["track_id", "b"]).withColumn("upto", upto)
+    return inside.where(F.col("k") < F.col("upto")).groupBy("track_id", "k").agg(F.min("v").alias("rank_value"))
+
+
+def median(series: DataFrame, value: str) -> DataFrame:
+    """Median of each track's values: track_id, median; tracks without values have no row."""
+    middle = F.array(F.floor((F.col("n") - 1) / 2).cast("long"), F.ceil((F.col("n") - 1) / 2).cast("long"))
+    # an odd count has one middle rank, an even one two
+    return at_ranks(series, value, middle).groupBy("track_id").agg(((F.min("rank_value") + F.max("rank_value")) / 2).alias("median"))

@@ -53,26 +53,9 @@ def novelty(rms: DataFrame) -> DataFrame:
     return r.where(F.col("home") == F.col("__c")).select("track_id", "frame", F.coalesce("novelty", F.lit(0.0)).alias("novelty"))
 
 
-def nearest_rank(series: DataFrame, value: str, fraction: float, bins: int = 4096) -> DataFrame:
-    """Value at rank round-half-even((n - 1) * fraction) of each track, exactly.
-
-    Equal values are counted first; a histogram finds the bin that holds the rank, and only that
-    bin's values are ranked.
-    """
-    v = series.groupBy("track_id", F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    stats = v.groupBy("track_id").agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    span = F.col("hi") - F.col("lo")
-    bin_ = F.when(span > 0, F.floor((F.col("v") - F.col("lo")) / span * (bins - 1))).otherwise(F.lit(0))
-    b = v.join(stats, "track_id").select(
-        "track_id", "v", "c", bin_.alias("b"), F.bround((F.col("n") - 1) * F.lit(fraction), 0).cast("long").alias("k")
-    )
-    w = Window.partitionBy("track_id").orderBy("b")
-    h = b.groupBy("track_id", "b", "k").agg(F.sum("c").alias("c")).withColumn("upto", F.sum("c").over(w))
-    h = h.where((F.col("k") < F.col("upto")) & (F.col("k") >= F.col("upto") - F.col("c"))).select(
-        "track_id", "b", (F.col("upto") - F.col("c")).alias("before")
-    )
-    inside = b.join(h, ["track_id", "b"]).withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("track_id", "b").orderBy("v")))
-    return inside.where(F.col("k") < F.col("upto")).groupBy("track_id").agg(F.min("v").alias("rank_value"))
+def nearest_rank(series: DataFrame, value: str, fraction: float) -> DataFrame:
+    """Value at rank round-half-even((n - 1) * fraction) of each track, exactly."""
+    return O.at_ranks(series, value, F.array(F.bround((F.col("n") - 1) * F.lit(fraction), 0).cast("long"))).drop("k")
 
 
 def peak_threshold(series: DataFrame) -> DataFrame:
@@ -137,7 +120,8 @@ def tempo(onsets: DataFrame, variant: str = "onset", time: str = "onset_seconds"
     """
     g = F.col("gap")
     usable = g.between(K.MIN_EVENT_GAP, K.MAX_EVENT_GAP) if variant == "onset" else g > 0
-    m = onset_gaps(onsets, time).groupBy("track_id").agg(F.median(F.when(usable, g)).alias("m"))
+    gaps = onset_gaps(onsets, time)
+    m = gaps.select("track_id").distinct().join(O.median(gaps.where(usable), "gap").withColumnRenamed("median", "m"), "track_id", "left")
     bpm = F.when(F.col("m") > 0, 60.0 / F.col("m"))
     if variant == "onset":
         out = F.coalesce(S.octave_fold(bpm, 70.0, 190.0), F.lit(K.DEFAULT_TEMPO))
