@@ -136,7 +136,8 @@ def add_features(docs: DataFrame, model: Model, text: str = "text", name: str =
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, rounds: int = 30, depth: int = 3, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Learn from the labelled documents outside the held-out third.
 
-    Without labels of both classes there is nothing to learn: the score is then that of the hand lexicon.
+    Without labelled documents of both classes there is nothing to learn: the score is then that of the
+    hand lexicon.
     """
     sample = sample_labels(labels, most, doc_id, label)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -152,11 +153,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, rounds: int = 30
     seen = stage(add_features(labelled, model).drop("text"), "toxicity-features").coalesce(8)
     seen = seen.select("doc_id", F.col("toxic").cast("double").alias("label"), array_to_vector("toxic_features").alias("features"))
     own = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(10))
-    trees = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.2, subsamplingRate=0.8, seed=7, minInstancesPerNode=4, featureSubsetStrategy="all")
-    if min(r["count"] for r in seen.filter(own < 7).groupBy("label").count().collect()) == n:
-        return model
-    model.trees = trees.fit(seen.filter(own < 7))
-    told = model.trees.transform(seen.filter(own >= 7))
+    classes = {(r["own"], r["label"]) for r in seen.select((own < 7).alias("own"), "label").distinct().collect()}
+    if len({label for _, label in classes}) < 2:
+        return Model()
+    # Few labels may leave one part without a class; trees and calibration then share all of them.
+    apart = len(classes) == 4
+    trees = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.2, subsamplingRate=0.8, seed=7, minInstancesPerNode=4 if apart else 1, featureSubsetStrategy="all")
+    model.trees = trees.fit(seen.filter(own < 7) if apart else seen)
+    told = model.trees.transform(seen.filter(own >= 7) if apart else seen)
     model.calibration = IsotonicRegression(featuresCol="probability", featureIndex=1, labelCol="label", predictionCol="score").fit(told.select("label", "probability"))
     return model
 

@@ -159,6 +159,14 @@ def test_toxicity(documents, no_documents):
     assert toxicity.keep_clean(no_documents, told.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("labels", [[], [(1, 0)], [(1, 0), (2, 1)], [(50, 0), (51, 1)]])
+def test_toxicity_of_few_labels(spark, labels):
+    docs = spark.createDataFrame([(i, f"text {i} idiot" if i == 2 else f"text {i}") for i in range(12) if i % 3 or i == 2], "doc_id long, text string")
+    told = spark.createDataFrame(labels, "doc_id long, toxic int")
+    scored = toxicity.score(docs, toxicity.fit(docs, told, rounds=2)).collect()
+    assert len(scored) == docs.count() and all(0 <= r["toxic_score"] <= 1 for r in scored)
+
+
 def _edit(words, n, rng):
     words = list(words)
     for _ in range(n):
