@@ -124,20 +124,23 @@ SPELLED = [
     "cero uno dos tres cuatro cinco seis siete ocho nueve",
 ]
 WORD_DIGIT = {w: str(d) for line in SPELLED for d, w in enumerate(line.split())}
+FOLDED = str.maketrans("İſ", "is")  # what re.I takes for i and s, and lower() does not
 _NUMBER = "(?:" + "|".join(sorted(WORD_DIGIT, key=len, reverse=True)) + ")"
 SPELLED_RUN = re.compile(rf"(?<!\w){_NUMBER}(?:[ ,.\-\n]{{1,3}}{_NUMBER}){{2,}}(?!\w)", re.I)
-SPELLED_SIGN = re.compile(rf"{_NUMBER}[ ,.\-\n]{{1,3}}{_NUMBER}[ ,.\-\n]{{1,3}}{_NUMBER}")
+SPELLED_SIGN = re.compile(rf"{_NUMBER}[ ,.\-\n]{{1,3}}{_NUMBER}[ ,.\-\n]{{1,3}}{_NUMBER}", re.I)
 SPELLED_WORD = re.compile(_NUMBER, re.I)
 PLUS_WORD = re.compile(r"(?<!\w)plus[ \-]{1,3}(?=[0-9])", re.I)
 
 AT_WORDS, DOT_WORDS = "at|arroba", "dot|punkt|punto"
 # Endings that make a written-out address credible.
 ENDINGS = "com|org|net|edu|gov|info|biz|io|ai|co|eu|de|fr|es|uk|us|ch|at|it|nl|be|pt|mx|ar|ca|au"
-DISGUISE_SIGN = re.compile(rf"[(\[{{<]\s*(?:{AT_WORDS}|@|{DOT_WORDS}|\.)\s*[)\]}}>]|\s(?:{DOT_WORDS})\s|\s(?:{AT_WORDS})\s+[a-z0-9-]+\.[a-z]")
-BRACKETED = re.compile(rf"\s*[(\[{{<]\s*(?:({AT_WORDS}|@)|({DOT_WORDS}|\.))\s*[)\]}}>]\s*", re.I)
+BRACKETED = re.compile(rf"[(\[{{<]\s*(?:({AT_WORDS}|@)|({DOT_WORDS}|\.))\s*[)\]}}>]", re.I)
+# A written-out dot may stand before any ending of letters.
 WRITTEN = re.compile(
-    rf"(?<![\w.%+-])[\w.%+-]+(?:\s+(?:{AT_WORDS})\s+|\s*@\s*)(?!(?:the|a|an|this|that|my|your)\b)[\w-]+(?:(?:\s+(?:{DOT_WORDS})\s+|\.)[\w-]+)*(?:\s+(?:{DOT_WORDS})\s+|\.)(?:{ENDINGS})(?![\w-])", re.I
+    rf"(?<![\w.%+-])[\w.%+-]+(?:\s+(?:{AT_WORDS})\s+|\s*@\s*)(?!(?:the|a|an|this|that|my|your)\b)[\w-]+(?:(?:\s+(?:{DOT_WORDS})\s+|\.)[\w-]+)*(?:\s+(?:{DOT_WORDS})\s+[a-z]{{2,}}|\.(?:{ENDINGS}))(?![\w-])", re.I
 )
+# Every match of WRITTEN that is not an address as it stands has a written-out dot, "at" and a dot after one word, or "@" beside a space.
+WRITTEN_SIGN = re.compile(rf"\s(?:(?:{DOT_WORDS})\s|(?:{AT_WORDS})\s+[\w-]+\.|@)|@\s", re.I)
 WRITTEN_PART = re.compile(rf"\s+({AT_WORDS})\s+|\s+({DOT_WORDS})\s+|\s*(@)\s*", re.I)
 
 
@@ -181,7 +184,7 @@ def spell_out(x: Aligned) -> Aligned:
     """Runs of three and more spelled digits become digits; a lone separator within a run goes as well."""
     edits = []
     for run in SPELLED_RUN.finditer(x.text):
-        words = [(m.start(), m.end(), WORD_DIGIT[m[0].lower()]) for m in SPELLED_WORD.finditer(x.text, *run.span())]
+        words = [(m.start(), m.end(), WORD_DIGIT[m[0].translate(FOLDED).lower()]) for m in SPELLED_WORD.finditer(x.text, *run.span())]
         for (a, b, digit), after in zip(words, [*(w[0] for w in words[1:]), run.end()], strict=True):
             edits.append((a, after if after < run.end() else b, digit))
     x = x.rewrite(edits)
@@ -189,18 +192,27 @@ def spell_out(x: Aligned) -> Aligned:
 
 
 def undisguise(x: Aligned) -> Aligned:
-    x = x.rewrite([(m.start(), m.end(), "@" if m[1] else ".") for m in BRACKETED.finditer(x.text)])
+    edits, at = [], 0
+    for m in BRACKETED.finditer(x.text):
+        a, b = m.span()
+        while a > at and x.text[a - 1].isspace():
+            a -= 1
+        while b < len(x.text) and x.text[b].isspace():
+            b += 1
+        edits.append((a, b, "@" if m[1] else "."))
+        at = b
+    x = x.rewrite(edits)
     edits = []
     for m in WRITTEN.finditer(x.text):
         edits += [(p.start(), p.end(), "." if p[2] else "@") for p in WRITTEN_PART.finditer(x.text, *m.span())]
     return x.rewrite(edits)
 
 
-#: A cheap sign, on the text and its lower-case form, that a transducer may fire, and the transducer.
-TRANSDUCERS: list[tuple[Callable[[str, str], bool], Callable[[Aligned], Aligned]]] = [
-    (lambda t, low: not t.isascii() and not GLYPH_SET.isdisjoint(t), fold_glyphs),
-    (lambda t, low: SPELLED_SIGN.search(low) is not None, spell_out),
-    (lambda t, low: DISGUISE_SIGN.search(low) is not None, undisguise),
+#: A cheap sign that is there whenever the transducer would change the text, and the transducer.
+TRANSDUCERS: list[tuple[Callable[[str], bool], Callable[[Aligned], Aligned]]] = [
+    (lambda t: not t.isascii() and not GLYPH_SET.isdisjoint(t), fold_glyphs),
+    (lambda t: bool(SPELLED_SIGN.search(t) or PLUS_WORD.search(t)), spell_out),
+    (lambda t: bool(BRACKETED.search(t) or WRITTEN_SIGN.search(t)), undisguise),
 ]
 BARE_NUMBER = re.compile(r"(?<![\w+.])[0-9](?:[ -]?[0-9])++(?!\w)")
 
@@ -210,7 +222,7 @@ def find_spans(text: str) -> tuple[list[Span], list[tuple[str, int, int, str]]]:
     base = base_spans(text)
     x = Aligned.of(text)
     for fires, transducer in TRANSDUCERS:
-        if fires(x.text, x.text.lower()):
+        if fires(x.text):
             x = transducer(x)
     found = {s: text[s[1] : s[2]] for s in base}
     if x.text != text:

@@ -59,6 +59,43 @@ def test_plain_prose_and_hard_texts_have_no_spans(text):
     assert pii.find_spans(text) == ([], [])
 
 
+@pytest.mark.parametrize(
+    ("text", "source", "value"),
+    [
+        ("write to john @ example.com now", "john @ example.com", "john@example.com"),
+        ("write to john@ example.com now", "john@ example.com", "john@example.com"),
+        ("mail john at example dot jp please", "john at example dot jp", "john@example.jp"),
+        ("mail john (at) example dot co dot jp, please", "john (at) example dot co dot jp", "john@example.co.jp"),
+        ("mail John AT Example DOT Tech please", "John AT Example DOT Tech", "John@Example.Tech"),
+        ("call plus 1 202 555 0123 today", "plus 1 202 555 0123", "+1 202 555 0123"),
+        ("call plus ſix fİve four three two one zero one two", "plus ſix fİve four three two one zero one two", "+654321012"),
+    ],
+)
+def test_disguises_without_another_sign(text, source, value):
+    assert [(text[a:b], v) for _, a, b, v in pii.find_spans(text)[1]] == [(source, value)]
+    assert source not in pii.mask(text)
+
+
+PARTS = ["john", "at", "AT", "arroba", "@", "example", "dot", "Punkt", ".", "com", "jp", "(", ")", "[at]", "<dot>", "plus", "PLUS", "one", "two", "ſix", "SIX", "fİve", "7", "55501", "+", "-", " ", " ", "\n", "é", "４"]
+
+
+@settings(max_examples=3000, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=16), st.sampled_from(["", " "]))
+def test_signs_lose_nothing(parts, between):
+    text, signs = between.join(parts), pii.TRANSDUCERS
+    got = pii.find_spans(text)
+    try:
+        pii.TRANSDUCERS = [(lambda t: True, transducer) for _, transducer in signs]
+        assert got == pii.find_spans(text)
+    finally:
+        pii.TRANSDUCERS = signs
+
+
+@pytest.mark.parametrize("text", ["(at)" + " " * 200_000 + "x", " " * 200_000 + "@", "(at) " * 20_000])
+def test_disguises_take_linear_time(text):
+    assert pii.find_spans(text) == ([], [])
+
+
 def test_pii_query_and_redaction(documents, no_documents):
     got = pii.detect(documents).collect()
     assert len(got) == documents.count() and all(r["spans"] == "" and r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in got)
