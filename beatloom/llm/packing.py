@@ -6,6 +6,8 @@ not give is carried to the next. Run as a loop this is one long sequence. Here t
 in closed form: slice j of a queue with weight w is due at virtual time (j + 1/2) / w, and its place in the
 schedule is the number of slices of all queues that are due before it. That number needs the queues' sizes
 and nothing else, so every task places its own slices, and deficits carry over windows and partitions alike.
+That takes time with the number of queues for every slice; beyond ``QUEUES`` sources the same due times are
+sorted instead, and slices meet their places in a join.
 
 Steps: encode and stage the ids with each document's place among its partition's tokens of the same source;
 sum tokens by partition and source (a small table) to get each document's place in its queue; place slices.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from beatloom.llm.staging import stage
 from beatloom.llm.tokens import encoder, slices
 
-QUEUES = 256  # sources beyond the 255 largest share the last queue
+QUEUES = 256  # up to so many sources tasks count the slices due before; beyond, slices are sorted
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -124,6 +126,51 @@ class Schedule:
         return np.where(late, self.full // self.window + k, position // self.window), np.where(late, position - self.bounds[k], position % self.window)
 
 
+def portions(batches: Iterator[pa.RecordBatch], sizes: int) -> Iterator[pa.RecordBatch]:
+    """The batches, about four million tokens at a time; ``sizes`` is the number of the column of token counts."""
+    for batch in batches:
+        n, at = batch.column(sizes).to_numpy(), 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(np.cumsum(n[at:]), 1 << 22, "right")) + at)
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def sorted_slices(bases: DataFrame, totals: DataFrame, weights: dict[str, float], quantum: int) -> DataFrame:
+    """Rows (source, j, place): the position of the first token of every slice, the same as by ``Schedule``.
+
+    Slices are sorted by due time over all tasks, those of equal time by queue (larger first, then by name);
+    what a queue has left below one quantum comes last, in the order of queues. A slice is made where its
+    first token lies, so the work is spread as the tokens are.
+    """
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array([task] * len(n), pa.int32()), pa.array(at + np.cumsum(n) - n)], names=["source", "j", "n", "task", "local"])
+            at += int(n.sum())
+
+    queues = totals.withColumn("size", F.expr(f"total div {quantum}"))
+    if weights:
+        given = totals.sparkSession.createDataFrame(list(weights.items()), "source string, weight double")
+        queues = queues.join(given, "source", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    else:
+        queues = queues.withColumn("weight", F.greatest("size", F.lit(1)).cast("double"))
+    first, last = F.expr(f"(base + {quantum - 1}) div {quantum}"), F.expr(f"(base + n - 1) div {quantum}")
+    slices_of = bases.where(first <= last).select("source", F.explode(F.sequence(first, last)).alias("j")).join(queues, "source")
+    late = F.col("j") >= F.col("size")
+    due = [late, F.when(late, 0.0).otherwise((F.col("j") + 0.5) / F.col("weight")), F.desc("total"), "source"]
+    ordered = slices_of.repartitionByRange(*due).sortWithinPartitions(*due)
+    length = F.when(late, F.col("total") - F.col("size") * quantum).otherwise(quantum).cast("long")
+    numbered = stage(ordered.select("source", "j", length.alias("n")).mapInArrow(number, "source string, j long, n long, task int, local long"), "packing-slices")
+    starts, at = [], 0
+    for task, n in sorted(map(tuple, numbered.groupBy("task").agg(F.sum("n")).collect())):
+        starts.append((task, at))
+        at += n
+    return numbered.join(F.broadcast(totals.sparkSession.createDataFrame(starts, "task int, before long")), "task").select("source", "j", (F.col("before") + F.col("local")).alias("place"))
+
+
 def pack(
     docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, window: int = 2048, quantum: int = 128, weights: dict[str | None, float] | None = None,
     with_ids: bool = True, doc_id: str = "doc_id", text: str = "text", source: str = "source",
@@ -132,61 +179,78 @@ def pack(
     ``with_ids``, ids (little-endian unsigned 32-bit).
 
     ``weights`` are target token proportions by source; by default those of the corpus itself, so that all
-    queues end together. A queue that is used up leaves its share to the others. All sequences are full but
-    for the last few, whose lengths are powers of two. Null texts are empty (one end id), null sources are a
-    queue of their own, rows with equal ids are separate documents, an empty table gives no rows.
+    queues end together. If some are given, a source without one has weight 1. Every source, however many, is a
+    queue of its own. A queue that is used up leaves its share to the others. All sequences are full but
+    for the last few, whose lengths are powers of two. Null texts are empty (one end id), null sources are one
+    queue, rows with equal ids are separate documents, an empty table gives no rows.
     """
     if window % quantum:
         raise ValueError("the quantum must divide the window")
     ids = encode_documents(docs, tokenizer, spaced, end_id, doc_id, text, source)
     sums = stage(ids.groupBy("part", "source").agg(F.sum("n").alias("n")), "packing-sums")
-    largest = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(QUEUES - 1).collect()
-    queue_of = {r["source"]: q for q, r in enumerate(largest)}
-    queue = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in queue_of.items() for x in kv]), F.col("source")), F.lit(QUEUES - 1)) if queue_of else F.lit(QUEUES - 1)
-    sums = sums.withColumn("queue", queue)
-    totals = [0] * QUEUES
-    for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect():
-        totals[r["queue"]] = int(r["n"])
-    by_queue = None
-    if weights:
-        by_queue = [1.0] * QUEUES
-        for key, q in queue_of.items():
-            by_queue[q] = float(weights.get(key[1:] if key else None, 1.0))
-    plan = Schedule(totals, by_queue, window, quantum)
-    before = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)  # one row per part and source
-    bases = sums.select("part", "source", "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    totals = sums.groupBy("source").agg(F.sum("n").alias("total"))
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part and source
+    bases = sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
     width = encoder(tokenizer, spaced).dtype
+    queues = totals.orderBy(F.desc("total"), "source").limit(QUEUES + 1).collect()
+    rows = ids.join(bases.select("part", "source", "base"), ["part", "source"]).withColumn("at", F.col("base") + F.col("local"))
+    given = {f"s{k}" if k is not None else "": float(w) for k, w in (weights or {}).items()}
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            queues, starts, sizes = (batch.column(i).to_numpy() for i in range(3))
-            at = 0
-            while at < batch.num_rows:  # about four million tokens at a time
-                end = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), 1 << 22, "right")) + at)
-                yield pieces_of(batch.slice(at, end - at), queues[at:end].astype(np.int64), starts[at:end], sizes[at:end])
-                at = end
-
-    def pieces_of(batch: pa.RecordBatch, queues: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
-        doc, lo, length, position = plan.pieces(queues, starts, sizes)
+    def emit(held: pa.Array, keys: pa.Array, tokens: np.ndarray, sizes: np.ndarray, first: np.ndarray, found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        """Pieces (row, place in the document, length, position) of rows that hold ``sizes`` ids from place ``first`` on."""
+        doc, lo, length, position = found
         order = np.argsort(doc, kind="stable")
         doc, lo, length, position = (x[order] for x in (doc, lo, length, position))
         sequence, offset = plan.sequence(position)
         crcs, parts = np.empty(len(doc), np.int64), []
-        flat = np.frombuffer(b"".join(batch.column(4).to_pylist()), width).astype("<u4").tobytes()
-        view, begin = memoryview(flat), (np.cumsum(sizes) - sizes)[doc] + lo
+        flat = np.frombuffer(b"".join(held.to_pylist()), width).astype("<u4").tobytes()
+        view, begin = memoryview(flat), (np.cumsum(sizes) - sizes - first)[doc] + lo
         for i, (a, b) in enumerate(zip((begin * 4).tolist(), ((begin + length) * 4).tolist(), strict=True)):
             crcs[i] = zlib.crc32(view[a:b])
             if with_ids:
                 parts.append(view[a:b])
-        columns = [batch.column(3).take(pa.array(doc)), *(pa.array(x) for x in (lo, length, crcs, sizes[doc], sequence, offset))]
+        columns = [keys.take(pa.array(doc)), *(pa.array(x) for x in (lo, length, crcs, tokens[doc], sequence, offset))]
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         if with_ids:
             columns.append(pa.array([bytes(p) for p in parts], pa.binary()))
             names.append("ids")
         return pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = ids.join(bases, ["part", "source"]).select("queue", (F.col("base") + F.col("local")).alias("at"), "n", "doc_id", "ids")
-    return rows.mapInArrow(place, PIECES + (", ids binary" if with_ids else ""))
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, 2):
+            queue, starts, sizes = (batch.column(i).to_numpy() for i in range(3))
+            yield emit(batch.column(4), batch.column(3), sizes, sizes, np.zeros(len(sizes), np.int64), plan.pieces(queue.astype(np.int64), starts, sizes))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, 2):
+            starts, sizes = (batch.column(i).to_numpy() for i in (1, 2))
+            first = starts // quantum
+            count = (starts + sizes - 1) // quantum - first + 1
+            doc = np.repeat(np.arange(len(sizes)), count)
+            j = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + first[doc]
+            lo, hi = np.maximum(j * quantum, starts[doc]), np.minimum((j + 1) * quantum, (starts + sizes)[doc])
+            bounds = np.cumsum([0, *(hi - lo)]) * width.itemsize
+            pieces = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(b"".join(batch.column(4).to_pylist()))])
+            at = pa.array(doc)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), pa.array(j), batch.column(3).take(at), pa.array(lo - starts[doc]), pa.array(lo - j * quantum), pa.array(hi - lo), pa.array(sizes[doc]), pieces],
+                names=["source", "j", "doc_id", "start", "inside", "n", "doc_tokens", "ids"],
+            )
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, 2):
+            position, first, sizes, tokens = (batch.column(i).to_numpy() for i in range(4))
+            yield emit(batch.column(5), batch.column(4), tokens, sizes, first, plan._split(np.arange(len(sizes)), first, sizes, position))
+
+    out = PIECES + (", ids binary" if with_ids else "")
+    if len(queues) > QUEUES:
+        plan = Schedule([totals.agg(F.sum("total")).first()[0]], None, window, quantum)
+        pieces = rows.select("source", "at", "n", "doc_id", "ids").mapInArrow(cut, "source string, j long, doc_id long, start long, inside long, n long, doc_tokens long, ids binary")
+        pieces = pieces.join(sorted_slices(bases, totals, given, quantum), ["source", "j"])
+        return pieces.select((F.col("place") + F.col("inside")).alias("position"), "start", "n", "doc_tokens", "doc_id", "ids").mapInArrow(finish, out)
+    plan = Schedule([r["total"] for r in queues], [given.get(r["source"], 1.0) for r in queues] if given else None, window, quantum)
+    queue = F.element_at(F.create_map(*[F.lit(x) for q, r in enumerate(queues) for x in (r["source"], q)]), F.col("source")) if queues else F.lit(0)
+    return rows.select(queue.alias("queue"), "at", "n", "doc_id", "ids").mapInArrow(place, out)
 
 
 def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

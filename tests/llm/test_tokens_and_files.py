@@ -110,6 +110,39 @@ def test_packing(documents, weights):
                 assert abs(have[key] - tokens * n / sum(total.values())) <= slack
 
 
+@pytest.mark.parametrize("weights", [None, {f"h{i}": 1.0 + i % 5 for i in range(0, 400, 2)} | {"h399": 50.0, None: 3.0}])
+def test_packing_of_hundreds_of_sources(spark, monkeypatch, weights):
+    rng = np.random.default_rng(4)
+    lengths = [int(n) for n in rng.integers(1, 250, 1600)]
+    rows = [(i, "the cat sat on a mat " * (n // 6 + 1), None if i % 400 == 7 else f"h{i % 400}") for i, n in enumerate(lengths)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    run = lambda **more: packing.pack(docs, BYTE, spaced=True, end_id=1, window=256, quantum=32, weights=weights, **more)
+    got = run().collect()
+    source, total, tokens = {i: key for i, _, key in rows}, Counter(), Counter()
+    pieces = {}
+    for p in got:
+        assert zlib.crc32(p["ids"]) == p["ids_crc32"] and len(p["ids"]) == 4 * p["length"]
+        total[source[p["doc_id"]]] += p["length"]
+        tokens[p["doc_id"]] += p["length"]
+        pieces.setdefault(p["sequence_id"], []).append(p)
+    assert all(tokens[p["doc_id"]] == p["doc_tokens"] for p in got)
+    if weights is None:
+        have, seen = Counter(), 0
+        for s in sorted(pieces):
+            for p in pieces[s]:
+                have[source[p["doc_id"]]] += p["length"]
+                seen += p["length"]
+            if seen <= sum(n // 32 * 32 for n in total.values()):
+                for key, n in total.items():  # within a quantum, and the part of the tails not yet served
+                    assert abs(have[key] - seen * (n // 32 * 32) / sum(m // 32 * 32 for m in total.values())) <= 32
+    else:
+        early = Counter(source[p["doc_id"]] for p in got if p["sequence_id"] < 20 for _ in range(p["length"]))
+        whole = sum(weights.get(key, 1.0) for key in total)
+        assert all(early[key] >= 20 * 256 * weights.get(key, 1.0) / whole - 32 for key in total)
+    monkeypatch.setattr(packing, "QUEUES", 1000)  # the schedule in closed form is the same
+    assert {tuple(p) for p in run().collect()} == {tuple(p) for p in got}
+
+
 def test_packing_of_nothing(no_documents):
     assert packing.pack(no_documents, BYTE, spaced=True, end_id=1).count() == 0
 
