@@ -150,6 +150,50 @@ LICENSES = [
 ]
 
 
+def _examples(items):
+    """Texts that a parsed expression matches, which take each branch of every choice."""
+    out = [""]
+    for kind, value in items:
+        name = str(kind)
+        if name == "LITERAL":
+            ways = [chr(value)]
+        elif name == "IN":
+            ways = [next(" " if str(k) == "CATEGORY" and "SPACE" in str(v) else "1" if str(k) == "CATEGORY" else chr(v if str(k) == "LITERAL" else v[0]) for k, v in reversed(value))]
+        elif name == "SUBPATTERN":
+            ways = _examples(value[3])
+        elif name == "BRANCH":
+            ways = [x for way in value[1] for x in _examples(way)]
+        elif name == "MAX_REPEAT":
+            least, _, inner = value
+            ways = [*([""] if least == 0 else []), *_examples(inner)]
+        else:
+            assert name in ("ASSERT", "ASSERT_NOT"), name
+            ways = [""]
+        n = max(len(out), len(ways))
+        out = [out[i % len(out)] + ways[i % len(ways)] for i in range(n)]
+    return out
+
+
+def test_every_license_rule_fires_alone_and_wrapped(spark):
+    from re import _parser
+
+    texts = []
+    for number, (label, _, words, pattern) in enumerate(licenses.rules()):
+        found = [x for x in dict.fromkeys(_examples(_parser.parse(pattern))) if re.search(pattern, x, re.A)]
+        assert found, pattern
+        assert all(any(w in x for w in words) for x in found)
+        texts += [(number, label, y) for x in found for y in {x, x.replace(" ", "\n"), x.replace(" ", "  \n")} if re.search(pattern, y, re.A)]
+    words = licenses.gates()
+    assert all(any(w in x for w in words) or re.search(licenses.CC_BY, x, re.A) for _, _, x in texts)
+    some = [*{(number, len(x.split("\n")) > 1): (number, label, x) for number, label, x in texts}.values()]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame([(i, x) for i, (_, _, x) in enumerate(some)], "doc_id long, text string").repartition(4)).collect()}
+    assert all(got[i]["found"] for i in range(len(some)))
+    texts = ["released under EPL-2.0", "photo: CC attribution 4.0", "MIT no attribution", "see eclipse.org/legal/epl-v10", "eclipse.org/org/documents/edl-v10", "mariadb.com/bsl11", "github.com/aws/mit-0", "scripts.sil.org/OFL",
+             "w3.org/consortium/legal", "vimdoc.sourceforge.net/htmldoc/uganda", "all rights\nreserved", "in the public\n domain", "Creative\nCommons  attribution", "cc\nby-sa 4.0", "do what the fuck you want to public license"]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["labels"] for r in got] == ["epl-2.0", "cc-by-4.0", "mit-0", "epl-1.0", "edl-1.0", "busl-1.1", "mit-0", "ofl-1.1", "w3c", "vim", "proprietary", "public-domain", "cc-by", "cc-by,cc-by-sa-4.0", "wtfpl"]
+
+
 def test_licenses(documents, no_documents):
     assert len(licenses.rules()) > 300
     frame = documents.sparkSession.createDataFrame([(i, x, "y") for i, x in enumerate(LICENSES)], "doc_id long, text string, hits string")
