@@ -4,8 +4,8 @@ Each of many lines holds the projections of all vectors, in order. Two vectors c
 lies in the window centred at the other; near vectors collide on most lines, others on few, and pairs that
 collide often enough are compared exactly. A lone line's window holds a fixed share of all vectors, so each
 line is drawn within the cells that the signs of further projections cut: their number grows with the
-logarithm of the table, and the vectors in a window do not grow at all. Number of lines and least count
-follow from the chance that a pair just at the threshold collides, for a stated recall.
+logarithm of the table, and the vectors in a window do not grow at all. The least count is two, the
+number of lines follows from the chance that a pair just at the threshold collides, for a stated recall.
 """
 
 from __future__ import annotations
