@@ -1,8 +1,8 @@
 """Token ids of whole texts with a given tokenizers file, fast enough for a corpus.
 
 Byte-pair merging is by far the dearest part, and it never crosses a boundary between pre-tokens. So texts
-are cut at places that are boundaries for certain, and the ids of every distinct piece are kept in a memo
-of bounded size. Texts whose white space is unusual are cut at fewer places; ids never differ from encoding
+are cut at places that are boundaries for certain, and the ids of distinct pieces are kept in a memo of
+bounded bytes, which a worker process drops when it has had nothing to encode for some seconds. Texts whose white space is unusual are cut at fewer places; ids never differ from encoding
 the whole text at once (tests compare both).
 """
 
@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import re
+import threading
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,18 +27,44 @@ BEYOND_LATIN = re.compile(r"[^\x00-\u024f]|\u0130|<\|")
 ODD_SPACE = re.compile(r" \s|\s |^ | $")
 
 
+#: Bytes that a piece takes in the memo beside its characters and ids: two objects and a place in the table.
+ENTRY = 190
+IDLE = 3.0  # seconds until an unused memo is dropped
+
+
+class Memo:
+    """Ids of pieces in two generations: once the young one is half the bound, it takes the old one's place.
+
+    Pieces met again in the old generation move to the young one, so frequent pieces stay.
+    """
+
+    def __init__(self, most: int) -> None:
+        self.most, self.young, self.old, self.size = most, {}, {}, 0
+
+    def add(self, new: dict[str, bytes]) -> None:
+        self.young.update(new)
+        self.size += ENTRY * len(new) + sum(map(len, new)) + sum(map(len, new.values()))
+
+    def age(self) -> None:
+        """Called between slices: within a slice every piece added stays in reach."""
+        if self.size > self.most // 2:
+            self.young, self.old, self.size = {}, self.young, 0
+
+    def clear(self) -> None:
+        self.young, self.old, self.size = {}, {}, 0
+
+
 class Encoder:
     """Ids of texts. ``spaced``: the pre-tokenizer keeps a space before a word (byte-level kind); otherwise
-    white space is dropped. ``memo`` bounds the distinct pieces kept; ``part`` the characters at work."""
+    white space is dropped. ``memo`` bounds the bytes of pieces kept; ``part`` the characters at work."""
 
-    def __init__(self, path: str, spaced: bool, memo: int = 1_600_000, part: int = 1 << 20) -> None:
+    def __init__(self, path: str, spaced: bool, memo: int = 384 << 20, part: int = 1 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4")
-        self.spaced, self.limit, self.part = spaced, memo, part
-        self.known: dict[str, bytes] = {}
+        self.spaced, self.part, self.memo = spaced, part, Memo(memo)
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.marks = {m: np.array(ids("a" + m)[len(ids("a")) :], self.dtype).tobytes() for m in ",."}
         self.lowers = not spaced and ids("ABC ÀŽ Ǆ") == ids("abc àž ǆ")
@@ -80,19 +108,25 @@ class Encoder:
 
     def _known(self, cuts: list[list[str]]) -> list[bytes]:
         """Ids of texts given as pieces."""
-        if len(self.known) > self.limit:
-            self.known.clear()
-        found = [list(map(self.known.get, pieces)) for pieces in cuts]
+        self.memo.age()
+        known, old = self.memo.young, self.memo.old
+        found = [list(map(known.get, pieces)) for pieces in cuts]
         missing = [[i for i, ids in enumerate(f) if ids is None] for f in found]
         new = {pieces[i] for pieces, at in zip(cuts, missing, strict=True) for i in at}
+        again = new.intersection(old)
+        self.memo.add({p: old[p] for p in again})
+        new -= again
         # A comma or full stop after letters is a pre-token of its own: the ids of the word are mostly known.
         marked = [p for p in new if p[-1:] in self.marks and p[:-1].isalpha()]
-        plain = list(new.difference(marked).union(p[:-1] for p in marked).difference(self.known))
-        self.known.update(zip(plain, self._plain([" " + p for p in plain] if self.spaced else plain), strict=True))
-        self.known.update((p, self.known[p[:-1]] + self.marks[p[-1]]) for p in marked)
+        plain = list(new.difference(marked).union(p[:-1] for p in marked).difference(known))
+        again = [p for p in plain if p in old]
+        self.memo.add({p: old[p] for p in again})
+        plain = [p for p in plain if p not in old]
+        self.memo.add(dict(zip(plain, self._plain([" " + p for p in plain] if self.spaced else plain), strict=True)))
+        self.memo.add({p: known[p[:-1]] + self.marks[p[-1]] for p in marked})
         for pieces, f, at in zip(cuts, found, missing, strict=True):
             for i in at:
-                f[i] = self.known[pieces[i]]
+                f[i] = known[pieces[i]]
         return [b"".join(f) for f in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -100,6 +134,11 @@ class Encoder:
         out: list[bytes] = []
         at = 0
         while at < len(texts):
+            with _LOCK:
+                _USED["at"] = float("inf")
+                if not _USED["watched"]:
+                    _USED["watched"] = True
+                    threading.Thread(target=_watch, daemon=True).start()
             size, end = 0, at
             while end < len(texts) and size <= self.part:
                 size += len(texts[end])
@@ -108,14 +147,30 @@ class Encoder:
             heads = [ids.tobytes() for ids in self._ids([h for h, _ in cuts])] if self.spaced else [b""] * len(cuts)
             out += [head + ids for head, ids in zip(heads, self._known([rest for _, rest in cuts]), strict=True)]
             at = end
+        with _LOCK:
+            _USED["at"] = time.monotonic()
         return out
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_USED = {"at": 0.0, "watched": False}
+_LOCK = threading.Lock()
+
+
+def _watch() -> None:
+    """Drop the memos of a worker process once it is idle: later stages run in the same processes."""
+    while True:
+        time.sleep(IDLE)
+        with _LOCK:
+            if time.monotonic() - _USED["at"] > IDLE:
+                for one in _ENCODERS.values():
+                    one.memo.clear()
+                _USED["watched"] = False
+                return
 
 
 def encoder(path: str, spaced: bool) -> Encoder:
-    """The encoder of this worker process; its memo outlives a task."""
+    """The encoder of this worker process; its memo outlives a task for a few seconds."""
     if (path, spaced) not in _ENCODERS:
         _ENCODERS[path, spaced] = Encoder(path, spaced)
     return _ENCODERS[path, spaced]
