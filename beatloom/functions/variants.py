@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from beatloom import constants as K
+from beatloom.functions.arrays import keep_spaced
 from beatloom.functions.scalars import col
 
 
@@ -132,19 +133,6 @@ def reader(outer, inner=None):
 
 
 def normalize_starts(times) -> Column:
-    """W19 on the array of one document: sorted, non-negative, finite, no near repeats.
-
-    Already spaced arrays, the usual case, only pass one check; others are folded.
-    """
+    """W19 on the array of one document: sorted, non-negative, finite, no near repeats."""
     t = F.array_sort(F.filter(col(times), lambda x: (x >= 0) & ~F.isnan(x) & (x != float("inf"))))
-    gaps = F.zip_with(F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))), t, lambda a, b: a - b)
-    # the longer array pads with null, which the minimum skips
-    spaced = F.coalesce(F.array_min(gaps) > K.TIME_TOLERANCE, F.lit(True))
-    folded = F.aggregate(
-        t,
-        F.array().cast("array<double>"),
-        lambda kept, x: F.when(
-            (F.size(kept) > 0) & (x - F.element_at(kept, -1) <= K.TIME_TOLERANCE), kept
-        ).otherwise(F.concat(kept, F.array(x))),
-    )
-    return F.when(spaced, t).otherwise(folded)
+    return keep_spaced(t, K.TIME_TOLERANCE)

@@ -7,17 +7,13 @@ optional subdivisions_per_beat).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from beatloom import constants as K
+from beatloom.functions import arrays as A
 from beatloom.operators import ordered as O
-from beatloom.session import cut
 
 TRACK = ["track_id"]
 TIME_SIGNATURE = "struct<numerator:int,denominator:int>"
@@ -68,44 +64,42 @@ def fallback_grid(tracks: DataFrame) -> DataFrame:
 # --- W19 -------------------------------------------------------------------------
 
 
-def _keep_spaced(tolerance: float):
-    """Streamed rule: keep a value when it is more than ``tolerance`` after the last kept one."""
+def _finite(t: Column) -> Column:
+    return t.isNotNull() & ~F.isnan(t) & (t >= 0) & (t != float("inf"))
+
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, last = None, 0.0
-        for batch in batches:
-            tracks = batch.column("track_id").to_pylist()
-            runs = batch.column("__i").to_numpy()
-            times = batch.column("start_seconds").to_numpy()
-            keep = np.zeros(len(times), dtype=bool)
-            for i in range(len(times)):
-                k = (tracks[i], runs[i])
-                if k != key or not abs(last - times[i]) <= tolerance:
-                    key, last, keep[i] = k, times[i], True
-            yield batch.filter(pa.array(keep)).select(["track_id", "start_seconds"])
+def _head(starts: str, chunk: Column | str, tolerance: float) -> Column:
+    """Struct (head, ex) of a chunk: the starts that one kept before the chunk can rule out, and for each
+    number of them ruled out the last start kept and how many are kept."""
+    edge = F.col(chunk) * O.TIME_CHUNK
+    near = F.filter(starts, lambda x: x - edge <= 2 * tolerance)
+    return A.let(near, lambda h: F.struct(h.alias("head"), A.exits(F.col(starts), tolerance, F.size(h)).alias("ex")))
 
-    return step
+
+def _ruled_out(head: Column, last: Column, tolerance: float) -> Column:
+    """How many starts of a head lie within the tolerance of the last one kept."""
+    return F.coalesce(F.size(F.filter(head, lambda h: h - last <= tolerance)), F.lit(0))
 
 
 def normalize_starts(times: DataFrame, tolerance: float = K.TIME_TOLERANCE) -> DataFrame:
     """Finite, non-negative, sorted starts without near repeats of the last kept one.
 
-    A gap wider than the tolerance always starts a new run, so runs are independent. Single
-    values stay in the JVM; only runs of close values go through the streamed rule.
+    A chunk of a track is one sorted array, thinned as an array (``arrays.keep_spaced``). What a chunk takes
+    from those before it is the last start kept: a chunk's summary tells it for every way in, and one fold
+    over a track's summaries, one row for each chunk, settles all of them.
     """
-    t = F.col("start_seconds")
-    finite = t.isNotNull() & ~F.isnan(t) & (t >= 0) & (t != float("inf"))
-    d = times.where(finite).select("track_id", t.cast("double").alias("start_seconds")).distinct()
-    d = d.withColumn("__c", O.time_chunk("start_seconds"))
-    d = O.neighbors(d, TRACK, ["start_seconds"], "__c", prev={"__p": "start_seconds"}, next={"__n": "start_seconds"})
-    starts = F.coalesce(t - F.col("__p") > tolerance, F.lit(True))
-    ends = F.coalesce(F.col("__n") - t > tolerance, F.lit(True))
-    d = d.withColumns({"__s": starts, "__e": ends}).select("track_id", "start_seconds", "__c", "__s", "__e")
-    single = d.where(F.col("__s") & F.col("__e")).select("track_id", "start_seconds")
-    close = O.islands(d, TRACK, ["start_seconds"], "__c", F.col("__s"), "__i")
-    close = close.where(~(F.col("__s") & F.col("__e"))).select("track_id", "__i", "start_seconds")
-    kept = O.fold(close, ["track_id", "__i"], ["start_seconds"], single.schema, _keep_spaced(tolerance))
-    return single.unionByName(kept)
+    t = F.col("start_seconds").cast("double")
+    d = times.where(_finite(t)).groupBy("track_id", O.time_chunk(t).alias("c")).agg(F.sort_array(F.collect_set(t)).alias("t"))
+    heads = d.select("track_id", F.struct("c", _head("t", "c", tolerance).alias("h")).alias("x"))
+
+    def step(last: Column, x: Column) -> tuple[Column, Column]:
+        out = A.let(_ruled_out(x["h"]["head"], last, tolerance), lambda k: F.coalesce(F.get(x["h"]["ex"], k)["last"], last))
+        return out, F.struct(x["c"], last)
+
+    walk = A.scan(F.sort_array(F.collect_list("x")), F.lit(None), step, "double", "struct<c:bigint,last:double>")
+    ways = heads.groupBy("track_id").agg(walk["out"].alias("w")).select("track_id", F.inline("w"))
+    skip = F.coalesce(F.size(F.filter("t", lambda x: x - F.col("last") <= tolerance)), F.lit(0))
+    return d.join(ways, ["track_id", "c"]).select("track_id", F.explode(A.keep_spaced(F.col("t"), tolerance, skip)).alias("start_seconds"))
 
 
 # --- statistics of beats ----------------------------------------------------------
@@ -295,10 +289,14 @@ def interior_anchors(beats: DataFrame, subdivisions: DataFrame) -> DataFrame:
     ).select("track_id", F.col("beat.beat_index").alias("beat_index"), "anchor_seconds")
 
 
-def place_anchors(beats: DataFrame, subdivisions: DataFrame | None) -> DataFrame:
-    """Expand numbered beats into slots with a running subdivision index."""
+def place_anchors(beats: DataFrame, subdivisions: DataFrame | None, even: bool = False) -> DataFrame:
+    """Expand numbered beats into slots with a running subdivision index.
+
+    ``even``: all beats of a track have the same number of slots but for given subdivisions, and beat_index
+    counts from zero.
+    """
     b = beats
-    even = F.transform(
+    spread = F.transform(
         F.sequence(F.lit(0), F.col("subdivisions") - 1),
         lambda k: F.col("start_seconds") + k.cast("double") / F.col("subdivisions").cast("double") * F.col("beat_seconds"),
     )
@@ -308,12 +306,15 @@ def place_anchors(beats: DataFrame, subdivisions: DataFrame | None) -> DataFrame
         )
         b = b.join(inner, ["track_id", "beat_index"], "left")
         b = b.withColumn(
-            "__a", F.when(F.col("__inner").isNotNull(), F.concat(F.array("start_seconds"), F.col("__inner"))).otherwise(even)
+            "__a", F.when(F.col("__inner").isNotNull(), F.concat(F.array("start_seconds"), F.col("__inner"))).otherwise(spread)
         ).drop("__inner")
     else:
-        b = b.withColumn("__a", even)
+        b = b.withColumn("__a", spread)
     b = b.withColumns({"__c": O.index_chunk("beat_index"), "__n": F.size("__a")})
-    b = O.running(b, TRACK, ["beat_index"], "__c", sums={"__base": F.col("__n")})
+    if even and subdivisions is None:
+        b = b.withColumn("__base", (F.col("beat_index") + 1) * F.col("__n"))
+    else:
+        b = O.running(b, TRACK, ["beat_index"], "__c", sums={"__base": F.col("__n")})
     g = b.select("*", F.posexplode("__a").alias("subdivision_in_beat", "slot"))
     end = F.coalesce(F.get("__a", F.col("subdivision_in_beat") + 1), F.col("next_start"))
     first = F.col("subdivision_in_beat") == 0
@@ -341,18 +342,16 @@ def relative_onsets(hits: DataFrame, beats: DataFrame) -> DataFrame:
 
     Hits before the first beat or beyond the last beat's mean length are left out.
     """
-    b = with_next(beats.select("track_id", "start_seconds"))
-    gap = _gap()
-    info = b.groupBy("track_id").agg(
-        F.avg(gap).alias("final_seconds"), F.max("start_seconds").alias("last_start"), F.count(F.lit(1)).alias("n_beats")
-    ).where(F.col("n_beats") >= 2)
-    b = b.join(info, "track_id")
-    b = b.select(
-        "track_id",
-        "start_seconds",
-        F.coalesce("next_start", F.col("start_seconds") + F.col("final_seconds")).alias("next_start"),
-        (F.col("last_start") + F.col("final_seconds")).alias("limit"),
-    )
+    end = F.col("start_seconds") + F.col("final_seconds")
+    if "final_seconds" in beats.columns:  # numbered beats: the last one has no next_start
+        b = beats.where(F.col("next_start").isNotNull() | (F.col("beat_index") > 0))
+    else:
+        b = with_next(beats.select("track_id", "start_seconds"))
+        info = b.groupBy("track_id").agg(F.avg(_gap()).alias("final_seconds"), F.count(F.lit(1)).alias("n_beats"))
+        b = b.join(info.where(F.col("n_beats") >= 2), "track_id")
+    # a hit at an earlier beat lies before the next one, and so before any limit
+    limit = F.when(F.col("next_start").isNull(), end).otherwise(F.lit(float("inf")))
+    b = b.select("track_id", "start_seconds", F.coalesce("next_start", end).alias("next_start"), limit.alias("limit"))
     m = O.asof(
         hits.select("track_id", "onset_seconds"), b, TRACK, "onset_seconds", "start_seconds",
         ["start_seconds", "next_start", "limit"], "beat",
@@ -408,45 +407,200 @@ def infer_subdivisions(hits: DataFrame, beats: DataFrame) -> DataFrame:
     return s.select("track_id", F.aggregate(usable, start, better)["subs"].alias("subdivisions"))
 
 
+def _snapped(beats: DataFrame, downbeats: DataFrame, summary: DataFrame, tolerance: float) -> DataFrame:
+    """Rows (track_id, kind, t): thinned and snapped beats (kind 0) and downbeats (kind 1); W19 and W18 at once.
+
+    Chunks of both kinds share one exchange; a track's summaries give the last kept starts, the first
+    start, and the number and length of bars, so that thinning and both shifts need no second look.
+    """
+    rows = [df.select("track_id", F.lit(k).alias("kind"), F.col("start_seconds").cast("double").alias("t")) for k, df in enumerate((beats, downbeats))]
+    of = lambda k: F.sort_array(F.collect_set(F.when(F.col("kind") == k, F.col("t"))))
+    d = rows[0].unionByName(rows[1]).where(_finite(F.col("t"))).groupBy("track_id", O.time_chunk("t").alias("c")).agg(of(0).alias("b"), of(1).alias("d"))
+    heads = d.select(
+        "track_id", F.get("b", F.lit(0)).alias("fb"), F.get("d", F.lit(0)).alias("fd"),
+        F.struct("c", _head("b", "c", tolerance).alias("b"), _head("d", "c", tolerance).alias("d")).alias("x"),
+    )
+
+    def step(s: Column, x: Column) -> tuple[Column, Column]:
+        way = lambda kind, last: F.get(x[kind]["ex"], _ruled_out(x[kind]["head"], last, tolerance))
+        after = A.let(F.struct(way("b", s["b"]).alias("b"), way("d", s["d"]).alias("d")), lambda w: F.struct(
+            F.coalesce(w["b"]["last"], s["b"]).alias("b"), F.coalesce(w["d"]["last"], s["d"]).alias("d"), (s["n"] + w["d"]["n"]).alias("n"),
+        ))
+        return after, F.struct(x["c"], s["b"], s["d"])
+
+    start = F.struct(F.lit(None).alias("b"), F.lit(None).alias("d"), F.lit(0).alias("n"))
+    walk = A.scan(F.sort_array(F.collect_list("x")), start, step, "struct<b:double,d:double,n:bigint>", "struct<c:bigint,lb:double,ld:double>")
+    w = heads.groupBy("track_id").agg(walk.alias("w"), F.min("fb").alias("fb"), F.min("fd").alias("fd"))
+    w = w.join(summary.select("track_id", "tempo_bpm"), "track_id", "left")
+    n, last, tempo = F.col("w.state.n"), F.col("w.state.d"), F.col("tempo_bpm")
+    w = w.withColumn("sd", _snap_shift(F.col("fd"), F.when(n > 1, (last - F.col("fd")) / (n - 1)), tempo))
+    moved = lambda x: F.greatest(x - F.col("sd"), F.lit(0.0))
+    w = w.withColumn("sb", _snap_shift(F.col("fb"), F.when(n > 1, (moved(last) - moved(F.col("fd"))) / (n - 1)), tempo))
+    shift = F.struct(F.coalesce("sb", F.lit(0.0)).alias("b"), F.coalesce("sd", F.lit(0.0)).alias("d"))
+    ways = w.select("track_id", shift.alias("shift"), F.explode("w.out").alias("o")).select("track_id", "o.c", F.struct("shift", "o.lb", "o.ld").alias("w"))
+    kept = lambda k: A.keep_spaced(F.col(k), tolerance, F.coalesce(F.size(F.filter(k, lambda x: x - F.col(f"w.l{k}") <= tolerance)), F.lit(0)))
+    put = lambda k, kind: F.transform(kept(k), lambda x: F.struct(F.lit(kind).alias("kind"), F.greatest(x - F.col(f"w.shift.{k}"), F.lit(0.0)).alias("t")))
+    return d.join(ways, ["track_id", "c"]).select("track_id", F.inline(F.concat(put("b", 0), put("d", 1))))
+
+
+def _repaired(snapped: DataFrame, tolerance: float) -> DataFrame:
+    """W18b on rows (track_id, kind, t): chunks of starts and of bar edges, and for each chunk the bar that
+    is open where it begins and the one that comes after it, each with its place in the track's beats."""
+    edge = F.when(F.col("kind") == 1, F.col("t") - tolerance).otherwise(F.col("t"))
+    of = lambda k: F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.col("t"))))
+    d = snapped.groupBy("track_id", O.time_chunk(edge).alias("c")).agg(of(0).alias("b"), of(1).alias("d"))
+    place = A.ranks(F.col("b"), F.transform("d", lambda x: F.struct((x - tolerance).alias("v"), F.lit(-1).alias("o"))))
+    s = d.select("track_id", "c", F.size("b").alias("nb"), F.size("d").alias("nd"), F.struct(F.get("d", F.lit(0)).alias("d"), F.get("d", F.size("d") - 1).alias("z")).alias("e"), place.alias("r"))
+    s = s.select("track_id", "c", "nb", "nd", F.when(F.col("nd") > 0, F.struct(F.col("e.d").alias("t"), F.get("r", F.lit(0)).alias("r"))).alias("first"), F.when(F.col("nd") > 0, F.struct(F.col("e.z").alias("t"), F.get("r", F.size("r") - 1).alias("r"))).alias("last"))
+    w = Window.partitionBy("track_id").orderBy("c")
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    s = s.withColumn("base", F.coalesce(F.sum("nb").over(before), F.lit(0)))
+    whole = lambda e: F.when(F.col(e).isNotNull(), F.struct(F.col(f"{e}.t").alias("t"), (F.col(f"{e}.r") + F.col("base")).alias("r")))
+    s = s.withColumns({"first": whole("first"), "last": whole("last")})
+    s = s.select("track_id", "c", F.struct(
+        "base", F.last("last", ignorenulls=True).over(before).alias("open"), F.first("first", ignorenulls=True).over(after).alias("next"),
+        (F.sum("nd").over(Window.partitionBy("track_id")) >= 2).alias("barred"),
+    ).alias("s"))
+    d = d.join(s, ["track_id", "c"])
+    base, opened, following = F.col("s.base"), F.col("s.open"), F.col("s.next")
+
+    def bars(r: Column) -> Column:
+        n = F.size("d")
+        upto = lambda i: F.when(i < n, F.struct(F.get("d", i).alias("t"), (F.get(r, i) + base).alias("r"))).otherwise(following)
+        bar = lambda start, rank, end, low, high, mine: F.struct(
+            start.alias("start"), end["t"].alias("end"), (end["r"] - rank).alias("n"), low.alias("low"), high.alias("high"), F.lit(mine).alias("mine")
+        )
+        first = bar(opened["t"], opened["r"], upto(F.lit(0)), F.lit(0), F.coalesce(F.get(r, F.lit(0)), F.size("b")), False)
+        own = F.transform("d", lambda x, i: bar(x, F.get(r, i) + base, upto(i + 1), F.get(r, i), F.coalesce(F.get(r, i + 1), F.size("b")), True))
+        return F.concat(F.array(first), own)
+
+    def starts(bar: Column) -> Column:
+        step = (bar["end"] - bar["start"]) / K.BEATS_PER_BAR
+        beats = F.slice("b", bar["low"] + 1, bar["high"] - bar["low"])
+        made = F.when(bar["mine"], F.transform(F.sequence(F.lit(0), F.lit(K.BEATS_PER_BAR - 1)), lambda k: bar["start"] + k * step))
+        none = F.array().cast("array<double>")
+        as_is = bar["end"].isNull() | (bar["n"] == K.BEATS_PER_BAR) | (step <= 0.0001)
+        return F.when(bar["start"].isNull(), none).when(as_is, beats).otherwise(F.coalesce(made, none))
+
+    barred = A.let(place, lambda r: F.flatten(F.transform(bars(r), starts)))
+    all_ = F.when(F.col("s.barred"), barred).otherwise(F.col("b"))
+    put = lambda xs, kind: F.transform(xs, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("t")))
+    return d.select("track_id", F.inline(F.concat(put(all_, 0), put(F.col("d"), 1))))
+
+
+def _numbered(rows: DataFrame, summary: DataFrame, tolerance: float) -> DataFrame:
+    """W19, J13, W1, W2 and A25 on repaired rows: thinned beats with beat_index, bar_index, beat_in_bar,
+    start_seconds, next_start and final_seconds, the length given to the last beat.
+
+    A chunk's summary tells for every way in how many beats it keeps, where the first and last of them
+    lie, and where downbeats among them start bars, so one fold numbers all chunks.
+    """
+    home = O.time_chunk("t")
+    # a downbeat may decide about beats on the other side of a chunk's edge
+    near = F.array_distinct(F.array(O.time_chunk(F.col("t") - 2 * tolerance), O.time_chunk(F.col("t") + 2 * tolerance)))
+    placed = rows.select("track_id", "kind", "t", F.explode(F.when(F.col("kind") == 1, near).otherwise(F.array(home))).alias("c"))
+    of = lambda k: F.sort_array(F.collect_set(F.when(F.col("kind") == k, F.col("t"))))
+    d = placed.groupBy("track_id", "c").agg(of(0).alias("b"), of(1).alias("d")).where(F.size("b") > 0)
+
+    def flagged(kept: Column) -> Column:
+        """Beats with ``on``: a downbeat lies within the tolerance; the nearest on either side decides."""
+        hit = lambda x, i: F.coalesce(F.abs(F.get("d", i) - x) <= tolerance, F.lit(False))
+        return A.let(A.ranks(F.col("d"), F.transform(kept, lambda x: F.struct(x.alias("v"), F.lit(1).alias("o")))), lambda r: F.transform(
+            kept, lambda x, i: F.struct(x.alias("t"), (hit(x, F.get(r, i) - 1) | hit(x, F.get(r, i))).alias("on"))
+        ))
+
+    def way(kept: Column) -> Column:
+        """What a chunk that keeps these beats hands on: bars are counted from its first downbeat."""
+        on = F.filter(F.transform(flagged(kept), lambda x, i: F.when(x["on"], i)), lambda i: i.isNotNull())
+        quarter = lambda n: F.ceil(n / K.BEATS_PER_BAR).cast("bigint")
+        n = F.size(kept)
+        counted = A.let(on, lambda a: F.struct(
+            n.alias("n"), F.get(kept, F.lit(0)).alias("first"), F.get(kept, n - 1).alias("last"), F.get(a, F.lit(0)).alias("on"), F.get(a, F.size(a) - 1).alias("off"),
+            F.aggregate(F.zip_with(a, A.drop(a, F.lit(1)), lambda x, y: quarter(F.coalesce(y, n) - x)), F.lit(0).cast("bigint"), lambda s, x: s + x).alias("bars"),
+        ))
+        return F.when(n > 0, counted.cast(WAY))
+
+    near_edge = F.filter("b", lambda x: x - F.col("c") * O.TIME_CHUNK <= 2 * tolerance)
+    ways = F.transform(A.numbers(F.size("h") + 1), lambda k: A.let(A.keep_spaced(F.col("b"), tolerance, k), way))
+    heads = d.withColumn("h", near_edge).select("track_id", F.struct("c", F.col("h").alias("head"), ways.alias("ways")).alias("x"))
+
+    def step(s: Column, x: Column) -> tuple[Column, Column]:
+        def after(w: Column) -> Column:
+            # bars that start before the first downbeat of the chunk: every four beats from the last one
+            lead = F.coalesce(w["on"], w["n"])
+            begun = lambda i: F.floor((i - s["from"] + K.BEATS_PER_BAR - 1) / K.BEATS_PER_BAR)
+            return F.struct(
+                F.coalesce(w["last"], s["last"]).alias("last"), F.coalesce(s["first"], w["first"]).alias("first"), (s["n"] + F.coalesce(w["n"], F.lit(0))).alias("n"),
+                F.coalesce(s["n"] + w["off"], s["from"]).alias("from"),
+                (s["bars"] + F.coalesce(begun(s["n"] + lead) - begun(s["n"]) + w["bars"], F.lit(0))).alias("bars"), w["first"].alias("opens"),
+            )
+
+        out = A.let(F.get(x["ways"], _ruled_out(x["head"], s["last"], tolerance)), after)
+        return out, F.struct(x["c"], s["last"], s["n"], s["from"], s["bars"], A.let(out, lambda o: o["opens"]))
+
+    start = F.struct(F.lit(None).alias("last"), F.lit(None).alias("first"), F.lit(0).alias("n"), F.lit(0).alias("from"), F.lit(0).alias("bars"), F.lit(None).alias("opens"))
+    walk = A.scan(F.sort_array(F.collect_list("x")), start, step, "struct<last:double,first:double,n:bigint,from:bigint,bars:bigint,opens:double>", "struct<c:bigint,last:double,n:bigint,from:bigint,bars:bigint,opens:double>")
+    w = heads.groupBy("track_id").agg(walk.alias("w")).join(summary.select("track_id", "tempo_bpm"), "track_id", "left")
+    n = F.col("w.state.n")
+    mean = F.when(n > 1, (F.col("w.state.last") - F.col("w.state.first")) / (n - 1))
+    final = F.coalesce(mean, F.when(F.col("tempo_bpm") > 0, 60.0 / F.col("tempo_bpm")), F.lit(0.5))
+    # chunks that keep a beat, each with the first beat of the next such chunk
+    keeping = F.filter("w.out", lambda x: x["opens"].isNotNull())
+    chunks = A.let(keeping, lambda xs: F.transform(xs, lambda x, i: F.struct(x.alias("x"), F.get(xs, i + 1)["opens"].alias("next"))))
+    chunks = w.select("track_id", final.alias("final"), "tempo_bpm", F.explode(chunks).alias("o"))
+    chunks = chunks.select("track_id", F.col("o.x.c").alias("c"), F.struct("o.x", "o.next", "final", "tempo_bpm").alias("w"))
+    skip = F.coalesce(F.size(F.filter("b", lambda x: x - F.col("w.x.last") <= tolerance)), F.lit(0))
+
+    def numbered(kept: Column) -> Column:
+        def next_beat(s: Column, x: Column) -> tuple[Column, Column]:
+            from_ = F.when(x["on"] | (s["n"] == 0), s["n"]).otherwise(s["from"])
+            pos = (s["n"] - from_) % K.BEATS_PER_BAR
+            after = F.struct((s["n"] + 1).alias("n"), from_.alias("from"), (s["bars"] + F.when(pos == 0, 1).otherwise(0)).alias("bars"))
+            return after, F.struct(x["t"], s["n"], (after["bars"] - 1), pos + 1)
+
+        start = F.struct(F.col("w.x.n").alias("n"), F.col("w.x.from").alias("from"), F.col("w.x.bars").alias("bars"))
+        out = A.scan(flagged(kept), start, next_beat, "struct<n:bigint,from:bigint,bars:bigint>", "struct<start_seconds:double,beat_index:bigint,bar_index:int,beat_in_bar:int>")["out"]
+        return F.transform(out, lambda x, i: F.struct(x.alias("x"), F.coalesce(F.get(kept, i + 1), F.col("w.next")).alias("next_start")))
+
+    b = d.join(chunks, ["track_id", "c"]).select("track_id", "w", F.explode(A.let(A.keep_spaced(F.col("b"), tolerance, skip), numbered)).alias("o"))
+    return b.select("track_id", "o.x.*", "o.next_start", F.col("w.final").alias("final_seconds"), F.col("w.tempo_bpm").alias("tempo_bpm"))
+
+
+WAY = "struct<n:bigint,first:double,last:double,on:bigint,off:bigint,bars:bigint>"
+
+
 def beat_grid(
     beats: DataFrame,
     downbeats: DataFrame,
     subdivisions: DataFrame | None,
     summary: DataFrame,
     hits: DataFrame | None = None,
+    tolerance: float = K.TIME_TOLERANCE,
 ) -> DataFrame:
     """Grid from detected beats (G2): snap, repair, number, and split into slots.
 
     Slots per beat: the explicit count of the summary, else the count that fits ``hits`` best,
-    else four; never more than twelve.
+    else four; never more than twelve. Rows are exchanged three times, each time into sorted arrays by track and
+    chunk: as given, snapped, and repaired. In between only summaries of chunks move. A chunk's array holds the
+    distinct starts of 16 seconds. Nothing runs before the caller's own action.
     """
-    raw = cut(normalize_starts(beats))
-    d = cut(snap_downbeats(cut(normalize_starts(downbeats)), summary))
-    b = cut(normalize_starts(cut(repair_bars(cut(snap_beats(raw, d, summary)), d))))
+    b = _numbered(_repaired(_snapped(beats, downbeats, summary, tolerance), tolerance), summary, tolerance)
     info = summary.select(
         "track_id", "confidence",
         *(["subdivisions_per_beat"] if "subdivisions_per_beat" in summary.columns else [F.lit(None).cast("int").alias("subdivisions_per_beat")]),
     )
     given = F.col("subdivisions_per_beat")
-    explicit = F.when(given.isNotNull(), F.least(F.greatest(given, F.lit(1)), F.lit(K.MAX_SUBDIVISIONS)))
+    chosen = F.when(given.isNotNull(), F.least(F.greatest(given, F.lit(1)), F.lit(K.MAX_SUBDIVISIONS)))
     if hits is not None:
-        info = info.join(cut(infer_subdivisions(hits, b)), "track_id", "left")
-        chosen = F.coalesce(explicit, F.col("subdivisions"), F.lit(K.DEFAULT_SUBDIVISIONS))
-    else:
-        chosen = F.coalesce(explicit, F.lit(K.DEFAULT_SUBDIVISIONS))
-    has_down = d.select("track_id").distinct().withColumn("has_down", F.lit(True))
-    info = info.join(has_down, "track_id", "left").select(
-        "track_id", "confidence", F.least(F.greatest(chosen, F.lit(1)), F.lit(K.MAX_SUBDIVISIONS)).cast("int").alias("subdivisions"), "has_down"
-    )
-    b = cut(number_beats(b)).join(info, "track_id", "left").withColumn(
-        "subdivisions", F.coalesce("subdivisions", F.lit(K.DEFAULT_SUBDIVISIONS))
-    )
-    b = match_downbeats(b, d).withColumn(
-        "on_downbeat", F.col("on_downbeat") | (F.col("has_down").isNull() & (F.col("beat_index") % 4 == 0))
-    ).drop("has_down")
-    b = cut(beat_durations(cut(number_bars(cut(b))), summary))
-    subs = cut(normalize_starts(subdivisions)) if subdivisions is not None else None
-    return place_anchors(b, subs)
+        info = info.join(infer_subdivisions(hits, b), "track_id", "left")
+        chosen = F.coalesce(chosen, F.col("subdivisions"))
+    slots = F.least(F.greatest(F.coalesce(chosen, F.lit(K.DEFAULT_SUBDIVISIONS)), F.lit(1)), F.lit(K.MAX_SUBDIVISIONS)).cast("int")
+    b = b.join(info.select("track_id", "confidence", slots.alias("subdivisions")), "track_id", "left")
+    b = b.withColumn("subdivisions", F.coalesce("subdivisions", F.lit(K.DEFAULT_SUBDIVISIONS)))
+    b = b.withColumn("next_start", F.coalesce("next_start", F.col("start_seconds") + F.col("final_seconds")))
+    b = b.withColumn("beat_seconds", F.greatest(F.col("next_start") - F.col("start_seconds"), F.col("final_seconds") / F.col("subdivisions")))
+    b = b.withColumn("local_tempo", F.when(F.col("beat_seconds") > 0, 60.0 / F.col("beat_seconds")).otherwise(F.col("tempo_bpm")))
+    return place_anchors(b, None if subdivisions is None else normalize_starts(subdivisions), even=True)
 
 
 def synth_grid(tracks: DataFrame, onsets: DataFrame) -> DataFrame:
