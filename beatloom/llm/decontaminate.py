@@ -30,6 +30,7 @@ from beatloom.llm.tokens import slices
 WORD = re.compile(r"\w+")
 SIMILARITY = 0.8
 ITEMS = 20_000  # items of one block; more items mean more passes over the documents
+PART = 1 << 21  # bytes of text whose words are held at once
 REPETITIONS, SAMPLED = 32, 3
 SCHEMA = "doc_id long, item_id long, distance int, similarity double, start_word long, end_word long"
 
@@ -198,7 +199,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part, texts in slices(batch, 1):
+                for part, texts in slices(batch, 1, PART):
                     hits = index.find(texts)
                     columns = [[part.column(0)[i].as_py() for i, *_ in hits], [index.ids[h[1]] for h in hits], [h[2] for h in hits], [1 - h[2] / len(index.items[h[1]]) for h in hits], [h[3] for h in hits], [h[4] for h in hits]]
                     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64()]
@@ -219,7 +220,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part, texts in slices(batch, batch.schema.names.index(text)):
+                for part, texts in slices(batch, batch.schema.names.index(text), PART):
                     dirty = {i for i, *_ in index.find(texts)}
                     yield part.filter(pa.array([i not in dirty for i in range(part.num_rows)], pa.bool_()))
 

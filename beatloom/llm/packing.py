@@ -27,18 +27,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from beatloom.llm.staging import stage
-from beatloom.llm.tokens import encoder, slices
+from beatloom.llm.tokens import MEMO, encoder, slices
 
 QUEUES = 256  # up to so many sources tasks count the slices due before; beyond, slices are sorted
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, doc_id: str, text: str, source: str) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, doc_id: str, text: str, source: str, memo: int) -> DataFrame:
     """Staged rows (part, source, local, doc_id, n, ids): ``local`` counts the part's earlier tokens of the
     same source. The source is prefixed by "s", so that a null source is a key as well."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, seen, part_id = encoder(tokenizer, spaced), defaultdict(int), TaskContext.get().partitionId()
+        codes, seen, part_id = encoder(tokenizer, spaced, memo), defaultdict(int), TaskContext.get().partitionId()
         end = np.array([end_id], codes.dtype).tobytes()
         for batch in batches:
             for part, texts in slices(batch, 1):
@@ -173,7 +173,7 @@ def sorted_slices(bases: DataFrame, totals: DataFrame, weights: dict[str, float]
 
 def pack(
     docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, window: int = 2048, quantum: int = 128, weights: dict[str | None, float] | None = None,
-    with_ids: bool = True, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+    with_ids: bool = True, doc_id: str = "doc_id", text: str = "text", source: str = "source", memo: int = MEMO,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if
     ``with_ids``, ids (little-endian unsigned 32-bit).
@@ -182,11 +182,12 @@ def pack(
     queues end together. If some are given, a source without one has weight 1. Every source, however many, is a
     queue of its own. A queue that is used up leaves its share to the others. All sequences are full but
     for the last few, whose lengths are powers of two. Null texts are empty (one end id), null sources are one
-    queue, rows with equal ids are separate documents, an empty table gives no rows.
+    queue, rows with equal ids are separate documents, an empty table gives no rows. ``memo`` bounds the bytes
+    of token ids that a worker keeps.
     """
     if window % quantum:
         raise ValueError("the quantum must divide the window")
-    ids = encode_documents(docs, tokenizer, spaced, end_id, doc_id, text, source)
+    ids = encode_documents(docs, tokenizer, spaced, end_id, doc_id, text, source, memo)
     sums = stage(ids.groupBy("part", "source").agg(F.sum("n").alias("n")), "packing-sums")
     totals = sums.groupBy("source").agg(F.sum("n").alias("total"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part and source

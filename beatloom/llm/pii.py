@@ -283,7 +283,7 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.names.index(text)
-            for part, texts in slices(batch, at):
+            for part, texts in slices(batch, at, 1 << 21):
                 known = part.column(at).is_valid().to_pylist()
                 masked = [mask(t) if k else None for t, k in zip(texts, known, strict=True)]
                 columns = dict(zip(part.schema.names, part.columns, strict=True))

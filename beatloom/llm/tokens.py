@@ -29,6 +29,7 @@ ODD_SPACE = re.compile(r" \s|\s |^ | $")
 
 #: Bytes that a piece takes in the memo beside its characters and ids: two objects and a place in the table.
 ENTRY = 190
+MEMO = 384 << 20
 IDLE = 3.0  # seconds until an unused memo is dropped
 
 
@@ -58,7 +59,7 @@ class Encoder:
     """Ids of texts. ``spaced``: the pre-tokenizer keeps a space before a word (byte-level kind); otherwise
     white space is dropped. ``memo`` bounds the bytes of pieces kept; ``part`` the characters at work."""
 
-    def __init__(self, path: str, spaced: bool, memo: int = 384 << 20, part: int = 1 << 20) -> None:
+    def __init__(self, path: str, spaced: bool, memo: int = MEMO, part: int = 1 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -152,7 +153,7 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_ENCODERS: dict[tuple[str, bool, int], Encoder] = {}
 _USED = {"at": 0.0, "watched": False}
 _LOCK = threading.Lock()
 
@@ -169,11 +170,11 @@ def _watch() -> None:
                 return
 
 
-def encoder(path: str, spaced: bool) -> Encoder:
+def encoder(path: str, spaced: bool, memo: int = MEMO) -> Encoder:
     """The encoder of this worker process; its memo outlives a task for a few seconds."""
-    if (path, spaced) not in _ENCODERS:
-        _ENCODERS[path, spaced] = Encoder(path, spaced)
-    return _ENCODERS[path, spaced]
+    if (path, spaced, memo) not in _ENCODERS:
+        _ENCODERS[path, spaced, memo] = Encoder(path, spaced, memo)
+    return _ENCODERS[path, spaced, memo]
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 23) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
