@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beatloom import constants as K
-from beatloom.functions import scalars as S
-from beatloom.operators import ordered as O
+from beatloom.operators import folds
 
 
 def first_seen(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -53,93 +48,18 @@ def union_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return j.select(*keys, F.coalesce("l", F.lit(0)).alias("primary"), F.coalesce("r", F.lit(0)).alias("fallback"))
 
 
-def _greedy(tolerance: float):
-    """Streamed one-to-one matching of two sorted sides within runs of close onsets.
-
-    A primary onset is decided once the stream has moved past its window, so only the onsets
-    inside one tolerance window are held. It takes the nearest unused fallback onset, the
-    earlier one on a tie.
-    """
-    names = ["track_id", "kind", "primary_pos", "fallback_pos", "primary_onset", "fallback_onset"]
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, waiting, free, out = None, [], [], []
-
-        def decide(now):
-            nonlocal waiting, free
-            while waiting and (now is None or now > waiting[0][0] + tolerance):
-                t, pos = waiting.pop(0)
-                best = None
-                for k, (rt, rpos) in enumerate(free):
-                    d = abs(rt - t)
-                    if d <= tolerance and (best is None or d < best[0]):
-                        best = (d, k)
-                if best is None:
-                    out.append((key[0], "primary_only", pos, None, t, None))
-                else:
-                    rt, rpos = free.pop(best[1])
-                    out.append((key[0], "matched", pos, rpos, t, rt))
-            # a free onset earlier than every window still open can no longer be taken
-            low = waiting[0][0] - tolerance if waiting else (now - tolerance if now is not None else float("inf"))
-            while free and free[0][0] < low:
-                rt, rpos = free.pop(0)
-                out.append((key[0], "fallback_only", None, rpos, None, rt))
-
-        for batch in batches:
-            rows = batch.to_pydict()
-            for track, run, t, side, pos in zip(rows["track_id"], rows["__i"], rows["t"], rows["side"], rows["pos"]):
-                if (track, run) != key:
-                    if key is not None:
-                        decide(None)
-                    key = (track, run)
-                else:
-                    decide(t)
-                (waiting if side == 0 else free).append((t, pos))
-            if out:
-                done, out[:] = list(out), []
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in done], schema=schema)
-        if key is not None:
-            decide(None)
-        if out:
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=schema)
-
-    schema = pa.schema(
-        [("track_id", pa.int64()), ("kind", pa.string()), ("primary_pos", pa.int64()), ("fallback_pos", pa.int64()),
-         ("primary_onset", pa.float64()), ("fallback_onset", pa.float64())]
-    )
-
-    def typed(track_type):
-        nonlocal schema
-        if track_type == "string":
-            schema = schema.set(0, pa.field("track_id", pa.string()))
-        return step
-
-    return typed
-
-
 def match_onsets(primary: DataFrame, fallback: DataFrame, tolerance: float = K.ONSET_MATCH_TOLERANCE) -> DataFrame:
     """Greedy one-to-one matching of onsets, primary order first.
 
-    Both sides: track_id, pos, onset_seconds, with pos in onset order. No pair crosses a gap wider
-    than the tolerance in the merged onsets, so the runs between such gaps are independent.
-    ``kind`` is matched, shifted (moved by more than half a millisecond), primary_only or
-    fallback_only.
+    Both sides: track_id, pos, onset_seconds, with pos in onset order. A long run without a gap is split where
+    few fallback onsets are within reach of both sides (``folds``); where more than six are at every place in
+    twelve seconds, a segment goes on. ``kind`` is matched, shifted (moved by more than half a millisecond),
+    primary_only or fallback_only.
     """
     side = lambda df, k: df.select(
-        "track_id", F.col("onset_seconds").alias("t"), F.lit(k).alias("side"), F.col("pos").cast("long").alias("pos")
-    )
-    both = side(primary, 0).unionByName(side(fallback, 1)).where(F.col("t").isNotNull())
-    both = both.withColumn("__c", O.time_chunk("t"))
-    order = ["t", "side", "pos"]
-    both = O.neighbors(both, ["track_id"], order, "__c", prev={"before": "t"})
-    starts = F.coalesce(F.col("t") - F.col("before") > tolerance, F.lit(True))
-    runs = O.islands(both.withColumn("s", starts).drop("before"), ["track_id"], order, "__c", F.col("s"), "__i")
-    kind = "string" if runs.schema["track_id"].dataType.typeName() == "string" else "long"
-    out = O.fold(
-        runs.select("track_id", "__i", "t", "side", "pos"), ["track_id", "__i"], order,
-        f"track_id {kind}, kind string, primary_pos long, fallback_pos long, primary_onset double, fallback_onset double",
-        _greedy(tolerance)(kind),
+        "track_id", F.col("onset_seconds").cast("double").alias("t"), F.lit(k).alias("side"), F.col("pos").cast("long").alias("pos")
     )
+    out = folds.match_sides(side(primary, 0).unionByName(side(fallback, 1)).where(F.col("t").isNotNull()), tolerance)
     delta = F.round(F.col("fallback_onset") - F.col("primary_onset"), 6)
     return out.withColumn("delta", delta).withColumn(
         "kind", F.when(F.abs("delta") > K.TIME_TOLERANCE, "shifted").otherwise(F.col("kind"))

@@ -5,10 +5,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +12,7 @@ from pyspark.sql.window import Window
 from beatloom import constants as K
 from beatloom.functions import scalars as S
 from beatloom.operators import events as E
+from beatloom.operators import folds
 from beatloom.operators import grid as G
 from beatloom.operators import ordered as O
 from beatloom.session import cut
@@ -65,28 +62,6 @@ def peak_threshold(series: DataFrame) -> DataFrame:
     return mean.join(p, "track_id").select("track_id", F.greatest(F.col("rank_value"), F.col("m") * 1.35).alias("threshold"))
 
 
-def _strongest_in_gap(min_gap: int):
-    """Streamed rule over candidate peaks: within the gap of the last kept one the stronger stays."""
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, last = None, None
-        for batch in batches:
-            rows, out = batch.to_pydict(), []
-            for track, run, frame, value in zip(rows["track_id"], rows["__i"], rows["frame"], rows["novelty"]):
-                if (track, run) != key or frame - last[1] >= min_gap:
-                    if last is not None:
-                        out.append(last)
-                    key, last = (track, run), (track, frame, value)
-                elif value > last[2]:
-                    last = (track, frame, value)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], names=["track_id", "frame", "novelty"])
-        if last is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in last], names=["track_id", "frame", "novelty"])
-
-    return step
-
-
 def detect_peaks(series: DataFrame, threshold: DataFrame, rate: int = K.SAMPLE_RATE, hop: int = K.HOP_SIZE) -> DataFrame:
     """Onsets: local maxima over the threshold, at least the minimum gap apart."""
     gap = max(1, int(K.MIN_EVENT_GAP * rate / hop))
@@ -98,11 +73,9 @@ def detect_peaks(series: DataFrame, threshold: DataFrame, rate: int = K.SAMPLE_R
     r = r.withColumns({"before": F.lag("novelty").over(w), "after": F.lead("novelty").over(w)})
     r = r.where((F.floor(f / FRAME_CHUNK) == F.col("__c")) & (v >= F.col("before")) & (v >= F.col("after")))
     c = r.join(threshold, "track_id").where(v >= F.col("threshold")).select("track_id", "frame", "novelty", "__c")
-    c = O.neighbors(c, TRACK, ["frame"], "__c", prev={"last_frame": "frame"})
-    starts = F.coalesce(f - F.col("last_frame") >= gap, F.lit(True))
-    c = O.islands(c.withColumn("s", starts).drop("last_frame"), TRACK, ["frame"], "__c", F.col("s"), "__i")
-    kind = c.schema["track_id"].dataType.simpleString()
-    kept = O.fold(c.select("track_id", "__i", "frame", "novelty"), ["track_id", "__i"], ["frame"], f"track_id {kind}, frame long, novelty double", _strongest_in_gap(gap))
+    c = c.select("track_id", "__c", F.col("frame").alias("n"), F.col("frame").cast("double").alias("t"), F.col("novelty").alias("v"), F.lit(float(gap)).alias("gap"), F.lit(0).alias("lane"))
+    # of equally strong peaks of a run the first stays
+    kept = folds.last_kept_runs(c).groupBy("track_id", "run").agg(F.max(F.struct("v", (-F.col("n")).alias("n"))).alias("b")).select("track_id", (-F.col("b.n")).alias("frame"))
     return kept.select("track_id", "frame", (F.col("frame") * hop / F.lit(float(rate))).alias("onset_seconds"))
 
 
@@ -312,51 +285,20 @@ def _gap_of() -> Column:
     return F.when(interval > 0, F.least(base, F.greatest(interval * 0.24, F.lit(0.045)))).otherwise(base)
 
 
-def _same_lane_fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streamed rule: a hit within the gap of the last kept one is merged, the stronger staying."""
-    key, last = None, None
-    names = None
-    for batch in batches:
-        names = [n for n in batch.schema.names if n not in ("__i", "__gap")]
-        out = []
-        for row in batch.to_pylist():
-            k = (row["track_id"], row["__i"])
-            if k != key or row["onset_seconds"] - last["onset_seconds"] >= row["__gap"]:
-                if last is not None:
-                    out.append(last)
-                key, last = k, row
-                last["merged"] = 0
-            else:
-                merged = last["merged"] + 1
-                if row["confidence"] > last["confidence"]:
-                    last = row
-                last["merged"] = merged
-        if out:
-            yield pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in out], schema=pa.schema([batch.schema.field(n) for n in names]))
-        schema = pa.schema([batch.schema.field(n) for n in names])
-    if last is not None:
-        yield pa.RecordBatch.from_pylist([{n: last[n] for n in names}], schema=schema)
-
-
 def dedupe_same_lane(hits: DataFrame) -> DataFrame:
     """Merge same-lane hits closer than the lane's gap to the last kept hit.
 
-    ``hits``: track_id, onset_seconds, lane, label, confidence, beat_interval. A lane change or a
-    gap as wide as the lane's own ends a run, so runs are independent; hits alone in their run
-    never leave the JVM. ``merged`` counts what each kept hit absorbed.
+    ``hits``: track_id, onset_seconds, lane, label, confidence, beat_interval. The stronger of two hits stays,
+    the earlier on a tie; a lane change ends a run. ``merged`` counts what each kept hit absorbed. Runs come
+    from ``folds``, which splits a long run where few hits could still be the last kept one.
     """
     cols = ["track_id", "onset_seconds", "lane", "label", "confidence"]
-    h = hits.select(*cols, _gap_of().alias("__gap")).withColumn("__c", O.time_chunk("onset_seconds"))
-    order = ["onset_seconds", "lane", "confidence"]
-    h = O.neighbors(h, TRACK, order, "__c", prev={"pl": "lane", "pt": "onset_seconds"}, next={"nl": "lane", "nt": "onset_seconds", "ng": "__gap"})
-    t = F.col("onset_seconds")
-    starts = F.coalesce((F.col("pl") != F.col("lane")) | (t - F.col("pt") >= F.col("__gap")), F.lit(True))
-    ends = F.coalesce((F.col("nl") != F.col("lane")) | (F.col("nt") - t >= F.col("ng")), F.lit(True))
-    h = h.withColumns({"s": starts, "e": ends}).select(*cols, "__gap", "__c", "s", "e")
-    alone = h.where(F.col("s") & F.col("e")).select(*cols, F.lit(0).cast("long").alias("merged"))
-    runs = O.islands(h, TRACK, order, "__c", F.col("s"), "__i").where(~(F.col("s") & F.col("e")))
-    runs = runs.select(*cols, F.lit(0).cast("long").alias("merged"), "__i", "__gap")
-    return alone.unionByName(O.fold(runs, ["track_id", "__i"], order, alone.schema, _same_lane_fold))
+    h = O._placed(hits.select(*cols, _gap_of().alias("gap"), O.time_chunk("onset_seconds").alias("__c")), TRACK, "__c")
+    w = Window.partitionBy("track_id", "__c").orderBy("onset_seconds", "lane", "confidence", "label")
+    h = h.withColumn("n", F.shiftleft(F.col("__c"), 32) + F.row_number().over(w))
+    rows = h.select("track_id", "__c", "n", F.col("onset_seconds").alias("t"), F.coalesce("confidence", F.lit(float("-inf"))).alias("v"), "gap", "lane")
+    best = folds.last_kept_runs(rows).groupBy("track_id", "run").agg(F.max(F.struct("v", (-F.col("n")).alias("n"))).alias("b"), (F.count(F.lit(1)) - 1).alias("merged"))
+    return h.join(best.select("track_id", (-F.col("b.n")).alias("n"), "merged"), ["track_id", "n"]).select(*cols, "merged")
 
 
 def shape_classified(classified: DataFrame, beats: DataFrame) -> dict[str, DataFrame]:
