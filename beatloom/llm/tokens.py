@@ -28,8 +28,8 @@ ODD_SPACE = re.compile(r" \s|\s |^ | $")
 
 
 #: Bytes that a piece takes in the memo beside its characters and ids: two objects and a place in the table.
-ENTRY = 190
-MEMO = 384 << 20
+ENTRY = 150
+MEMO = 448 << 20
 IDLE = 3.0  # seconds until an unused memo is dropped
 
 
