@@ -54,10 +54,17 @@ def e04(spark, sf):
     return D.union_keys(n(V.hits), n(V.hits_b), ["track_id", "label"])
 
 
-@query("j08_match_onsets")
+WITH["pairs"] = """SELECT track_id, fl, unnest(list_reduce(l, lambda s, x: {'m': s.m || list_transform(x.m, lambda z: CASE WHEN z.b IS NOT NULL THEN {'i': z.i, 't': z.t, 'b': z.b} ELSE
+ {'i': z.i, 't': z.t, 'b': list_sort(list_transform(list_filter(fl, lambda y: abs(y.t - z.t) <= 0.05 AND NOT list_contains(list_transform(s.m, lambda o: o.b.p), y.p)), lambda y: {'d': abs(y.t - z.t), 'p': y.p, 't': y.t}))[1]} END)}).m) AS m
+ FROM (SELECT track_id, list_prepend({'m': []::STRUCT(i BIGINT, t DOUBLE, b STRUCT(d DOUBLE, p BIGINT, t DOUBLE))[]}, list({'m': [{'i': pos::BIGINT, 't': onset_seconds, 'b': NULL::STRUCT(d DOUBLE, p BIGINT, t DOUBLE)}]} ORDER BY pos)) AS l FROM pos_a GROUP BY 1)
+ LEFT JOIN (SELECT track_id, list({'p': pos::BIGINT, 't': onset_seconds} ORDER BY pos) AS fl FROM pos_b GROUP BY 1) USING (track_id)"""
+
+
+@query("j08_match_onsets", """SELECT track_id, CASE WHEN m.b IS NULL THEN 'primary_only' WHEN abs(round(m.b.t - m.t, 6)) > 0.0005 THEN 'shifted' ELSE 'matched' END AS kind, m.i AS primary_pos, m.b.p AS fallback_pos, round(m.b.t - m.t, 6) AS delta FROM pairs
+ UNION ALL SELECT track_id, 'fallback_only', NULL, pos, NULL FROM pos_b b WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.track_id = b.track_id AND p.m.b.p = b.pos)""")
 def j08(spark, sf):
     m = D.match_onsets(ranked(spark, sf, V.hits), ranked(spark, sf, V.hits_b))
-    return m.groupBy("track_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return m.select("track_id", "kind", "primary_pos", "fallback_pos", "delta")
 
 
 def provenance(spark, sf, shift):
@@ -258,7 +265,12 @@ def a26r(spark, sf):
     return SG.nearest_rank(V.hits(spark, sf), "onset_seconds", 0.85).withColumn("rank_value", r6("rank_value"))
 
 
-@query("w16_detect_peaks")
+WITH["peaks"] = """SELECT track_id, frame, novelty FROM (SELECT *, lag(novelty) OVER w AS before, lead(novelty) OVER w AS behind FROM nov WINDOW w AS (PARTITION BY track_id ORDER BY frame)) JOIN thr USING (track_id)
+ WHERE novelty >= before AND novelty >= behind AND novelty >= threshold"""
+
+
+@query("w16_detect_peaks", """SELECT track_id, frame, frame*8/400.0::DOUBLE AS onset_seconds FROM (SELECT track_id, unnest(list_reduce(list({'k': [frame], 'f': frame, 'v': novelty} ORDER BY frame), lambda s, x:
+ CASE WHEN x.f - s.f >= 3 THEN {'k': s.k || x.k, 'f': x.f, 'v': x.v} WHEN x.v > s.v THEN {'k': s.k[:len(s.k) - 1] || x.k, 'f': x.f, 'v': x.v} ELSE s END).k) AS frame FROM peaks GROUP BY 1)""")
 def w16(spark, sf):
     c = cut(curve(spark, sf))
     return SG.detect_peaks(c, SG.peak_threshold(c), RATE, HOP)
@@ -337,7 +349,15 @@ def w20(spark, sf):
     return SG.filter_weak(located(spark, sf)).select("event_id", "weak")
 
 
-@query("w13_dedupe_same_lane")
+WITH["lane_gaps"] = """SELECT *, CASE WHEN g > 0 THEN least(base, greatest(g*0.24, 0.045)) ELSE base END AS gap FROM (SELECT *, CASE ln WHEN 'kick' THEN 0.075 WHEN 'snare' THEN 0.10 WHEN 'closed_hihat' THEN 0.055
+ WHEN 'open_hihat' THEN 0.08 WHEN 'crash' THEN 0.16 ELSE 0.14 END::DOUBLE AS base FROM cls)"""
+
+
+@query("w13_dedupe_same_lane", """SELECT track_id, k.t AS onset_seconds, k.lane AS lane, k.label AS label, k.c AS confidence, k.m AS merged FROM (SELECT track_id, unnest(list_reduce(
+ list({'k': [{'t': onset_seconds, 'lane': ln, 'label': ln, 'c': conf, 'm': 0}], 'gap': gap} ORDER BY onset_seconds, ln, conf, label), lambda s, x: {'gap': x.gap, 'k':
+ CASE WHEN s.k[len(s.k)].lane <> x.k[1].lane OR x.k[1].t - s.k[len(s.k)].t >= x.gap THEN s.k || x.k
+ WHEN x.k[1].c > s.k[len(s.k)].c THEN s.k[:len(s.k) - 1] || list_transform(x.k, lambda z: {'t': z.t, 'lane': z.lane, 'label': z.label, 'c': z.c, 'm': s.k[len(s.k)].m + 1})
+ ELSE s.k[:len(s.k) - 1] || list_transform(s.k[len(s.k):], lambda z: {'t': z.t, 'lane': z.lane, 'label': z.label, 'c': z.c, 'm': z.m + 1}) END}).k) AS k FROM lane_gaps GROUP BY 1)""")
 def w13(spark, sf):
     return SG.dedupe_same_lane(cut(located(spark, sf)))
 
