@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -295,3 +296,19 @@ def test_benchmark_frames(documents, no_documents):
     assert kept.columns == documents.columns and kept.count() == documents.count() - 1
     assert decontaminate.find_passages(no_documents, items).count() == 0
     assert decontaminate.find_passages(documents, items.filter("false")).count() == 0
+
+
+def test_texts_with_very_many_matches(spark):
+    """Two megabytes with 20,000 matches, told as plain regular expressions tell them, in seconds."""
+    line = "password=hunter2hunter2 and other words of a log line, long enough to fill some space in the text 0123456789\n"
+    text = line * 20_000
+    assert len(text) > 2_000_000
+    df = spark.createDataFrame([(1, text), (2, "mit license and " * 20_000 + "the end" * 250_000)], "doc_id long, text string").repartition(2)
+    t = time.time()
+    one = secrets.detect(df.where("doc_id = 1"), model=[0.0] * len(secrets.ALPHABET) ** 2).select("n_assign", F.slice("found", 1, 3).alias("f"), F.element_at("found", -1).alias("z")).first()
+    assert time.time() - t < 60 and one.n_assign == 20_000
+    starts = [m.start() for m in re.finditer("password", text)]
+    assert [s.start for s in one.f] == starts[:3] and one.z.start == starts[-1]
+    t = time.time()
+    two = licenses.scan(df.where("doc_id = 2")).select("n_base", "first_word", "last_word", "base_labels").first()
+    assert time.time() - t < 60 and tuple(two) == (20_000, 0, 19_999 * 3, "mit")
