@@ -1,122 +1,137 @@
-"""Linear-time work on sorted arrays in column expressions."""
+"""Linear-time work on sorted arrays, as SQL text.
+
+Nested lambdas are long; as text they reach the planner in one call. Every function takes and gives
+expressions as text; ``expr`` turns one into a column.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from itertools import count
 
 BLOCK = 256
+_NUMBERS = count()
+
+
+def var() -> str:
+    """A lambda variable of its own."""
+    return f"v{next(_NUMBERS)}_"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: str, body: Callable[[str], str]) -> str:
     """``body`` of a value that is worked out once, however often ``body`` names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    v = var()
+    return f"get(transform(array({value}), {v} -> {body(v)}), 0)"
+
+
+def each(xs: str, body: Callable[[str, str], str]) -> str:
+    """``body`` of every element and its position."""
+    x, i = var(), var()
+    return f"transform({xs}, ({x}, {i}) -> {body(x, i)})"
+
 
+def only(xs: str, test: Callable[[str], str]) -> str:
+    """The elements that pass a test."""
+    x = var()
+    return f"filter({xs}, {x} -> {test(x)})"
 
-def numbers(n: Column) -> Column:
+
+def numbers(n: str) -> str:
     """0 to n - 1; empty when n is 0."""
-    return F.filter(F.sequence(F.lit(0), n.cast("int")), lambda i: i < n)
+    return only(f"sequence(0, cast({n} as int))", lambda i: f"{i} < {n}")
 
 
-def drop(xs: Column, n: Column) -> Column:
+def drop(xs: str, n: str) -> str:
     """The array without its first n elements."""
-    return F.slice(xs, n.cast("int") + 1, F.greatest(F.size(xs) - n, F.lit(0)).cast("int"))
+    return f"slice({xs}, cast({n} as int) + 1, cast(greatest(size({xs}) - {n}, 0) as int))"
 
 
-def scan(xs: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], state: str, out: str) -> Column:
+def scan(xs: str, start: str, step: Callable[[str, str], tuple[str, str]], state: str, out: str) -> str:
     """Struct (state, out) of a running state: ``step(state, x)`` gives the next state and what x turns into.
 
     ``state`` and ``out`` are SQL types. Outputs are gathered in blocks, so that the copies made on the way
     stay small beside the work itself.
     """
-    none = F.array().cast(f"array<{out}>")
-
-    def one(acc: Column, x: Column) -> Column:
-        after, made = step(acc["state"], x)
-        return F.struct(after.cast(state).alias("state"), F.concat(acc["out"], F.array(made.cast(out))).alias("out"))
-
-    def block(acc: Column, part: Column) -> Column:
-        done = F.aggregate(part, F.struct(acc["state"].alias("state"), none.alias("out")), one)
-        return let(done, lambda d: F.struct(d["state"].alias("state"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+    a, x, acc, part, end = (var() for _ in range(5))
+    after, made = step(f"{a}.state", x)
+    one = f"named_struct('state', cast({after} as {state}), 'out', concat({a}.out, array(cast({made} as {out}))))"
+    block = f"aggregate({part}, named_struct('state', {acc}.state, 'out', cast(array() as array<{out}>)), ({a}, {x}) -> {one})"
+    joined = let(block, lambda d: f"named_struct('state', {d}.state, 'out', concat({acc}.out, array({d}.out)))")
+    parts = let(xs, lambda s: each(numbers(f"ceil(size({s}) / {BLOCK})"), lambda i, _: f"slice({s}, {i} * {BLOCK} + 1, {BLOCK})"))
+    first = f"named_struct('state', cast({start} as {state}), 'out', cast(array() as array<array<{out}>>))"
+    return f"aggregate({parts}, {first}, ({acc}, {part}) -> {joined}, {end} -> named_struct('state', {end}.state, 'out', flatten({end}.out)))"
 
-    parts = let(xs, lambda a: F.transform(numbers(F.ceil(F.size(a) / BLOCK)), lambda i: F.slice(a, i * BLOCK + 1, BLOCK)))
-    first = F.struct(start.cast(state).alias("state"), F.array().cast(f"array<array<{out}>>").alias("out"))
-    return F.aggregate(parts, first, block, lambda acc: F.struct(acc["state"].alias("state"), F.flatten(acc["out"]).alias("out")))
 
-
-def ranks(values: Column, probes: Column) -> Column:
+def ranks(values: str, probes: str) -> str:
     """How many of the sorted values lie before each probe, by one sort of both.
 
     ``probes`` are sorted structs (v, o): values below v count where o is -1, values up to v where it is 1.
     """
-    kind = "array<struct<v:double,o:int,i:int>>"
-    own = F.transform(values, lambda v: F.struct(v.alias("v"), F.lit(0).alias("o"), F.lit(-1).alias("i"))).cast(kind)
-    asked = F.transform(probes, lambda p, i: F.struct(p["v"].alias("v"), p["o"].alias("o"), i.alias("i"))).cast(kind)
-    placed = F.transform(F.sort_array(F.concat(own, asked)), lambda x, at: F.struct(x["i"].alias("i"), (at - x["i"]).alias("n")))
-    return F.transform(F.filter(placed, lambda x: x["i"] >= 0), lambda x: x["n"])
+    own = each(values, lambda v, _: f"named_struct('v', {v}, 'o', 0, 'i', -1)")
+    asked = each(probes, lambda p, i: f"named_struct('v', {p}.v, 'o', {p}.o, 'i', {i})")
+    placed = each(f"sort_array(concat({own}, {asked}))", lambda x, at: f"named_struct('i', {x}.i, 'n', {at} - {x}.i)")
+    return each(only(placed, lambda x: f"{x}.i >= 0"), lambda x, _: f"{x}.n")
 
 
-def next_beyond(t: Column, tolerance: float) -> Column:
+def next_beyond(t: str, tolerance: float) -> str:
     """For each sorted time the position of the first one more than the tolerance after it, else the size.
 
     A sum that was rounded up must not count itself: its difference then exceeds the tolerance.
     """
-    reach = lambda x: x + F.lit(tolerance)
-    return ranks(t, F.transform(t, lambda x: F.struct(reach(x).alias("v"), F.when(reach(x) - x > tolerance, F.lit(-1)).otherwise(F.lit(1)).alias("o"))))
+    reach = lambda x: f"({x} + {tolerance!r}D)"
+    return ranks(t, each(t, lambda x, _: f"named_struct('v', {reach(x)}, 'o', if({reach(x)} - {x} > {tolerance!r}D, -1, 1))"))
 
 
-def is_spaced(t: Column, tolerance: float) -> Column:
+def is_spaced(t: str, tolerance: float) -> str:
     """No two neighbours lie within the tolerance."""
-    gaps = F.zip_with(F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))), t, lambda a, b: a - b)
+    a, b = var(), var()
     # the longer array pads with null, which the minimum skips
-    return F.coalesce(F.array_min(gaps) > tolerance, F.lit(True))
+    return f"coalesce(array_min(zip_with(slice({t}, 2, greatest(size({t}) - 1, 0)), {t}, ({a}, {b}) -> {a} - {b})) > {tolerance!r}D, true)"
 
 
-def _rounds(t: Column) -> Column:
-    return F.sequence(F.lit(1), F.ceil(F.log2(F.size(t) + F.lit(1.0))).cast("int"))
+def _rounds(t: str) -> str:
+    return f"sequence(1, cast(ceil(log2(size({t}) + 1.0D)) as int))"
 
 
-def keep_spaced(t: Column, tolerance: float, skip: Column | None = None) -> Column:
+def keep_spaced(t: str, tolerance: float, skip: str = "0") -> str:
     """Sorted times, each more than the tolerance after the last one kept; the first ``skip`` are left out.
 
     Spaced arrays, the usual case, only pass a check. In others each time points to the next one beyond the
     tolerance, and pointer doubling collects what can be reached from the first.
     """
 
-    def reached(r: Column) -> Column:
-        start = F.struct(F.concat(next_beyond(r, tolerance), F.array(F.size(r))).cast("array<int>").alias("jump"), F.array(F.lit(0)).alias("kept"))
-        double = lambda acc, _: F.struct(
-            F.transform(acc["jump"], lambda j: F.get(acc["jump"], j)).alias("jump"),
-            F.array_union(acc["kept"], F.transform(acc["kept"], lambda i: F.get(acc["jump"], i))).alias("kept"),
-        )
-        return F.aggregate(_rounds(r), start, double, lambda acc: F.transform(F.sort_array(F.filter(acc["kept"], lambda i: i < F.size(r))), lambda i: F.get(r, i)))
+    def reached(r: str) -> str:
+        acc, round_, end = var(), var(), var()
+        start = f"named_struct('jump', concat({next_beyond(r, tolerance)}, array(size({r}))), 'kept', array(0))"
+        jump = each(f"{acc}.jump", lambda j, _: f"get({acc}.jump, {j})")
+        kept = f"array_union({acc}.kept, {each(f'{acc}.kept', lambda i, _: f'get({acc}.jump, {i})')})"
+        done = each(f"sort_array({only(f'{end}.kept', lambda i: f'{i} < size({r})')})", lambda i, _: f"get({r}, {i})")
+        return f"aggregate({_rounds(r)}, {start}, ({acc}, {round_}) -> named_struct('jump', {jump}, 'kept', {kept}), {end} -> {done})"
 
-    rest = t if skip is None else let(t, lambda a: drop(a, skip))
-    return let(rest, lambda r: F.when(is_spaced(r, tolerance), r).otherwise(reached(r)))
+    rest = let(t, lambda a: drop(a, skip)) if skip != "0" else t
+    return let(rest, lambda r: f"if({is_spaced(r, tolerance)}, {r}, {reached(r)})")
 
 
-def exits(t: Column, tolerance: float, most: Column) -> Column:
+def exits(t: str, tolerance: float, most: str) -> str:
     """Structs (last, n) for 0 to ``most`` times left out in front: the last time kept, and how many.
 
     Pointer doubling finds them for every start at once.
     """
     kind = "array<struct<last:double,n:bigint>>"
-    plain = lambda a: F.transform(numbers(most + 1), lambda k: F.struct(F.when(k < F.size(a), F.element_at(a, -1)).alias("last"), (F.size(a) - k).alias("n"))).cast(kind)
 
-    def doubled(a: Column) -> Column:
-        n = F.size(a)
-        start = F.struct(
-            F.concat(next_beyond(a, tolerance), F.array(n)).cast("array<int>").alias("jump"),
-            F.transform(numbers(n + 1), lambda i: (i < n).cast("bigint")).alias("n"), numbers(n + 1).alias("last"),
-        )
-        double = lambda acc, _: F.struct(
-            F.transform(acc["jump"], lambda j: F.get(acc["jump"], j)).alias("jump"),
-            F.transform(acc["n"], lambda c, i: c + F.get(acc["n"], F.get(acc["jump"], i))).alias("n"),
-            F.transform(acc["last"], lambda l, i: F.when(F.get(acc["jump"], i) < n, F.get(acc["last"], F.get(acc["jump"], i))).otherwise(l)).alias("last"),
+    def plain(a: str) -> str:
+        ways = each(numbers(f"{most} + 1"), lambda k, _: f"named_struct('last', if({k} < size({a}), get({a}, size({a}) - 1), null), 'n', size({a}) - {k})")
+        return f"cast({ways} as {kind})"
+
+    def doubled(a: str) -> str:
+        n, acc, round_, end = f"size({a})", var(), var(), var()
+        start = f"named_struct('jump', concat({next_beyond(a, tolerance)}, array({n})), 'n', {each(numbers(f'{n} + 1'), lambda i, _: f'if({i} < {n}, 1L, 0L)')}, 'last', {numbers(f'{n} + 1')})"
+        to = lambda i: f"get({acc}.jump, {i})"
+        step = (
+            f"named_struct('jump', {each(f'{acc}.jump', lambda j, _: to(j))}, 'n', {each(f'{acc}.n', lambda c, i: f'{c} + get({acc}.n, {to(i)})')}, "
+            f"'last', {each(f'{acc}.last', lambda l, i: f'if({to(i)} < {n}, get({acc}.last, {to(i)}), {l})')})"
         )
-        pick = lambda acc: F.transform(numbers(most + 1), lambda k: F.struct(F.when(k < n, F.get(a, F.get(acc["last"], k))).alias("last"), F.get(acc["n"], k).alias("n"))).cast(kind)
-        return F.aggregate(_rounds(a), start, double, pick)
+        ways = each(numbers(f"{most} + 1"), lambda k, _: f"named_struct('last', if({k} < {n}, get({a}, get({end}.last, {k})), null), 'n', get({end}.n, {k}))")
+        return f"aggregate({_rounds(a)}, {start}, ({acc}, {round_}) -> {step}, {end} -> cast({ways} as {kind}))"
 
-    return let(t, lambda a: F.when(is_spaced(a, tolerance), plain(a)).otherwise(doubled(a)))
+    return let(t, lambda a: f"if({is_spaced(a, tolerance)}, {plain(a)}, {doubled(a)})")

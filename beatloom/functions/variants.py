@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from beatloom import constants as K
-from beatloom.functions.arrays import keep_spaced
+from beatloom.functions.arrays import keep_spaced, let, only
 from beatloom.functions.scalars import col
 
 
@@ -132,7 +132,7 @@ def reader(outer, inner=None):
     return lambda key: F.coalesce(get(inner, key), get(outer, key))
 
 
-def normalize_starts(times) -> Column:
-    """W19 on the array of one document: sorted, non-negative, finite, no near repeats."""
-    t = F.array_sort(F.filter(col(times), lambda x: (x >= 0) & ~F.isnan(x) & (x != float("inf"))))
-    return keep_spaced(t, K.TIME_TOLERANCE)
+def normalize_starts(times: str) -> Column:
+    """W19 on the array of one document, a column by name: sorted, non-negative, finite, no near repeats."""
+    usable = only(times, lambda x: f"{x} >= 0 and not isnan({x}) and {x} != double('Infinity')")
+    return F.expr(let(f"array_sort({usable})", lambda t: keep_spaced(t, K.TIME_TOLERANCE)))

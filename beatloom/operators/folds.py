@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -67,16 +67,16 @@ def with_segments(base: DataFrame, cuts: DataFrame, cut: list[str]) -> DataFrame
     return base.join(cuts.select("track_id", "__c", own.alias("own"), prior.alias("prior"), *cut), ["track_id", "__c"])
 
 
-def entered(tables: DataFrame, state: str, start: Column, step: Callable[[Column, Column], Column], alt: Callable[[Column, Column], Column]) -> DataFrame:
+def entered(tables: DataFrame, state: str, start: str, step: Callable[[str, str], str], alt: Callable[[str, str], str]) -> DataFrame:
     """Rows (track_id, seg, entry, real): the state in which each segment of a track really begins.
 
     ``tables`` holds track_id, seg and ``t``, the segment's table; ``step(state, t)`` is the state after it
-    and ``alt(state, t)`` the number under which the segment knows the state.
+    and ``alt(state, t)`` the number under which the segment knows the state, both as SQL text.
     """
-    walk = lambda s, x: (step(s, x["t"]), F.struct(x["seg"], s, alt(s, x["t"])))
-    xs = F.array_sort(F.collect_list(F.struct("seg", "t")), lambda a, b: F.when(a["seg"] < b["seg"], -1).otherwise(1))
-    out = A.scan(xs, start, walk, state, f"struct<seg:bigint,entry:{state},real:bigint>")["out"]
-    return tables.groupBy("track_id").agg(out.alias("o")).select("track_id", F.inline("o"))
+    walk = lambda s, x: (step(s, f"{x}.t"), f"named_struct('seg', {x}.seg, 'entry', {s}, 'real', {alt(s, f'{x}.t')})")
+    # a track has each segment once
+    out = A.scan("array_sort(collect_list(struct(seg, t)), (a, b) -> if(a.seg < b.seg, -1, 1))", start, walk, state, f"struct<seg:bigint,entry:{state},real:bigint>")
+    return tables.groupBy("track_id").agg(F.expr(f"{out}.out").alias("o")).selectExpr("track_id", "inline(o)")
 
 
 # --- the last kept row, replaced by a stronger one close to it (W13, W16) ---------------------
@@ -187,10 +187,10 @@ def last_kept_runs(rows: DataFrame) -> DataFrame:
     table = folded.where(F.col("n").isNull()).groupBy("track_id", "seg").agg(F.collect_list(F.struct("alt", "run", "last")).alias("t"))
 
     # a state that is not open at the cut can no longer matter: it counts as none
-    alt = lambda s, t: F.when(F.exists(t, lambda x: x["alt"] == s["last"]), s["last"]).otherwise(F.lit(-1))
-    step = lambda s, t: A.let(F.get(F.filter(t, lambda x: x["alt"] == alt(s, t)), F.lit(0)), lambda x: F.struct(x["last"].alias("last"), F.coalesce(x["run"], s["run"]).alias("run")))
-    start = F.struct(F.lit(-1).alias("last"), F.lit(None).alias("run"))
-    known = entered(table, "struct<last:bigint,run:bigint>", start, step, alt)
+    alt = lambda s, t: f"if(exists({t}, e -> e.alt = {s}.last), {s}.last, -1)"
+    way = lambda s, t: A.let(alt(s, t), lambda k: f"get({A.only(t, lambda x: f'{x}.alt = {k}')}, 0)")
+    step = lambda s, t: A.let(way(s, t), lambda x: f"named_struct('last', {x}.last, 'run', coalesce({x}.run, {s}.run))")
+    known = entered(table, "struct<last:bigint,run:bigint>", "named_struct('last', -1, 'run', null)", step, alt)
     out = folded.where(F.col("n").isNotNull()).join(known, ["track_id", "seg"])
     out = out.where(F.col("alt").isNull() | (F.col("alt") == F.col("real")))
     return out.select("track_id", "n", "v", F.coalesce("run", "entry.run").alias("run"))
@@ -367,7 +367,7 @@ def match_sides(both: DataFrame, tolerance: float) -> DataFrame:
     schema = f"track_id {key}, seg long, alt long, kind string, primary_pos long, fallback_pos long, primary_onset double, fallback_onset double"
     folded = streamed(d, ["track_id", "seg"], order, _match_fold(tolerance, kind), schema)
     table = folded.where(F.col("kind") == "state").groupBy("track_id", "seg").agg(F.collect_list(F.struct("alt", F.col("primary_pos").alias("exit"))).alias("t"))
-    step = lambda s, t: F.get(F.filter(t, lambda x: x["alt"] == s), F.lit(0))["exit"]
-    known = entered(table, "bigint", F.lit(0), step, lambda s, t: s)
+    step = lambda s, t: f"get({A.only(t, lambda x: f'{x}.alt = {s}')}, 0).exit"
+    known = entered(table, "bigint", "0", step, lambda s, t: s)
     out = folded.where(F.col("kind") != "state").join(known, ["track_id", "seg"])
     return out.where(F.col("alt").isNull() | (F.col("alt") == F.col("real"))).drop("seg", "alt", "entry", "real")

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from beatloom import constants as K
 from beatloom.functions import arrays as A
 from beatloom.operators import ordered as O
+from beatloom.session import cut
 
 TRACK = ["track_id"]
 TIME_SIGNATURE = "struct<numerator:int,denominator:int>"
@@ -68,17 +69,19 @@ def _finite(t: Column) -> Column:
     return t.isNotNull() & ~F.isnan(t) & (t >= 0) & (t != float("inf"))
 
 
-def _head(starts: str, chunk: Column | str, tolerance: float) -> Column:
+def _head(starts: str, tolerance: float) -> str:
     """Struct (head, ex) of a chunk: the starts that one kept before the chunk can rule out, and for each
     number of them ruled out the last start kept and how many are kept."""
-    edge = F.col(chunk) * O.TIME_CHUNK
-    near = F.filter(starts, lambda x: x - edge <= 2 * tolerance)
-    return A.let(near, lambda h: F.struct(h.alias("head"), A.exits(F.col(starts), tolerance, F.size(h)).alias("ex")))
+    return A.let(_near_edge(starts, tolerance), lambda h: f"named_struct('head', {h}, 'ex', {A.exits(starts, tolerance, f'size({h})')})")
 
 
-def _ruled_out(head: Column, last: Column, tolerance: float) -> Column:
-    """How many starts of a head lie within the tolerance of the last one kept."""
-    return F.coalesce(F.size(F.filter(head, lambda h: h - last <= tolerance)), F.lit(0))
+def _near_edge(starts: str, tolerance: float) -> str:
+    return A.only(starts, lambda x: f"{x} - c * {O.TIME_CHUNK!r}D <= {2 * tolerance!r}D")
+
+
+def _ruled_out(starts: str, last: str, tolerance: float) -> str:
+    """How many starts lie within the tolerance of the last one kept before them."""
+    return f"coalesce(size({A.only(starts, lambda x: f'{x} - {last} <= {tolerance!r}D')}), 0)"
 
 
 def normalize_starts(times: DataFrame, tolerance: float = K.TIME_TOLERANCE) -> DataFrame:
@@ -90,16 +93,11 @@ def normalize_starts(times: DataFrame, tolerance: float = K.TIME_TOLERANCE) -> D
     """
     t = F.col("start_seconds").cast("double")
     d = times.where(_finite(t)).groupBy("track_id", O.time_chunk(t).alias("c")).agg(F.sort_array(F.collect_set(t)).alias("t"))
-    heads = d.select("track_id", F.struct("c", _head("t", "c", tolerance).alias("h")).alias("x"))
-
-    def step(last: Column, x: Column) -> tuple[Column, Column]:
-        out = A.let(_ruled_out(x["h"]["head"], last, tolerance), lambda k: F.coalesce(F.get(x["h"]["ex"], k)["last"], last))
-        return out, F.struct(x["c"], last)
-
-    walk = A.scan(F.sort_array(F.collect_list("x")), F.lit(None), step, "double", "struct<c:bigint,last:double>")
-    ways = heads.groupBy("track_id").agg(walk["out"].alias("w")).select("track_id", F.inline("w"))
-    skip = F.coalesce(F.size(F.filter("t", lambda x: x - F.col("last") <= tolerance)), F.lit(0))
-    return d.join(ways, ["track_id", "c"]).select("track_id", F.explode(A.keep_spaced(F.col("t"), tolerance, skip)).alias("start_seconds"))
+    heads = d.selectExpr("track_id", f"named_struct('c', c, 'h', {_head('t', tolerance)}) as x")
+    step = lambda last, x: (A.let(_ruled_out(f"{x}.h.head", last, tolerance), lambda k: f"coalesce(get({x}.h.ex, {k}).last, {last})"), f"named_struct('c', {x}.c, 'last', {last})")
+    walk = A.scan("sort_array(collect_list(x))", "null", step, "double", "struct<c:bigint,last:double>")
+    ways = heads.groupBy("track_id").agg(F.expr(f"{walk}.out").alias("w")).selectExpr("track_id", "inline(w)")
+    return d.join(ways, ["track_id", "c"]).selectExpr("track_id", f"explode({A.keep_spaced('t', tolerance, _ruled_out('t', 'last', tolerance))}) as start_seconds")
 
 
 # --- statistics of beats ----------------------------------------------------------
@@ -414,78 +412,62 @@ def _snapped(beats: DataFrame, downbeats: DataFrame, summary: DataFrame, toleran
     start, and the number and length of bars, so that thinning and both shifts need no second look.
     """
     rows = [df.select("track_id", F.lit(k).alias("kind"), F.col("start_seconds").cast("double").alias("t")) for k, df in enumerate((beats, downbeats))]
-    of = lambda k: F.sort_array(F.collect_set(F.when(F.col("kind") == k, F.col("t"))))
+    of = lambda k: F.expr(f"sort_array(collect_set(if(kind = {k}, t, null)))")
     d = rows[0].unionByName(rows[1]).where(_finite(F.col("t"))).groupBy("track_id", O.time_chunk("t").alias("c")).agg(of(0).alias("b"), of(1).alias("d"))
-    heads = d.select(
-        "track_id", F.get("b", F.lit(0)).alias("fb"), F.get("d", F.lit(0)).alias("fd"),
-        F.struct("c", _head("b", "c", tolerance).alias("b"), _head("d", "c", tolerance).alias("d")).alias("x"),
-    )
+    heads = d.selectExpr("track_id", "get(b, 0) as fb", "get(d, 0) as fd", f"named_struct('c', c, 'b', {_head('b', tolerance)}, 'd', {_head('d', tolerance)}) as x")
 
-    def step(s: Column, x: Column) -> tuple[Column, Column]:
-        way = lambda kind, last: F.get(x[kind]["ex"], _ruled_out(x[kind]["head"], last, tolerance))
-        after = A.let(F.struct(way("b", s["b"]).alias("b"), way("d", s["d"]).alias("d")), lambda w: F.struct(
-            F.coalesce(w["b"]["last"], s["b"]).alias("b"), F.coalesce(w["d"]["last"], s["d"]).alias("d"), (s["n"] + w["d"]["n"]).alias("n"),
-        ))
-        return after, F.struct(x["c"], s["b"], s["d"])
+    def step(s: str, x: str) -> tuple[str, str]:
+        way = lambda k: f"get({x}.{k}.ex, {_ruled_out(f'{x}.{k}.head', f'{s}.{k}', tolerance)})"
+        after = A.let(f"named_struct('b', {way('b')}, 'd', {way('d')})", lambda w: f"named_struct('b', coalesce({w}.b.last, {s}.b), 'd', coalesce({w}.d.last, {s}.d), 'n', {s}.n + {w}.d.n)")
+        return after, f"named_struct('c', {x}.c, 'lb', {s}.b, 'ld', {s}.d)"
 
-    start = F.struct(F.lit(None).alias("b"), F.lit(None).alias("d"), F.lit(0).alias("n"))
-    walk = A.scan(F.sort_array(F.collect_list("x")), start, step, "struct<b:double,d:double,n:bigint>", "struct<c:bigint,lb:double,ld:double>")
-    w = heads.groupBy("track_id").agg(walk.alias("w"), F.min("fb").alias("fb"), F.min("fd").alias("fd"))
+    walk = A.scan("sort_array(collect_list(x))", "named_struct('b', null, 'd', null, 'n', 0)", step, "struct<b:double,d:double,n:bigint>", "struct<c:bigint,lb:double,ld:double>")
+    w = heads.groupBy("track_id").agg(F.expr(walk).alias("w"), F.min("fb").alias("fb"), F.min("fd").alias("fd"))
     w = w.join(summary.select("track_id", "tempo_bpm"), "track_id", "left")
     n, last, tempo = F.col("w.state.n"), F.col("w.state.d"), F.col("tempo_bpm")
     w = w.withColumn("sd", _snap_shift(F.col("fd"), F.when(n > 1, (last - F.col("fd")) / (n - 1)), tempo))
     moved = lambda x: F.greatest(x - F.col("sd"), F.lit(0.0))
     w = w.withColumn("sb", _snap_shift(F.col("fb"), F.when(n > 1, (moved(last) - moved(F.col("fd"))) / (n - 1)), tempo))
-    shift = F.struct(F.coalesce("sb", F.lit(0.0)).alias("b"), F.coalesce("sd", F.lit(0.0)).alias("d"))
-    ways = w.select("track_id", shift.alias("shift"), F.explode("w.out").alias("o")).select("track_id", "o.c", F.struct("shift", "o.lb", "o.ld").alias("w"))
-    kept = lambda k: A.keep_spaced(F.col(k), tolerance, F.coalesce(F.size(F.filter(k, lambda x: x - F.col(f"w.l{k}") <= tolerance)), F.lit(0)))
-    put = lambda k, kind: F.transform(kept(k), lambda x: F.struct(F.lit(kind).alias("kind"), F.greatest(x - F.col(f"w.shift.{k}"), F.lit(0.0)).alias("t")))
-    return d.join(ways, ["track_id", "c"]).select("track_id", F.inline(F.concat(put("b", 0), put("d", 1))))
+    ways = w.selectExpr("track_id", "coalesce(sb, 0D) as sb", "coalesce(sd, 0D) as sd", "inline(w.out)").selectExpr("track_id", "c", "struct(sb, sd, lb, ld) as w")
+    put = lambda k, kind: A.each(A.keep_spaced(k, tolerance, _ruled_out(k, f"w.l{k}", tolerance)), lambda x, _: f"named_struct('kind', {kind}, 't', greatest({x} - w.s{k}, 0D))")
+    return d.join(ways, ["track_id", "c"]).selectExpr("track_id", f"inline(concat({put('b', 0)}, {put('d', 1)}))")
 
 
 def _repaired(snapped: DataFrame, tolerance: float) -> DataFrame:
     """W18b on rows (track_id, kind, t): chunks of starts and of bar edges, and for each chunk the bar that
     is open where it begins and the one that comes after it, each with its place in the track's beats."""
     edge = F.when(F.col("kind") == 1, F.col("t") - tolerance).otherwise(F.col("t"))
-    of = lambda k: F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.col("t"))))
+    of = lambda k: F.expr(f"sort_array(collect_list(if(kind = {k}, t, null)))")
     d = snapped.groupBy("track_id", O.time_chunk(edge).alias("c")).agg(of(0).alias("b"), of(1).alias("d"))
-    place = A.ranks(F.col("b"), F.transform("d", lambda x: F.struct((x - tolerance).alias("v"), F.lit(-1).alias("o"))))
-    s = d.select("track_id", "c", F.size("b").alias("nb"), F.size("d").alias("nd"), F.struct(F.get("d", F.lit(0)).alias("d"), F.get("d", F.size("d") - 1).alias("z")).alias("e"), place.alias("r"))
-    s = s.select("track_id", "c", "nb", "nd", F.when(F.col("nd") > 0, F.struct(F.col("e.d").alias("t"), F.get("r", F.lit(0)).alias("r"))).alias("first"), F.when(F.col("nd") > 0, F.struct(F.col("e.z").alias("t"), F.get("r", F.size("r") - 1).alias("r"))).alias("last"))
+    place = A.ranks("b", A.each("d", lambda x, _: f"named_struct('v', {x} - {tolerance!r}D, 'o', -1)"))
+    s = d.selectExpr("track_id", "c", "size(b) as nb", "size(d) as nd", "get(d, 0) as d0", "get(d, size(d) - 1) as d1", f"{place} as r")
+    at = lambda t, r: f"if(nd > 0, named_struct('t', {t}, 'r', base + get(r, {r})), null)"
     w = Window.partitionBy("track_id").orderBy("c")
     before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    s = s.withColumn("base", F.coalesce(F.sum("nb").over(before), F.lit(0)))
-    whole = lambda e: F.when(F.col(e).isNotNull(), F.struct(F.col(f"{e}.t").alias("t"), (F.col(f"{e}.r") + F.col("base")).alias("r")))
-    s = s.withColumns({"first": whole("first"), "last": whole("last")})
+    s = s.withColumn("base", F.coalesce(F.sum("nb").over(before), F.lit(0))).selectExpr("*", f"{at('d0', '0')} as first", f"{at('d1', 'nd - 1')} as last")
     s = s.select("track_id", "c", F.struct(
         "base", F.last("last", ignorenulls=True).over(before).alias("open"), F.first("first", ignorenulls=True).over(after).alias("next"),
         (F.sum("nd").over(Window.partitionBy("track_id")) >= 2).alias("barred"),
     ).alias("s"))
-    d = d.join(s, ["track_id", "c"])
-    base, opened, following = F.col("s.base"), F.col("s.open"), F.col("s.next")
-
-    def bars(r: Column) -> Column:
-        n = F.size("d")
-        upto = lambda i: F.when(i < n, F.struct(F.get("d", i).alias("t"), (F.get(r, i) + base).alias("r"))).otherwise(following)
-        bar = lambda start, rank, end, low, high, mine: F.struct(
-            start.alias("start"), end["t"].alias("end"), (end["r"] - rank).alias("n"), low.alias("low"), high.alias("high"), F.lit(mine).alias("mine")
-        )
-        first = bar(opened["t"], opened["r"], upto(F.lit(0)), F.lit(0), F.coalesce(F.get(r, F.lit(0)), F.size("b")), False)
-        own = F.transform("d", lambda x, i: bar(x, F.get(r, i) + base, upto(i + 1), F.get(r, i), F.coalesce(F.get(r, i + 1), F.size("b")), True))
-        return F.concat(F.array(first), own)
 
-    def starts(bar: Column) -> Column:
-        step = (bar["end"] - bar["start"]) / K.BEATS_PER_BAR
-        beats = F.slice("b", bar["low"] + 1, bar["high"] - bar["low"])
-        made = F.when(bar["mine"], F.transform(F.sequence(F.lit(0), F.lit(K.BEATS_PER_BAR - 1)), lambda k: bar["start"] + k * step))
-        none = F.array().cast("array<double>")
-        as_is = bar["end"].isNull() | (bar["n"] == K.BEATS_PER_BAR) | (step <= 0.0001)
-        return F.when(bar["start"].isNull(), none).when(as_is, beats).otherwise(F.coalesce(made, none))
+    def bars(r: str) -> str:
+        upto = lambda i: f"if({i} < size(d), named_struct('t', get(d, {i}), 'r', get({r}, {i}) + s.base), s.next)"
+        bar = lambda start, rank, i, low, mine: A.let(upto(i), lambda end: (
+            f"named_struct('start', {start}, 'end', {end}.t, 'n', {end}.r - {rank}, 'low', {low}, 'high', coalesce(get({r}, {i}), size(b)), 'mine', {mine})"
+        ))
+        own = A.each("d", lambda x, i: bar(x, f"(get({r}, {i}) + s.base)", f"({i} + 1)", f"get({r}, {i})", "true"))
+        return f"concat(array({bar('s.open.t', 's.open.r', '0', '0', 'false')}), {own})"
+
+    def starts(bar: str) -> str:
+        step = f"(({bar}.end - {bar}.start) / {K.BEATS_PER_BAR})"
+        as_is = f"{bar}.end is null or {bar}.n = {K.BEATS_PER_BAR} or {step} <= 0.0001D"
+        made = A.each(f"sequence(0, {K.BEATS_PER_BAR - 1})", lambda k, _: f"{bar}.start + {k} * {step}")
+        none = "cast(array() as array<double>)"
+        return f"case when {bar}.start is null then {none} when {as_is} then slice(b, {bar}.low + 1, {bar}.high - {bar}.low) when {bar}.mine then {made} else {none} end"
 
-    barred = A.let(place, lambda r: F.flatten(F.transform(bars(r), starts)))
-    all_ = F.when(F.col("s.barred"), barred).otherwise(F.col("b"))
-    put = lambda xs, kind: F.transform(xs, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("t")))
-    return d.select("track_id", F.inline(F.concat(put(all_, 0), put(F.col("d"), 1))))
+    barred = A.let(place, lambda r: f"flatten({A.each(bars(r), lambda bar, _: starts(bar))})")
+    put = lambda xs, kind: A.each(xs, lambda x, _: f"named_struct('kind', {kind}, 't', {x})")
+    return d.join(s, ["track_id", "c"]).selectExpr("track_id", f"inline(concat({put(f'if(s.barred, {barred}, b)', 0)}, {put('d', 1)}))")
 
 
 def _numbered(rows: DataFrame, summary: DataFrame, tolerance: float) -> DataFrame:
@@ -495,78 +477,69 @@ def _numbered(rows: DataFrame, summary: DataFrame, tolerance: float) -> DataFram
     A chunk's summary tells for every way in how many beats it keeps, where the first and last of them
     lie, and where downbeats among them start bars, so one fold numbers all chunks.
     """
-    home = O.time_chunk("t")
     # a downbeat may decide about beats on the other side of a chunk's edge
     near = F.array_distinct(F.array(O.time_chunk(F.col("t") - 2 * tolerance), O.time_chunk(F.col("t") + 2 * tolerance)))
-    placed = rows.select("track_id", "kind", "t", F.explode(F.when(F.col("kind") == 1, near).otherwise(F.array(home))).alias("c"))
-    of = lambda k: F.sort_array(F.collect_set(F.when(F.col("kind") == k, F.col("t"))))
+    placed = rows.select("track_id", "kind", "t", F.explode(F.when(F.col("kind") == 1, near).otherwise(F.array(O.time_chunk("t")))).alias("c"))
+    of = lambda k: F.expr(f"sort_array(collect_set(if(kind = {k}, t, null)))")
     d = placed.groupBy("track_id", "c").agg(of(0).alias("b"), of(1).alias("d")).where(F.size("b") > 0)
+    bar = K.BEATS_PER_BAR
 
-    def flagged(kept: Column) -> Column:
-        """Beats with ``on``: a downbeat lies within the tolerance; the nearest on either side decides."""
-        hit = lambda x, i: F.coalesce(F.abs(F.get("d", i) - x) <= tolerance, F.lit(False))
-        return A.let(A.ranks(F.col("d"), F.transform(kept, lambda x: F.struct(x.alias("v"), F.lit(1).alias("o")))), lambda r: F.transform(
-            kept, lambda x, i: F.struct(x.alias("t"), (hit(x, F.get(r, i) - 1) | hit(x, F.get(r, i))).alias("on"))
-        ))
+    def flagged(kept: str) -> str:
+        """Beats with ``hit``: a downbeat lies within the tolerance; the nearest on either side decides."""
+        hit = lambda x, i: f"coalesce(abs(get(d, {i}) - {x}) <= {tolerance!r}D, false)"
+        probes = A.each(kept, lambda x, _: f"named_struct('v', {x}, 'o', 1)")
+        return A.let(A.ranks("d", probes), lambda r: A.each(kept, lambda x, i: f"named_struct('t', {x}, 'hit', {hit(x, f'get({r}, {i}) - 1')} or {hit(x, f'get({r}, {i})')})"))
 
-    def way(kept: Column) -> Column:
+    def way(kept: str) -> str:
         """What a chunk that keeps these beats hands on: bars are counted from its first downbeat."""
-        on = F.filter(F.transform(flagged(kept), lambda x, i: F.when(x["on"], i)), lambda i: i.isNotNull())
-        quarter = lambda n: F.ceil(n / K.BEATS_PER_BAR).cast("bigint")
-        n = F.size(kept)
-        counted = A.let(on, lambda a: F.struct(
-            n.alias("n"), F.get(kept, F.lit(0)).alias("first"), F.get(kept, n - 1).alias("last"), F.get(a, F.lit(0)).alias("on"), F.get(a, F.size(a) - 1).alias("off"),
-            F.aggregate(F.zip_with(a, A.drop(a, F.lit(1)), lambda x, y: quarter(F.coalesce(y, n) - x)), F.lit(0).cast("bigint"), lambda s, x: s + x).alias("bars"),
+        n, s, x, y = f"size({kept})", A.var(), A.var(), A.var()
+        hits = A.only(A.each(flagged(kept), lambda x, i: f"if({x}.hit, {i}, null)"), lambda i: f"{i} is not null")
+        bars = lambda a: f"aggregate(zip_with({a}, {A.drop(a, '1')}, ({x}, {y}) -> cast(ceil((coalesce({y}, {n}) - {x}) / {bar}) as bigint)), 0L, ({s}, {x}) -> {s} + {x})"
+        counted = A.let(hits, lambda a: f"named_struct('n', {n}, 'first', get({kept}, 0), 'last', get({kept}, {n} - 1), 'low', get({a}, 0), 'high', get({a}, size({a}) - 1), 'bars', {bars(a)})")
+        return f"if({n} > 0, cast({counted} as {WAY}), null)"
+
+    ways = A.let(_near_edge("b", tolerance), lambda h: f"named_struct('c', c, 'head', {h}, 'ways', {A.each(A.numbers(f'size({h}) + 1'), lambda k, _: A.let(A.keep_spaced('b', tolerance, k), way))})")
+    heads = d.selectExpr("track_id", f"{ways} as x")
+
+    def step(s: str, x: str) -> tuple[str, str]:
+        # bars that start before the first downbeat of the chunk: every four beats from the last one
+        begun = lambda i: f"floor(({i} - {s}.anchor + {bar - 1}) / {bar})"
+        after = A.let(f"get({x}.ways, {_ruled_out(f'{x}.head', f'{s}.last', tolerance)})", lambda w: (
+            f"named_struct('last', coalesce({w}.last, {s}.last), 'first', coalesce({s}.first, {w}.first), 'n', {s}.n + coalesce({w}.n, 0), 'anchor', coalesce({s}.n + {w}.high, {s}.anchor), "
+            f"'bars', {s}.bars + coalesce({begun(f'({s}.n + coalesce({w}.low, {w}.n))')} - {begun(f'{s}.n')} + {w}.bars, 0))"
         ))
-        return F.when(n > 0, counted.cast(WAY))
-
-    near_edge = F.filter("b", lambda x: x - F.col("c") * O.TIME_CHUNK <= 2 * tolerance)
-    ways = F.transform(A.numbers(F.size("h") + 1), lambda k: A.let(A.keep_spaced(F.col("b"), tolerance, k), way))
-    heads = d.withColumn("h", near_edge).select("track_id", F.struct("c", F.col("h").alias("head"), ways.alias("ways")).alias("x"))
-
-    def step(s: Column, x: Column) -> tuple[Column, Column]:
-        def after(w: Column) -> Column:
-            # bars that start before the first downbeat of the chunk: every four beats from the last one
-            lead = F.coalesce(w["on"], w["n"])
-            begun = lambda i: F.floor((i - s["from"] + K.BEATS_PER_BAR - 1) / K.BEATS_PER_BAR)
-            return F.struct(
-                F.coalesce(w["last"], s["last"]).alias("last"), F.coalesce(s["first"], w["first"]).alias("first"), (s["n"] + F.coalesce(w["n"], F.lit(0))).alias("n"),
-                F.coalesce(s["n"] + w["off"], s["from"]).alias("from"),
-                (s["bars"] + F.coalesce(begun(s["n"] + lead) - begun(s["n"]) + w["bars"], F.lit(0))).alias("bars"), w["first"].alias("opens"),
-            )
-
-        out = A.let(F.get(x["ways"], _ruled_out(x["head"], s["last"], tolerance)), after)
-        return out, F.struct(x["c"], s["last"], s["n"], s["from"], s["bars"], A.let(out, lambda o: o["opens"]))
-
-    start = F.struct(F.lit(None).alias("last"), F.lit(None).alias("first"), F.lit(0).alias("n"), F.lit(0).alias("from"), F.lit(0).alias("bars"), F.lit(None).alias("opens"))
-    walk = A.scan(F.sort_array(F.collect_list("x")), start, step, "struct<last:double,first:double,n:bigint,from:bigint,bars:bigint,opens:double>", "struct<c:bigint,last:double,n:bigint,from:bigint,bars:bigint,opens:double>")
-    w = heads.groupBy("track_id").agg(walk.alias("w")).join(summary.select("track_id", "tempo_bpm"), "track_id", "left")
+        opens = f"get({x}.ways, {_ruled_out(f'{x}.head', f'{s}.last', tolerance)}).first"
+        return after, f"named_struct('c', {x}.c, 'last', {s}.last, 'n', {s}.n, 'anchor', {s}.anchor, 'bars', {s}.bars, 'opens', {opens})"
+
+    start = "named_struct('last', null, 'first', null, 'n', 0, 'anchor', 0, 'bars', 0)"
+    walk = A.scan("sort_array(collect_list(x))", start, step, "struct<last:double,first:double,n:bigint,anchor:bigint,bars:bigint>", "struct<c:bigint,last:double,n:bigint,anchor:bigint,bars:bigint,opens:double>")
+    w = heads.groupBy("track_id").agg(F.expr(walk).alias("w")).join(summary.select("track_id", "tempo_bpm"), "track_id", "left")
     n = F.col("w.state.n")
     mean = F.when(n > 1, (F.col("w.state.last") - F.col("w.state.first")) / (n - 1))
     final = F.coalesce(mean, F.when(F.col("tempo_bpm") > 0, 60.0 / F.col("tempo_bpm")), F.lit(0.5))
     # chunks that keep a beat, each with the first beat of the next such chunk
-    keeping = F.filter("w.out", lambda x: x["opens"].isNotNull())
-    chunks = A.let(keeping, lambda xs: F.transform(xs, lambda x, i: F.struct(x.alias("x"), F.get(xs, i + 1)["opens"].alias("next"))))
-    chunks = w.select("track_id", final.alias("final"), "tempo_bpm", F.explode(chunks).alias("o"))
-    chunks = chunks.select("track_id", F.col("o.x.c").alias("c"), F.struct("o.x", "o.next", "final", "tempo_bpm").alias("w"))
-    skip = F.coalesce(F.size(F.filter("b", lambda x: x - F.col("w.x.last") <= tolerance)), F.lit(0))
-
-    def numbered(kept: Column) -> Column:
-        def next_beat(s: Column, x: Column) -> tuple[Column, Column]:
-            from_ = F.when(x["on"] | (s["n"] == 0), s["n"]).otherwise(s["from"])
-            pos = (s["n"] - from_) % K.BEATS_PER_BAR
-            after = F.struct((s["n"] + 1).alias("n"), from_.alias("from"), (s["bars"] + F.when(pos == 0, 1).otherwise(0)).alias("bars"))
-            return after, F.struct(x["t"], s["n"], (after["bars"] - 1), pos + 1)
-
-        start = F.struct(F.col("w.x.n").alias("n"), F.col("w.x.from").alias("from"), F.col("w.x.bars").alias("bars"))
-        out = A.scan(flagged(kept), start, next_beat, "struct<n:bigint,from:bigint,bars:bigint>", "struct<start_seconds:double,beat_index:bigint,bar_index:int,beat_in_bar:int>")["out"]
-        return F.transform(out, lambda x, i: F.struct(x.alias("x"), F.coalesce(F.get(kept, i + 1), F.col("w.next")).alias("next_start")))
+    chunks = w.select("track_id", final.alias("final"), "tempo_bpm", "w.out").selectExpr("track_id", "final", "tempo_bpm", f"{A.only('out', lambda x: f'{x}.opens is not null')} as out")
+    chunks = chunks.selectExpr("track_id", "final", "tempo_bpm", f"inline({A.each('out', lambda x, i: f"named_struct('x', {x}, 'next', get(out, {i} + 1).opens)")})")
+    chunks = chunks.selectExpr("track_id", "x.c", "struct(x.last, x.n, x.anchor, x.bars, next, final, tempo_bpm) as w")
+
+    def next_beat(s: str, x: str) -> tuple[str, str]:
+        anchor = f"if({x}.hit or {s}.n = 0, {s}.n, {s}.anchor)"
+        opens = f"if(({s}.n - {anchor}) % {bar} = 0, 1, 0)"
+        return f"named_struct('n', {s}.n + 1, 'anchor', {anchor}, 'bars', {s}.bars + {opens})", f"named_struct('t', {x}.t, 'n', {s}.n, 'bar', {s}.bars + {opens} - 1, 'pos', ({s}.n - {anchor}) % {bar} + 1)"
+
+    def numbered(kept: str) -> str:
+        beats = A.scan(
+            flagged(kept), "named_struct('n', w.n, 'anchor', w.anchor, 'bars', w.bars)", next_beat,
+            "struct<n:bigint,anchor:bigint,bars:bigint>", "struct<start_seconds:double,beat_index:bigint,bar_index:int,beat_in_bar:int>",
+        )
+        return A.each(f"{beats}.out", lambda x, i: f"named_struct('x', {x}, 'next_start', coalesce(get({kept}, {i} + 1), w.next))")
 
-    b = d.join(chunks, ["track_id", "c"]).select("track_id", "w", F.explode(A.let(A.keep_spaced(F.col("b"), tolerance, skip), numbered)).alias("o"))
-    return b.select("track_id", "o.x.*", "o.next_start", F.col("w.final").alias("final_seconds"), F.col("w.tempo_bpm").alias("tempo_bpm"))
+    kept = A.keep_spaced("b", tolerance, _ruled_out("b", "w.last", tolerance))
+    b = d.join(chunks, ["track_id", "c"]).selectExpr("track_id", "w.final as final_seconds", "w.tempo_bpm as tempo_bpm", f"inline({A.let(kept, numbered)})")
+    return b.select("track_id", "x.*", "next_start", "final_seconds", "tempo_bpm")
 
 
-WAY = "struct<n:bigint,first:double,last:double,on:bigint,off:bigint,bars:bigint>"
+WAY = "struct<n:bigint,first:double,last:double,low:bigint,high:bigint,bars:bigint>"
 
 
 def beat_grid(
@@ -582,9 +555,12 @@ def beat_grid(
     Slots per beat: the explicit count of the summary, else the count that fits ``hits`` best,
     else four; never more than twelve. Rows are exchanged three times, each time into sorted arrays by track and
     chunk: as given, snapped, and repaired. In between only summaries of chunks move. A chunk's array holds the
-    distinct starts of 16 seconds. Nothing runs before the caller's own action.
+    distinct starts of 16 seconds. Without hits and subdivisions nothing runs before the caller's own action; with
+    them the numbered beats are written once.
     """
     b = _numbered(_repaired(_snapped(beats, downbeats, summary, tolerance), tolerance), summary, tolerance)
+    if hits is not None or subdivisions is not None:
+        b = cut(b)  # what follows reads the beats several times over
     info = summary.select(
         "track_id", "confidence",
         *(["subdivisions_per_beat"] if "subdivisions_per_beat" in summary.columns else [F.lit(None).cast("int").alias("subdivisions_per_beat")]),

@@ -229,25 +229,43 @@ def fold(
     return df.repartition(*cols).sortWithinPartitions(*keys, *order).mapInArrow(step, schema)
 
 
-def at_ranks(series: DataFrame, value: str, ranks: Column, bins: int = 4096) -> DataFrame:
+def order_image(value: Column) -> Column:
+    """A long for each double, in the same order: exponent and 52 bits of mantissa, below zero negated.
+
+    Powers of two scale exactly, so equal images mean equal values (zeros of both signs are equal).
+    """
+    size = F.abs(value)
+    e = F.floor(F.log2(size)).cast("int")
+    # the logarithm may be off by one next to a power of two
+    e = F.when(F.pow(F.lit(2.0), e) > size, e - 1).when(F.pow(F.lit(2.0), e + 1) <= size, e + 1).otherwise(e)
+    wide = F.lit(float(1 << 52))
+    normal = (e + 1023).cast("long") * F.lit(1 << 52) + ((size / F.pow(F.lit(2.0), e) - 1) * wide).cast("long")
+    tiny = (size * F.pow(F.lit(2.0), F.lit(1022)) * wide).cast("long")  # subnormal numbers
+    image = F.when(size == 0, F.lit(0).cast("long")).when(size == float("inf"), F.lit(2047 << 52)).when(size < 2.0**-1022, tiny).otherwise(normal)
+    return F.when(F.isnan(value), F.lit((2047 << 52) + 1)).when(value < 0, -image).otherwise(image)
+
+
+def at_ranks(series: DataFrame, value: str, ranks: Column, bits: int = 16) -> DataFrame:
     """Values of each track at given ranks, exactly: track_id, k, rank_value. Nulls are left out.
 
-    ``ranks`` is an array of ranks from 0, as a function of the track's number of values ``n``. Equal
-    values are counted first; a histogram finds the bins that hold the ranks, and only their values
-    are ranked, so no track's values are ever gathered.
+    ``ranks`` is an array of ranks from 0, as a function of the track's number of values ``n``. Radix
+    selection: equal values are counted first, then each level looks at the next ``bits`` bits of the values'
+    order image, only within the prefixes that hold a rank. A histogram of a prefix has at most 2^bits
+    rows whatever the values are, so no track's values are ever gathered.
     """
-    v = series.where(F.col(value).isNotNull()).groupBy("track_id", F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    stats = v.groupBy("track_id").agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    span = F.col("hi") - F.col("lo")
-    bin_ = F.when(span > 0, F.floor((F.col("v") - F.col("lo")) / span * (bins - 1))).otherwise(F.lit(0))
-    b = v.join(stats, "track_id").select("track_id", "v", "c", bin_.alias("b"), F.array_distinct(ranks).alias("ks"))
-    w = Window.partitionBy("track_id").orderBy("b")
-    h = b.groupBy("track_id", "b", "ks").agg(F.sum("c").alias("c")).withColumn("upto", F.sum("c").over(w))
-    h = h.select("track_id", "b", "upto", (F.col("upto") - F.col("c")).alias("before"), F.explode("ks").alias("k"))
-    h = h.where((F.col("k") < F.col("upto")) & (F.col("k") >= F.col("before"))).drop("upto")
-    upto = F.col("before") + F.sum("c").over(Window.partitionBy("track_id", "b", "k").orderBy("v"))
-    inside = b.select("track_id", "v", "c", "b").join(h, ["track_id", "b"]).withColumn("upto", upto)
-    return inside.where(F.col("k") < F.col("upto")).groupBy("track_id", "k").agg(F.min("v").alias("rank_value"))
+    v = series.where(F.col(value).isNotNull()).groupBy("track_id", F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    v = v.withColumn("image", order_image(F.col("v")))
+    none = F.lit(0).cast("long")
+    want = v.groupBy("track_id").agg(F.sum("c").alias("n")).select("track_id", F.array_distinct(ranks).alias("ks"), none.alias("before"), none.alias("prefix"))
+    for shift in range(64 - bits, -1, -bits):
+        prefix = F.shiftright("image", shift + bits) if shift + bits < 64 else none
+        h = v.select("track_id", prefix.alias("prefix"), F.shiftright("image", shift).alias("p"), "c", "v").join(want.drop("v"), ["track_id", "prefix"])
+        h = h.groupBy("track_id", "prefix", "before", "ks", "p").agg(F.sum("c").alias("c"), F.min("v").alias("v"))
+        upto = F.col("before") + F.sum("c").over(Window.partitionBy("track_id", "prefix").orderBy("p"))
+        h = h.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("c"))
+        h = h.withColumn("ks", F.filter("ks", lambda k: (k >= F.col("before")) & (k < F.col("upto")))).where(F.size("ks") > 0)
+        want = h.select("track_id", F.col("p").alias("prefix"), "before", "ks", "v")
+    return want.select("track_id", F.explode("ks").alias("k"), F.col("v").alias("rank_value"))
 
 
 def median(series: DataFrame, value: str) -> DataFrame:

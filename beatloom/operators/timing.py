@@ -22,14 +22,14 @@ def _first_list(v, keys: list[str]) -> Column:
 
 
 def _times(keys: list[str]) -> Column:
-    """Times of the root list and the timing list together, six places, near repeats dropped."""
+    """Times of the root list and the timing list together, six places."""
     found = F.concat(_first_list("raw", keys), _first_list(V.get("raw", "timing"), keys))
 
     def value(x):
         inside = [V.number(V.get(x, k)) for k in ("seconds", "time", "start", "offset", "position")]
         return F.coalesce(V.number(x), *inside)
 
-    return V.normalize_starts(F.transform(F.array_compact(F.transform(found, value)), lambda t: F.bround(t, 6)))
+    return F.transform(F.array_compact(F.transform(found, value)), lambda t: F.bround(t, 6))
 
 
 def _events() -> Column:
@@ -53,13 +53,14 @@ def _events() -> Column:
 
 def summarize(payloads: DataFrame) -> dict[str, DataFrame]:
     """Summary rows, beats, intervals, downbeats, segments, events, tallies and provenance."""
+    payloads = payloads.withColumns({"__t0": _times(K.BEAT_KEYS), "__t1": _times(K.DOWNBEAT_KEYS)})  # near repeats are dropped from named arrays
     a, rt = V.obj("raw", "analysis"), V.obj("raw", "runtime")
     base = cut(payloads.select(
         "track_id",
         V.number(V.first_present(a, ["estimatedTempoBPM", "tempoBPM"])).alias("tempo_bpm"),
         V.number(V.first_present(a, ["downbeatOffsetSeconds", "downbeat_offset_seconds"])).alias("downbeat_offset"),
         V.number(V.get(a, "confidence")).alias("confidence"),
-        _times(K.BEAT_KEYS).alias("beats"), _times(K.DOWNBEAT_KEYS).alias("downbeats"), _events().alias("events"),
+        V.normalize_starts("__t0").alias("beats"), V.normalize_starts("__t1").alias("downbeats"), _events().alias("events"),
         F.coalesce(P.segments_array("raw"), F.array().cast("array<struct<index:bigint,start_seconds:double,end_seconds:double,label:string,confidence:double>>")).alias("segments"),
         *[V.scalar_text(V.get(rt, k)).alias(k) for k in K.PROVENANCE_KEYS],
     ))

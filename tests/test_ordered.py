@@ -137,6 +137,15 @@ def test_detect_peaks(spark):
         assert sorted(got.get(k, [])) == peaks
 
 
+def test_ranks_with_an_outlier(spark):
+    rnd = random.Random(6)
+    values = {1: [rnd.gauss(0, 1) for _ in range(2000)] + [1e300, -1e300, 0.0, -0.0, 5e-324, -5e-324, 2.0**-1022, 1e-310, float("inf")], 2: [2.0**k for k in range(-60, 60)] + [3.0] * 50, 3: [7.5], 4: [-1.0, None, -2.0]}
+    df = spark.createDataFrame([(k, x) for k, v in values.items() for x in v], "track_id long, x double")
+    got = {(r.track_id, r.k): r.rank_value for r in O.at_ranks(df, "x", F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).collect()}
+    want = {(k, i): x for k, v in values.items() for i, x in enumerate(sorted(x for x in v if x is not None))}
+    assert got == want
+
+
 def test_streamed_rules_use_one_exchange(spark, times):
     d = frame(spark, times).withColumn("__c", O.time_chunk("start_seconds"))
     d = O.neighbors(d, ["track_id"], ["start_seconds"], "__c", prev={"p": "start_seconds"})
