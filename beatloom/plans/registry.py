@@ -18,7 +18,10 @@ QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 WITH: dict[str, str] = {}
 #: Views that others name many times over; the checking engine computes them once.
-SHARED = {"collapsed", "bb", "acc", "sh0", "hats", "open_hat", "closed_hat", "texture"}
+SHARED = {
+    "collapsed", "bb", "acc", "sh0", "hats", "open_hat", "closed_hat", "texture", "tracks", "beats", "subdivisions", "grid0", "mapped", "q_asof", "quant", "pos_a", "pos_b", "pairs", "nov", "thr", "peaks",
+    "lane_gaps",
+}
 
 
 def query(name: str, sql: str | None = None):
