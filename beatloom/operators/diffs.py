@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from beatloom import constants as K
 from beatloom.operators import folds
 
+PREVIEW = 12
+
 
 def first_seen(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """First row of each key by ``order`` (E5); a minimum, so it is combined on the map side."""
@@ -75,11 +78,7 @@ def diff_provenance(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.where(~F.col("primary").eqNullSafe(F.col("fallback")))
 
 
-def preview(df: DataFrame, keys: list[str], order: list, n: int = 12) -> DataFrame:
-    """First ``n`` rows per key (T6), cut once per slice of the key before the final ranking."""
-    from pyspark.sql.window import Window
-
-    rank = lambda part: F.row_number().over(Window.partitionBy(*part).orderBy(*order))
-    slice_ = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(64))
-    first = df.withColumn("__s", slice_).withColumn("__r", rank([*keys, "__s"])).where(F.col("__r") <= n)
-    return first.withColumn("rank", rank(keys)).where(F.col("rank") <= n).drop("__s", "__r")
+def preview(df: DataFrame, keys: list[str], order: list, n: int = PREVIEW) -> DataFrame:
+    """First ``n`` rows per key (T6). Ranks are cut off below the shuffle as well, so a task sends at most
+    ``n`` rows of a key, however many it has."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)

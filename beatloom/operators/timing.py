@@ -52,7 +52,7 @@ def _events() -> Column:
 
 
 def summarize(payloads: DataFrame) -> dict[str, DataFrame]:
-    """Summary rows, beats, intervals, downbeats, segments, events, tallies and provenance."""
+    """Summary rows, beats, intervals, downbeats, segments, events and the first of them, tallies and provenance."""
     payloads = payloads.withColumns({"__t0": _times(K.BEAT_KEYS), "__t1": _times(K.DOWNBEAT_KEYS)})  # near repeats are dropped from named arrays
     a, rt = V.obj("raw", "analysis"), V.obj("raw", "runtime")
     base = cut(payloads.select(
@@ -76,10 +76,10 @@ def summarize(payloads: DataFrame) -> dict[str, DataFrame]:
     rows = lambda c, name: base.select("track_id", F.posexplode(c).alias("pos", name))
     return {
         "summary": base.select("track_id", "tempo_bpm", "downbeat_offset", "confidence", size("beats").alias("beat_count"), size("downbeats").alias("downbeat_count"),
-                               size("segments").alias("segment_count"), size("events").alias("event_count")),
+                               size("segments").alias("segment_count"), size("events").alias("event_count"), size(gaps).alias("interval_count")),
         "beats": rows("beats", "t"), "intervals": rows(gaps, "t"), "downbeats": rows("downbeats", "t"),
         "segments": rows(F.transform("segments", lambda s: F.to_json(F.struct(s["index"], F.bround(s["start_seconds"], 6), F.bround(s["end_seconds"], 6), s["label"]))), "s"),
-        "events": events, "onsets": rows(onset_list, "onset_seconds"), "tallies": tallies, "provenance": base.select("track_id", *K.PROVENANCE_KEYS),
+        "events": events, "events_preview": D.preview(events, ["track_id"], ["index"]), "onsets": rows(onset_list, "onset_seconds"), "tallies": tallies, "provenance": base.select("track_id", *K.PROVENANCE_KEYS),
     }
 
 
@@ -87,7 +87,7 @@ def timing_diff(primary: DataFrame, fallback: DataFrame) -> DataFrame:
     """What two timing documents of each track disagree on (G14), long form: track_id, measure, value, detail."""
     a, b = summarize(primary), summarize(fallback)
     n = lambda df, name: df.groupBy("track_id").agg(F.count(F.lit(1)).cast("double").alias("value")).select("track_id", F.lit(name).alias("measure"), "value", F.lit(None).cast("string").alias("detail"))
-    numbers = ["tempo_bpm", "downbeat_offset", "confidence", "beat_count", "downbeat_count", "segment_count", "event_count"]
+    numbers = ["tempo_bpm", "downbeat_offset", "confidence", "beat_count", "downbeat_count", "segment_count", "event_count", "interval_count"]
     cast = lambda df: df.select("track_id", *[F.col(c).cast("double").alias(c) for c in numbers])
     x = cast(a["summary"]).unpivot("track_id", numbers, "measure", "l").join(cast(b["summary"]).unpivot("track_id", numbers, "measure", "r"), ["track_id", "measure"])
     out = x.select("track_id", F.concat("measure", F.lit("_delta")).alias("measure"), F.bround(F.col("r") - F.col("l"), 6).alias("value"), F.lit(None).cast("string").alias("detail"))
@@ -100,3 +100,35 @@ def timing_diff(primary: DataFrame, fallback: DataFrame) -> DataFrame:
     p = D.diff_provenance(a["provenance"], b["provenance"])
     text = F.concat_ws(" -> ", F.coalesce("primary", F.lit("None")), F.coalesce("fallback", F.lit("None")))
     return out.unionByName(p.select("track_id", F.concat(F.lit("provenance_"), "key").alias("measure"), F.lit(None).cast("double").alias("value"), text.alias("detail")))
+
+
+def timing_previews(primary: DataFrame, fallback: DataFrame, n: int = D.PREVIEW) -> DataFrame:
+    """The first ``n`` differences of each kind (G14): track_id, measure, rank, pos, key, primary, fallback,
+    delta, primary_text, fallback_text.
+
+    Measures: beats, intervals, downbeats, segments (by position), lane_counts, source_counts and
+    confidence_counts (by key), onsets_shifted and onsets_primary_only (by primary position) and
+    onsets_fallback_only (by its own).
+    """
+    a, b = summarize(primary), summarize(fallback)
+    blank = {"pos": "long", "key": "string", "primary": "double", "fallback": "double", "delta": "double", "primary_text": "string", "fallback_text": "string"}
+
+    def rows(df: DataFrame, measure: str | Column, order: list[str], **columns: Column | str) -> DataFrame:
+        given = {k: F.col(v) if isinstance(v, str) else v for k, v in columns.items()}
+        name = F.lit(measure) if isinstance(measure, str) else measure
+        df = D.preview(df.withColumn("measure", name), ["track_id", "measure"], order, n)
+        return df.select("track_id", "measure", "rank", *[given.get(k, F.lit(None)).cast(kind).alias(k) for k, kind in blank.items()])
+
+    six = lambda c: F.bround(c, 6)
+    parts = [
+        rows(D.compare_positions(a[k], b[k], "t"), k, ["pos"], pos="pos", primary=six("primary"), fallback=six("fallback"), delta=six("delta")) for k in ("beats", "intervals", "downbeats")
+    ]
+    parts.append(rows(D.compare_positions(a["segments"], b["segments"], "s"), "segments", ["pos"], pos="pos", primary_text="primary", fallback_text="fallback"))
+    t = D.compare_counts(a["tallies"], b["tallies"], ["track_id", "counter", "key"])
+    parts.append(rows(t, F.concat("counter", F.lit("_counts")), ["key"], key="key", primary="primary", fallback="fallback", delta="delta"))
+    m = D.match_onsets(a["onsets"], b["onsets"]).where(F.col("kind") != "matched").withColumn("pos", F.coalesce("primary_pos", "fallback_pos"))
+    parts.append(rows(m, F.concat(F.lit("onsets_"), "kind"), ["pos"], pos="pos", primary="primary_onset", fallback="fallback_onset", delta="delta"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

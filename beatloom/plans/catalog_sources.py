@@ -54,10 +54,15 @@ def e04(spark, sf):
     return D.union_keys(n(V.hits), n(V.hits_b), ["track_id", "label"])
 
 
-WITH["pairs"] = """SELECT track_id, fl, unnest(list_reduce(l, lambda s, x: {'m': s.m || list_transform(x.m, lambda z: CASE WHEN z.b IS NOT NULL THEN {'i': z.i, 't': z.t, 'b': z.b} ELSE
- {'i': z.i, 't': z.t, 'b': list_sort(list_transform(list_filter(fl, lambda y: abs(y.t - z.t) <= 0.05 AND NOT list_contains(list_transform(s.m, lambda o: o.b.p), y.p)), lambda y: {'d': abs(y.t - z.t), 'p': y.p, 't': y.t}))[1]} END)}).m) AS m
- FROM (SELECT track_id, list_prepend({'m': []::STRUCT(i BIGINT, t DOUBLE, b STRUCT(d DOUBLE, p BIGINT, t DOUBLE))[]}, list({'m': [{'i': pos::BIGINT, 't': onset_seconds, 'b': NULL::STRUCT(d DOUBLE, p BIGINT, t DOUBLE)}]} ORDER BY pos)) AS l FROM pos_a GROUP BY 1)
- LEFT JOIN (SELECT track_id, list({'p': pos::BIGINT, 't': onset_seconds} ORDER BY pos) AS fl FROM pos_b GROUP BY 1) USING (track_id)"""
+def _pairs(a, b):
+    """The sequential matching of two views with track_id, pos and onset_seconds, as one fold over a list."""
+    return f"""SELECT track_id, fl, unnest(list_reduce(l, lambda s, x: {{'m': s.m || list_transform(x.m, lambda z: CASE WHEN z.b IS NOT NULL THEN {{'i': z.i, 't': z.t, 'b': z.b}} ELSE
+ {{'i': z.i, 't': z.t, 'b': list_sort(list_transform(list_filter(fl, lambda y: abs(y.t - z.t) <= 0.05 AND NOT list_contains(list_transform(s.m, lambda o: o.b.p), y.p)), lambda y: {{'d': abs(y.t - z.t), 'p': y.p, 't': y.t}}))[1]}} END)}}).m) AS m
+ FROM (SELECT track_id, list_prepend({{'m': []::STRUCT(i BIGINT, t DOUBLE, b STRUCT(d DOUBLE, p BIGINT, t DOUBLE))[]}}, list({{'m': [{{'i': pos::BIGINT, 't': onset_seconds, 'b': NULL::STRUCT(d DOUBLE, p BIGINT, t DOUBLE)}}]}} ORDER BY pos)) AS l FROM {a} GROUP BY 1)
+ LEFT JOIN (SELECT track_id, list({{'p': pos::BIGINT, 't': onset_seconds}} ORDER BY pos) AS fl FROM {b} GROUP BY 1) USING (track_id)"""
+
+
+WITH["pairs"] = _pairs("pos_a", "pos_b")
 
 
 @query("j08_match_onsets", """SELECT track_id, CASE WHEN m.b IS NULL THEN 'primary_only' WHEN abs(round(m.b.t - m.t, 6)) > 0.0005 THEN 'shifted' ELSE 'matched' END AS kind, m.i AS primary_pos, m.b.p AS fallback_pos, round(m.b.t - m.t, 6) AS delta FROM pairs
@@ -103,11 +108,43 @@ def a29(spark, sf):
     return TM.summarize(CD.parsed(spark, sf))["summary"].select("track_id", "tempo_bpm", "beat_count", "downbeat_count", "event_count")
 
 
-@query("g14_timing_diff")
+@query("a29_event_preview", """SELECT track_id, i AS rank, i - 1 AS index, round(onset, 6) AS onset_seconds, 'unknown' AS lane, 'unknown' AS source, round(confidence, 4) AS confidence FROM (
+ SELECT e.*, row_number() OVER (PARTITION BY track_id ORDER BY event_id) AS i FROM clip_events e JOIN clips c USING (track_id) WHERE NOT c.bad AND c.shape = 0) WHERE i <= 12""")
+def a29_events(spark, sf):
+    e = TM.summarize(CD.parsed(spark, sf))["events_preview"]
+    return e.select("track_id", "rank", "index", r6("onset_seconds").alias("onset_seconds"), "lane", "source", F.round("confidence", 4).alias("confidence"))
+
+
+def _timings(spark, sf):
+    """Documents and the same with one beat moved and all hits of the first second a second later."""
+    moved = F.replace("text", F.lit('"beats":[0.0,0.5,'), F.lit('"beats":[0.0,0.6,'))
+    moved = F.replace(moved, F.lit('"onsetSeconds":0.'), F.lit('"onsetSeconds":1.'))
+    return CD.parsed(spark, sf), CD.payloads(spark, sf).select("track_id", F.try_parse_json(moved).alias("raw"))
+
+
+WITH["timing_a"] = """SELECT track_id, onset_seconds, row_number() OVER (PARTITION BY track_id ORDER BY onset_seconds) - 1 AS pos FROM (
+ SELECT track_id, round(onset, 6) AS onset_seconds FROM clip_events JOIN clips USING (track_id) WHERE NOT bad AND shape = 0 AND onset IS NOT NULL)"""
+WITH["timing_b"] = """SELECT track_id, onset_seconds, row_number() OVER (PARTITION BY track_id ORDER BY onset_seconds) - 1 AS pos FROM (
+ SELECT track_id, round(CASE WHEN onset = 0 OR (onset >= 0.001 AND onset < 1) THEN onset + 1 ELSE onset END, 6) AS onset_seconds FROM clip_events JOIN clips USING (track_id) WHERE NOT bad AND shape = 0 AND onset IS NOT NULL)"""
+WITH["timing_pairs"] = _pairs("timing_a", "timing_b")
+WITH["timing_kinds"] = """SELECT track_id, 'onsets_' || CASE WHEN m.b IS NULL THEN 'primary_only' WHEN abs(round(m.b.t - m.t, 6)) > 0.0005 THEN 'shifted' ELSE 'matched' END AS measure, m.i AS pos, m.t AS "primary", m.b.t AS fallback, round(m.b.t - m.t, 6) AS delta FROM timing_pairs
+ UNION ALL SELECT track_id, 'onsets_fallback_only', pos, NULL, onset_seconds, NULL FROM timing_b b WHERE NOT EXISTS (SELECT 1 FROM timing_pairs p WHERE p.track_id = b.track_id AND p.m.b.p = b.pos)"""
+
+
+@query("g14_timing_diff", """SELECT track_id, m || '_delta' AS measure, CASE WHEN m = 'tempo_bpm' AND (bad OR shape = 1 OR track_id % 4 = 1) OR m = 'downbeat_offset' OR m = 'confidence' AND (bad OR shape = 1) THEN NULL ELSE 0 END::DOUBLE AS value, NULL::VARCHAR AS detail
+ FROM clips, (SELECT unnest(['tempo_bpm', 'downbeat_offset', 'confidence', 'beat_count', 'downbeat_count', 'segment_count', 'event_count', 'interval_count']) AS m)
+ UNION ALL SELECT track_id, unnest(['beats_mismatches', 'intervals_mismatches']), unnest([1.0, 2.0])::DOUBLE, NULL FROM clips WHERE NOT bad AND shape = 0
+ UNION ALL SELECT track_id, measure, count(*)::DOUBLE, NULL FROM timing_kinds GROUP BY 1, 2""")
 def g14(spark, sf):
-    p = CD.parsed(spark, sf)
-    moved = CD.payloads(spark, sf).select("track_id", F.try_parse_json(F.replace("text", F.lit('"beats":[0.0,0.5,'), F.lit('"beats":[0.0,0.6,'))).alias("raw"))
-    return TM.timing_diff(p, moved)
+    return TM.timing_diff(*_timings(spark, sf))
+
+
+@query("g14_timing_previews", """SELECT track_id, 'beats' AS measure, 1 AS rank, 1 AS pos, 0.5::DOUBLE AS "primary", 0.6::DOUBLE AS fallback, 0.1::DOUBLE AS delta FROM clips WHERE NOT bad AND shape = 0
+ UNION ALL SELECT track_id, 'intervals', i, i - 1, 0.5, CASE i WHEN 1 THEN 0.6 ELSE 0.4 END, CASE i WHEN 1 THEN 0.1 ELSE -0.1 END FROM clips, range(1, 3) r(i) WHERE NOT bad AND shape = 0
+ UNION ALL SELECT * FROM (SELECT track_id, measure, row_number() OVER (PARTITION BY track_id, measure ORDER BY pos) AS rank, pos, round("primary", 6), round(fallback, 6), delta FROM timing_kinds WHERE measure <> 'onsets_matched') WHERE rank <= 12""")
+def g14_previews(spark, sf):
+    p = TM.timing_previews(*_timings(spark, sf))
+    return p.select("track_id", "measure", "rank", "pos", *[r6(c).alias(c) for c in ("primary", "fallback", "delta")])
 
 
 # --- audits -----------------------------------------------------------------------------------------
