@@ -33,7 +33,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of full training sequences, sources mixed by their shares."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), spaced=True, end_id=1, memo=96 << 20)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), spaced=True, end_id=1, memo=32 << 20)
 
 
 STAGES = [
