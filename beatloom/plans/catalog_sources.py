@@ -214,13 +214,13 @@ def runs_and_items(spark, sf):
     batch, pos = F.floor(i / 32), i % 32
     o = V.table(spark, sf, "orders")
     runs = o.select(batch.alias("batch"), pos.alias("pos"), F.concat(F.lit("u"), ((i * 7) % 16).cast("string")).alias("source_uri"), i.cast("string").alias("run_id"), F.col("o_orderstatus").alias("status"))
-    items = o.where(pos < 20).select(batch.alias("batch"), pos.alias("pos"), F.when(i % 3 == 0, F.lit("gone")).otherwise(F.concat(F.lit("u"), (i % 16).cast("string"))).alias("source_uri"))
+    items = o.select(batch.alias("batch"), pos.alias("pos"), F.when(i % 3 == 0, F.lit("gone")).otherwise(F.concat(F.lit("u"), (i % 16).cast("string"))).alias("source_uri"))
     return items, runs
 
 
 @query("j16_attach_runs", """SELECT i.o_orderkey // 32 AS batch, i.o_orderkey % 32 AS pos, coalesce(u.run_id, p.o_orderkey::VARCHAR) AS run_id FROM orders i LEFT JOIN (SELECT o_orderkey // 32 AS b, concat('u', (o_orderkey*7) % 16) AS uri,
  arg_min(o_orderkey::VARCHAR, o_orderkey % 32) AS run_id FROM orders GROUP BY ALL) u ON u.b = i.o_orderkey // 32 AND u.uri = CASE WHEN i.o_orderkey % 3 = 0 THEN 'gone' ELSE concat('u', i.o_orderkey % 16) END
- LEFT JOIN orders p ON p.o_orderkey = i.o_orderkey WHERE i.o_orderkey % 32 < 20""")
+ LEFT JOIN orders p ON p.o_orderkey = i.o_orderkey""")
 def j16(spark, sf):
     return A.attach_runs(*runs_and_items(spark, sf)).select("batch", "pos", "run_id")
 
@@ -400,10 +400,12 @@ def w13(spark, sf):
 
 
 def _onsets(spark, sf):
-    return V.tracks(spark, sf).select("track_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("k")).select("track_id", (F.col("k") * 0.03).alias("onset_seconds"))
+    """An onset every twelve samples, to the end of each track."""
+    n = samples(spark, sf).groupBy("track_id").agg(F.floor(F.count(F.lit(1)) / 12).alias("n")).where(F.col("n") > 0)
+    return n.select("track_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k")).select("track_id", (F.col("k") * 0.03).alias("onset_seconds"))
 
 
-WITH["on5"] = "SELECT track_id, k*0.03::DOUBLE AS t, floor(k*0.03::DOUBLE*400)::INT AS c FROM tracks, range(1, 6) r(k)"
+WITH["on5"] = "SELECT track_id, k*0.03::DOUBLE AS t, floor(k*0.03::DOUBLE*400)::INT AS c FROM (SELECT track_id, unnest(range(1, count(*)//12 + 1)) AS k FROM samples GROUP BY track_id)"
 WITH["win"] = "SELECT o.track_id, o.t, s.idx, s.value, lag(s.value) OVER (PARTITION BY o.track_id, o.t ORDER BY s.idx) AS p FROM on5 o JOIN samples s ON s.track_id = o.track_id AND s.idx >= greatest(c - 12, 0) AND s.idx < c + 24"
 WITH["feat"] = """SELECT w.track_id, w.t, avg(abs(value)) AS a, count(*) FILTER ((p <= 0 AND value > 0) OR (p >= 0 AND value < 0))::DOUBLE/greatest(count(*) - 1, 1) AS z, avg(abs(value - p)) AS m FROM win w GROUP BY ALL"""
 WITH["tails"] = "SELECT o.track_id, o.t, avg(abs(s.value)) AS tail FROM on5 o JOIN samples s ON s.track_id = o.track_id AND s.idx >= greatest(c + 6, 0) AND s.idx < c + 36 GROUP BY ALL"

@@ -327,18 +327,15 @@ def g06(spark, sf):
 # --- hits -----------------------------------------------------------------------------
 
 
-@query("j01_assign_beat", """SELECT h.event_id, u.i AS beat_index FROM hits h ASOF LEFT JOIN (SELECT track_id, n AS i, start_seconds FROM uneven WHERE n < 100) u
- ON h.track_id = u.track_id AND h.onset_seconds >= u.start_seconds WHERE h.onset_seconds < 50 - 0.005 UNION ALL
- SELECT h.event_id, NULL FROM hits h WHERE h.onset_seconds >= 50 + 0.02""")
+@query("j01_assign_beat", """SELECT h.event_id, CASE WHEN h.onset_seconds < u.beat_end THEN u.n END AS beat_index FROM hits h ASOF LEFT JOIN (SELECT track_id, n, start_seconds,
+ coalesce(lead(start_seconds) OVER (PARTITION BY track_id ORDER BY n), start_seconds + 0.25::DOUBLE) AS beat_end FROM uneven) u ON h.track_id = u.track_id AND h.onset_seconds >= u.start_seconds""")
 def j01(spark, sf):
-    # each beat is one slot; the last beat ends half a second after its start
-    g = V.uneven_beats(spark, sf).where(F.col("n") < 100).select(
+    # each beat is one slot; the last beat of a track ends a quarter of a second after its start
+    g = V.uneven_beats(spark, sf).select(
         "track_id", F.col("n").alias("beat_index"), "start_seconds", F.col("n").alias("subdivision_index"),
-        F.lit(0).alias("subdivision_in_beat"), F.lit(0.5).alias("duration_seconds"),
+        F.lit(0).alias("subdivision_in_beat"), F.lit(0.25).alias("duration_seconds"),
     )
-    # the end of the last beat differs by track; leave out the few hits right at that edge
-    edge = (F.col("onset_seconds") < 50 - 0.005) | (F.col("onset_seconds") >= 50 + 0.02)
-    return E.assign_beat(V.hits(spark, sf).where(edge), g).select("event_id", "beat_index")
+    return E.assign_beat(V.hits(spark, sf), g).select("event_id", "beat_index")
 
 
 @query("j02_nearest_anchor", "SELECT track_id, event_id, beat AS onset_beat_index, sub AS onset_subdivision_index, round(abs(sub*0.125 - onset_seconds), 6) AS drift_seconds FROM quant")

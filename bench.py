@@ -1,7 +1,7 @@
 """Time the headline queries and print one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1) and BENCH_CPUS (default 8) choose the data and the
-cores; BENCH_RUNS (default 1) the timed runs per query, of which the median counts. One query runs
+cores; BENCH_RUNS (default 3) the timed runs per query, of which the median counts. One query runs
 first to warm the session up.
 """
 
@@ -30,7 +30,7 @@ HEADLINE = {
 
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "beatloom-bench")
     times = {}
     catalog.QUERIES["a03_lane_usage"](spark, sf).write.format("noop").mode("overwrite").save()
