@@ -418,9 +418,19 @@ def g17(spark, sf):
     return f.select("track_id", r6("onset_seconds").alias("onset_seconds"), r6("avg_abs").alias("avg_abs"), r6("zcr").alias("zcr"), F.round("sustain_ratio", 5).alias("sustain_ratio"), F.round("mid_ratio", 5).alias("mid_ratio"))
 
 
-@query("g17_classify")
+# at this rate the low and middle steps are one sample, so both motions are the mean step
+WITH["ratios"] = """SELECT o.track_id, o.t, a, z, tail/greatest(a, 1e-6) AS s, a/greatest(tail, 1e-6) AS p, a/greatest(m, 1e-6) AS b, m/greatest(a, 1e-6) AS m, m/greatest(m, 1e-6) AS q FROM (
+ SELECT o.track_id, o.t, coalesce(a, 0) AS a, coalesce(z, 0) AS z, coalesce(m, 0) AS m, coalesce(tail, 0) AS tail FROM on5 o LEFT JOIN feat f ON o.track_id = f.track_id AND o.t = f.t LEFT JOIN tails x ON o.track_id = x.track_id AND o.t = x.t) o"""
+WITH["lanes_of"] = """SELECT *, CASE WHEN (z < 0.14 AND p > 1.01 AND b > 1.03) OR (z < 0.09 AND p > 0.98) THEN 'kick' WHEN z > 0.46 AND s > 0.8 AND a > 0.18 THEN 'crash' WHEN z > 0.33 AND s > 0.72 THEN 'open_hihat'
+ WHEN z > 0.3 OR (m > 1.55 AND p < 1.08) THEN 'closed_hihat' WHEN s > 0.86 AND z >= 0.12 AND z <= 0.3 AND b < 1.18 AND q < 1.45 THEN CASE WHEN q < 0.72 THEN 'tom_low' WHEN q < 0.98 THEN 'tom_mid' ELSE 'tom_high' END ELSE 'snare' END AS lane FROM ratios"""
+
+
+@query("g17_classify", """SELECT track_id, round(t, 6) AS onset_seconds, lane, CASE lane WHEN 'open_hihat' THEN 'open hi hat' WHEN 'closed_hihat' THEN 'closed hi hat' WHEN 'tom_low' THEN 'floor tom' WHEN 'tom_mid' THEN 'mid tom' WHEN 'tom_high' THEN 'high tom' ELSE lane END AS label,
+ round(least(0.99, CASE lane WHEN 'kick' THEN 0.48 + a*1.15 + greatest(0, b - 1)*0.32 WHEN 'crash' THEN 0.46 + least(z, 0.65)*0.48 + least(s, 1.4)*0.16 WHEN 'open_hihat' THEN 0.4 + least(z, 0.55)*0.58 + least(s, 1.2)*0.1
+ WHEN 'closed_hihat' THEN 0.38 + greatest(z, least(m/2.2, 0.45))*1.1 WHEN 'snare' THEN 0.46 + a*0.95 + least(m, 1)*0.06 ELSE 0.44 + least(s, 1.25)*0.18 + greatest(0, 1.22 - q)*0.16 END), 6) AS confidence FROM lanes_of""")
 def g17c(spark, sf):
-    return SG.classify(SG.onset_features(samples(spark, sf), _onsets(spark, sf), RATE)).select("track_id", "onset_seconds", "lane", "label", "confidence")
+    c = SG.classify(SG.onset_features(samples(spark, sf), _onsets(spark, sf), RATE))
+    return c.select("track_id", r6("onset_seconds").alias("onset_seconds"), "lane", "label", r6("confidence").alias("confidence"))
 
 
 @query("g19_analyze_samples")

@@ -20,7 +20,7 @@ WITH: dict[str, str] = {}
 #: Views that others name many times over; the checking engine computes them once.
 SHARED = {
     "collapsed", "bb", "acc", "sh0", "hats", "open_hat", "closed_hat", "texture", "tracks", "beats", "subdivisions", "grid0", "mapped", "q_asof", "quant", "pos_a", "pos_b", "pairs", "nov", "thr", "peaks",
-    "lane_gaps", "timing_a", "timing_b", "timing_pairs", "timing_kinds",
+    "lane_gaps", "timing_a", "timing_b", "timing_pairs", "timing_kinds", "samples", "on5",
 }
 
 
