@@ -9,11 +9,13 @@ marked with the state. One fold over the segments' tables, a row for each state,
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from beatloom.functions import arrays as A
@@ -82,7 +84,7 @@ def entered(tables: DataFrame, state: str, start: str, step: Callable[[str, str]
 # --- the last kept row, replaced by a stronger one close to it (W13, W16) ---------------------
 
 
-def _last_kept_cut(groups: Iterator) -> Iterator[pa.RecordBatch]:
+def _last_kept_cut(kind: pa.DataType, groups: Iterator) -> Iterator[pa.RecordBatch]:
     """For each chunk the row before which fewest rows could still be the last kept one."""
     out: list[tuple] = []
     for (track, chunk), g in groups:
@@ -104,7 +106,7 @@ def _last_kept_cut(groups: Iterator) -> Iterator[pa.RecordBatch]:
                 row = (int(g["n"][best + 1]), int(count[best]))
         out.append((track, chunk, *row))
     names = ["track_id", "__c", "cut", "open"]
-    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], None if out and k == 0 else pa.int64()) for k in range(4)], names=names)
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64() if k else kind) for k in range(4)], names=names)
 
 
 def _last_kept_fold(kind: pa.DataType) -> Callable:
@@ -168,10 +170,9 @@ def last_kept_runs(rows: DataFrame) -> DataFrame:
     (a number), __c (a chunk that grows with n). A row joins the run of the row before it if it has its
     lane and is closer than its own gap to the run's last kept row, which a stronger row replaces.
     """
-    key = rows.schema["track_id"].dataType.simpleString()
-    kind = pa.string() if key == "string" else pa.int64()
+    key, kind = rows.schema["track_id"].dataType.simpleString(), to_arrow_type(rows.schema["track_id"].dataType)
     base = O._placed(rows.select("track_id", "__c", "n", "t", "v", "gap", "lane"), ["track_id"], "__c")
-    cuts = streamed(base, ["track_id", "__c"], ["n"], _last_kept_cut, f"track_id {key}, __c long, cut long, open long")
+    cuts = streamed(base, ["track_id", "__c"], ["n"], partial(_last_kept_cut, kind), f"track_id {key}, __c long, cut long, open long")
     d = with_segments(base, cuts, ["cut", "open"])
     n = F.col("n")
     after = F.col("own").isNotNull() & (n >= F.col("cut"))
@@ -199,7 +200,7 @@ def last_kept_runs(rows: DataFrame) -> DataFrame:
 # --- one-to-one matching of onsets (J8) --------------------------------------------------------
 
 
-def _match_cut(tolerance: float, chunk: float, margin: float) -> Callable:
+def _match_cut(kind: pa.DataType, tolerance: float, chunk: float, margin: float) -> Callable:
     def cut(groups: Iterator) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for (track, c), g in groups:
@@ -217,7 +218,7 @@ def _match_cut(tolerance: float, chunk: float, margin: float) -> Callable:
                 if count[best] <= MOST_OPEN:
                     row = (float(before[best]), float(p[best]))
             out.append((track, c, *row))
-        kinds = [None if out else pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        kinds = [kind, pa.int64(), pa.float64(), pa.float64()]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds[k]) for k in range(4)], names=["track_id", "__c", "low", "high"])
 
     return cut
@@ -345,12 +346,11 @@ def match_sides(both: DataFrame, tolerance: float) -> DataFrame:
     ``both``: track_id, t, side (0 primary, 1 fallback), pos in onset order. Primaries take, in order, the
     nearest fallback within the tolerance that none before them took, the earlier on a tie.
     """
-    key = both.schema["track_id"].dataType.simpleString()
-    kind = pa.string() if key == "string" else pa.int64()
+    key, kind = both.schema["track_id"].dataType.simpleString(), to_arrow_type(both.schema["track_id"].dataType)
     chunk, margin = max(O.TIME_CHUNK, 64 * tolerance), max(2.0, 8 * tolerance)
     base = O._placed(both.select("track_id", O.time_chunk("t", chunk).alias("__c"), "t", "side", "pos"), ["track_id"], "__c")
     order = ["t", "side", "pos"]
-    cuts = streamed(base, ["track_id", "__c"], order, _match_cut(tolerance, chunk, margin), f"track_id {key}, __c long, low double, high double")
+    cuts = streamed(base, ["track_id", "__c"], order, _match_cut(kind, tolerance, chunk, margin), f"track_id {key}, __c long, low double, high double")
     d = with_segments(base, cuts, ["low", "high"])
     t, low, high, cut = F.col("t"), F.col("low"), F.col("high"), F.col("own").isNotNull()
     wide = tolerance * (1 + 1e-9) + 1e-12

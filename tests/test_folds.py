@@ -4,6 +4,7 @@ import bisect
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,11 +121,22 @@ def test_matching_of_gap_free_runs(spark, sides):
         assert len(rows) == len(p[k]) + len(q[k]) - len(want)
 
 
+@pytest.mark.parametrize("kind", ["string", "int"])
+def test_other_kinds_of_track_ids(spark, kind):
+    p, q = onsets(spark, {1: [0.0, 1.0, 1.02], 2: [3.0]}), onsets(spark, {1: [0.01, 1.01], 3: [2.0]})
+    as_kind = lambda df: df.withColumn("track_id", F.col("track_id").cast(kind))
+    got = D.match_onsets(as_kind(p), as_kind(q))
+    assert got.schema["track_id"].dataType.simpleString() == kind
+    assert sorted(r.kind for r in got.collect()) == ["fallback_only", "primary_only", "primary_only", "shifted", "shifted"]
+    hits = as_kind(spark.createDataFrame([(1, 0.0, "kick", "kick", 0.5, 0.5), (1, 0.01, "kick", "kick", 0.9, 0.5), (2, 0.0, "kick", "kick", 0.5, 0.5)], "track_id long, onset_seconds double, lane string, label string, confidence double, beat_interval double"))
+    assert sorted((str(r.track_id), r.onset_seconds, r.merged) for r in SG.dedupe_same_lane(hits).collect()) == [("1", 0.01, 1), ("2", 0.0, 0)]
+
+
 def test_a_gap_free_run_is_split(spark, sides):
     p, q = sides
     both = onsets(spark, {0: p[0]}).withColumn("side", F.lit(0)).unionByName(onsets(spark, {0: q[0]}).withColumn("side", F.lit(1)))
     base = O._placed(both.select("track_id", O.time_chunk("onset_seconds").alias("__c"), F.col("onset_seconds").alias("t"), "side", "pos"), ["track_id"], "__c")
-    cuts = folds.streamed(base, ["track_id", "__c"], ["t", "side", "pos"], folds._match_cut(0.05, 16.0, 2.0), "track_id long, __c long, low double, high double").collect()
+    cuts = folds.streamed(base, ["track_id", "__c"], ["t", "side", "pos"], folds._match_cut(pa.int64(), 0.05, 16.0, 2.0), "track_id long, __c long, low double, high double").collect()
     # 160 seconds without a gap wider than 0.03: a cut in each of ten chunks
     assert len(cuts) == 10 and all(r.low is not None for r in cuts)
 
