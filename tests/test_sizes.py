@@ -1,7 +1,8 @@
-"""Work that must not grow faster than its input: packed grids and joins of exploded rows."""
+"""Work that must not grow faster than its input: packed grids, joins of exploded rows, slices of documents."""
 
 from pyspark.sql import functions as F
 
+from beatloom.functions import documents as D
 from beatloom.operators import events as E
 from beatloom.operators import grid as G
 from beatloom.operators import metrics as M
@@ -60,3 +61,15 @@ def test_joins_of_exploded_rows_are_no_broadcasts(spark):
     shift = "BroadcastHashJoin [track_id#"  # the shift of a track is one row and may be broadcast to others, not to its beats
     plan = G.snap_downbeats(downs, s)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan.split(shift)[0]
+
+
+def test_documents_are_parsed_in_slices(spark):
+    import pandas as pd
+
+    text = pd.Series(["x" * 10] * 25 + [None, "y" * 95, "z"])
+    parts = [p for (p,) in D.slices((text,), 50)]
+    assert [x for p in parts for x in p] == list(text)
+    assert all(sum(len(x or "") for x in p[:-1]) < 50 for p in (list(p) for p in parts)) and len(parts) > 4
+    docs = spark.range(3000).select("id", F.try_parse_json(F.concat(F.lit('{"n":'), F.col("id").cast("string"), F.lit(',"t":"'), F.repeat(F.lit("ab"), 600), F.lit('"}'))).alias("v"))
+    got = docs.select("id", D.over(lambda d: d["n"] * 2, "long", "v").alias("m"))
+    assert got.where("m = id * 2").count() == 3000
