@@ -1,4 +1,7 @@
-"""Work that must not grow faster than its input: packed grids, joins of exploded rows, slices of documents."""
+"""Work that must not grow faster than its input: packed grids, joins of exploded rows, slices of documents, log files."""
+
+import glob
+import json
 
 from pyspark.sql import functions as F
 
@@ -7,6 +10,7 @@ from beatloom.operators import events as E
 from beatloom.operators import grid as G
 from beatloom.operators import metrics as M
 from beatloom.operators import notes as N
+from beatloom.sources import files
 
 SUMMARY = "track_id long, tempo_bpm double, downbeat_offset double, duration_seconds double, confidence double"
 TRACKS = [(1, 120.0, 0.0, 72.0, None), (2, None, 0.3, None, 0.5), (3, 97.0, 1.7, 40.3, None), (4, 0.2, -1.0, 3.0, None), (5, 133.7, 15.9, 33.1, None), (6, 60.0, 0.0, 16.0, None), (7, 300.0, 2.0, 0.1, None)]
@@ -73,3 +77,12 @@ def test_documents_are_parsed_in_slices(spark):
     docs = spark.range(3000).select("id", F.try_parse_json(F.concat(F.lit('{"n":'), F.col("id").cast("string"), F.lit(',"t":"'), F.repeat(F.lit("ab"), 600), F.lit('"}'))).alias("v"))
     got = docs.select("id", D.over(lambda d: d["n"] * 2, "long", "v").alias("m"))
     assert got.where("m = id * 2").count() == 3000
+
+
+def test_logs_many_to_a_file(spark, tmp_path):
+    log = lambda i: "starting\n" + json.dumps({"validate_analyzer": [i]})
+    root = str(tmp_path / "logs")
+    spark.range(300).select(F.udf(log)("id").alias("text")).coalesce(2).write.option("lineSep", files.RECORD).text(root)
+    assert len(glob.glob(root + "/part-*")) <= 2
+    docs = files.read_log_json(spark, root, files.RECORD)
+    assert docs.where("raw is not null").select("batch").distinct().count() == 300
