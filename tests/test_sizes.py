@@ -6,10 +6,12 @@ import json
 from pyspark.sql import functions as F
 
 from beatloom.functions import documents as D
+from beatloom.operators import compare as C
 from beatloom.operators import events as E
 from beatloom.operators import grid as G
 from beatloom.operators import metrics as M
 from beatloom.operators import notes as N
+from beatloom.plans import catalog_charts as Q
 from beatloom.sources import files
 
 SUMMARY = "track_id long, tempo_bpm double, downbeat_offset double, duration_seconds double, confidence double"
@@ -86,3 +88,13 @@ def test_logs_many_to_a_file(spark, tmp_path):
     assert len(glob.glob(root + "/part-*")) <= 2
     docs = files.read_log_json(spark, root, files.RECORD)
     assert docs.where("raw is not null").select("batch").distinct().count() == 300
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_joins_of_charts_and_reports_are_no_broadcasts(spark):
+    r = Q.reports(spark, SF)
+    assert not broadcasts(r)
+    assert not broadcasts(C.compare(r, r))
+    assert not broadcasts(C.join_baseline(r, r))
