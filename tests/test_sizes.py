@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from beatloom.functions import documents as D
 from beatloom.operators import compare as C
+from beatloom.operators import corpus as P
 from beatloom.operators import events as E
 from beatloom.operators import grid as G
 from beatloom.operators import metrics as M
 from beatloom.operators import notes as N
 from beatloom.plans import catalog_charts as Q
+from beatloom.plans import views as V
 from beatloom.sources import files
 
 SUMMARY = "track_id long, tempo_bpm double, downbeat_offset double, duration_seconds double, confidence double"
@@ -98,3 +100,10 @@ def test_joins_of_charts_and_reports_are_no_broadcasts(spark):
     assert not broadcasts(r)
     assert not broadcasts(C.compare(r, r))
     assert not broadcasts(C.join_baseline(r, r))
+
+
+def test_joins_of_a_corpus_are_no_broadcasts(spark):
+    e, s, n = V.expectations(spark, SF), V.songs(spark, SF), V.measures(spark, SF).withColumn("note_count", F.lit(1))
+    r = Q.reports(spark, SF).withColumn("comparison", F.lit("stable"))
+    for df in (*P.join_expectations(e, V.charts(spark, SF)), P.lint(s, e), P.tag_summary(e, r, s), P.difficulty_summary(e, r), P.render_results(r, s, n)):
+        assert not broadcasts(df)
