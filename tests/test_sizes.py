@@ -107,3 +107,8 @@ def test_joins_of_a_corpus_are_no_broadcasts(spark):
     r = Q.reports(spark, SF).withColumn("comparison", F.lit("stable"))
     for df in (*P.join_expectations(e, V.charts(spark, SF)), P.lint(s, e), P.tag_summary(e, r, s), P.difficulty_summary(e, r), P.render_results(r, s, n)):
         assert not broadcasts(df)
+
+
+def test_tracks_stay_dealt_over_a_fixed_number_of_tasks(spark):
+    beats = V.beats(spark, SF).groupBy("track_id", "n").count()
+    assert "REPARTITION_BY_NUM" in beats._jdf.queryExecution().executedPlan().toString()
