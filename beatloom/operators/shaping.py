@@ -184,10 +184,10 @@ def shape_events(events: DataFrame) -> DataFrame:
     return shape_collapsed(E.collapse_duplicates(events))
 
 
-def drum_events(hits: DataFrame, grid: DataFrame, beats: DataFrame | None = None) -> DataFrame:
+def drum_events(hits: DataFrame, grid: DataFrame, beats: DataFrame | None = None, regular: DataFrame | None = None) -> DataFrame:
     """Final events per track (G5): quantize, shape; tracks left empty get the groove."""
     usable = hits.where(F.col("onset_seconds").isNotNull() & F.col("lane").isNotNull())
-    shaped = shape_events(E.quantize(usable, grid, beats)).drop("drift_seconds")
+    shaped = shape_events(E.quantize(usable, grid, beats, regular)).drop("drift_seconds")
     shaped = shaped.withColumn("event_id", F.col("event_id").cast("string"))
     return with_groove(shaped, grid)
 

@@ -112,3 +112,23 @@ def test_joins_of_a_corpus_are_no_broadcasts(spark):
 def test_tracks_stay_dealt_over_a_fixed_number_of_tasks(spark):
     beats = V.beats(spark, SF).groupBy("track_id", "n").count()
     assert "REPARTITION_BY_NUM" in beats._jdf.queryExecution().executedPlan().toString()
+
+
+def test_regular_grids_by_arithmetic_hold_the_grid(spark):
+    s = spark.createDataFrame(TRACKS, SUMMARY)
+    edges = G.fallback_grid(s).select("track_id", F.explode(F.array(F.col("start_seconds"), F.col("start_seconds") + 1e-9, F.col("start_seconds") - 1e-9)).alias("onset_seconds"))
+    spread = spark.range(3000).select((F.col("id") % 9).alias("track_id"), F.when(F.col("id") % 50 != 7, F.col("id") / 30 - 3).alias("onset_seconds"))
+    far = spark.createDataFrame([(i, t) for i in range(1, 8) for t in (-1e9, 1e9, 0.0, None)], "track_id long, onset_seconds double")
+    hits = edges.unionByName(spread).unionByName(far)
+    for most in (None, 9):
+        grid = G.fallback_grid(s) if most is None else G.fallback_grid(s).where(F.col("beat_index") < most)
+        plain, regular = (sorted(map(str, df.collect())) for df in (E.nearest_anchor(hits, grid), E.nearest_anchor(hits, None, regular=G.regular(s, most))))
+        assert plain == regular and len(plain) > 3000
+        at = spark.range(-3, 400).crossJoin(s.select("track_id")).select("track_id", F.when(F.col("id") % 9 != 5, F.col("id")).cast("int").alias("onset_subdivision_index"))
+        plain, regular = (sorted(map(str, df.collect())) for df in (N.note_anchor(at, grid), N.note_anchor(at, None, regular=G.regular(s, most))))
+        assert plain == regular and len(plain) == 403 * len(TRACKS)
+
+
+def test_hits_and_notes_move_no_slots(spark):
+    plan = V.notes_base(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "anchors" not in plan and "slots" not in plan and "BroadcastHashJoin [track_id" not in plan
