@@ -132,3 +132,12 @@ def test_regular_grids_by_arithmetic_hold_the_grid(spark):
 def test_hits_and_notes_move_no_slots(spark):
     plan = V.notes_base(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "anchors" not in plan and "slots" not in plan and "BroadcastHashJoin [track_id" not in plan
+
+
+def test_preview_changes_make_each_side_once(spark):
+    schema = "chart_id long, line string"
+    base = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, None), (None, "x"), (3, "q")], schema)
+    cand = spark.createDataFrame([(1, "b"), (1, "c"), (1, "c"), (2, None), (None, "y"), (None, "x")], schema)
+    got = C.preview_changes(base, cand, ["chart_id"])
+    assert sorted(map(tuple, got.select("chart_id", "change", "line").fillna(-1).collect())) == [(-1, "added", "y"), (1, "added", "c"), (1, "removed", "a"), (3, "removed", "q")]
+    assert got._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 2
