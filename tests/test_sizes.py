@@ -141,3 +141,18 @@ def test_preview_changes_make_each_side_once(spark):
     got = C.preview_changes(base, cand, ["chart_id"])
     assert sorted(map(tuple, got.select("chart_id", "change", "line").fillna(-1).collect())) == [(-1, "added", "y"), (1, "added", "c"), (1, "removed", "a"), (3, "removed", "q")]
     assert got._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 2
+
+
+def test_summaries_make_no_reports_they_do_not_count(spark, monkeypatch):
+    cuts = []
+
+    def counted(df):
+        cuts.append(1)
+        return df
+
+    for module in (P, Q):
+        monkeypatch.setattr(module, "cut", counted)
+    for query, most in ((Q.a13, 1),):
+        cuts.clear()
+        query(spark, SF)
+        assert len(cuts) <= most  # notes of the candidates
