@@ -15,6 +15,7 @@ from beatloom.operators import notes as N
 from beatloom.plans import catalog_charts as Q
 from beatloom.plans import views as V
 from beatloom.sources import files
+from beatloom.streaming import jobs as J
 
 SUMMARY = "track_id long, tempo_bpm double, downbeat_offset double, duration_seconds double, confidence double"
 TRACKS = [(1, 120.0, 0.0, 72.0, None), (2, None, 0.3, None, 0.5), (3, 97.0, 1.7, 40.3, None), (4, 0.2, -1.0, 3.0, None), (5, 133.7, 15.9, 33.1, None), (6, 60.0, 0.0, 16.0, None), (7, 300.0, 2.0, 0.1, None)]
@@ -156,3 +157,25 @@ def test_summaries_make_no_reports_they_do_not_count(spark, monkeypatch):
         cuts.clear()
         query(spark, SF)
         assert len(cuts) <= most  # notes of the candidates
+
+
+def test_streamed_charts_take_few_batches_and_few_tasks(spark, tmp_path, monkeypatch):
+    root, out, seen = tmp_path / "in", str(tmp_path / "out"), []
+    root.mkdir()
+    for i in range(60):
+        (root / f"clip-{i}.json").write_text('{"beats":[0.5]}')
+
+    def charts(batch):
+        seen.append((batch.rdd.getNumPartitions(), batch.sparkSession.conf.get(J.LISTING)))
+        ids = batch.select(F.col("track_id").alias("chart_id"))
+        return {"charts": ids, "measures": ids, "notes": ids}
+
+    monkeypatch.setattr(J.C, "generate_charts", charts)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8m")
+    try:
+        J.stream_charts(spark, str(root), out, out + "-checkpoint", files_per_batch=20, bytes_per_batch=1 << 20).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(seen) == 1 and seen[0][0] <= 8 and int(seen[0][1]) == 32
+    assert spark.read.parquet(out + "/charts").select("chart_id").distinct().count() == 60
