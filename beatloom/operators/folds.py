@@ -66,7 +66,9 @@ def with_segments(base: DataFrame, cuts: DataFrame, cut: list[str]) -> DataFrame
     w = Window.partitionBy("track_id").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
     own = F.when(F.col(cut[0]).isNotNull(), F.col("__c"))
     prior = F.coalesce(F.last(own, ignorenulls=True).over(w), F.lit(-(1 << 62)))
-    return base.join(cuts.select("track_id", "__c", own.alias("own"), prior.alias("prior"), *cut), ["track_id", "__c"])
+    cuts = cuts.select("track_id", "__c", own.alias("own"), prior.alias("prior"), *cut)
+    # never a broadcast: there are as many cuts as chunks, whatever Spark makes of their size
+    return base.join(cuts.hint("merge"), ["track_id", "__c"])
 
 
 def entered(tables: DataFrame, state: str, start: str, step: Callable[[str, str], str], alt: Callable[[str, str], str]) -> DataFrame:
@@ -192,7 +194,7 @@ def last_kept_runs(rows: DataFrame) -> DataFrame:
     way = lambda s, t: A.let(alt(s, t), lambda k: f"get({A.only(t, lambda x: f'{x}.alt = {k}')}, 0)")
     step = lambda s, t: A.let(way(s, t), lambda x: f"named_struct('last', {x}.last, 'run', coalesce({x}.run, {s}.run))")
     known = entered(table, "struct<last:bigint,run:bigint>", "named_struct('last', -1, 'run', null)", step, alt)
-    out = folded.where(F.col("n").isNotNull()).join(known, ["track_id", "seg"])
+    out = folded.where(F.col("n").isNotNull()).join(known.hint("merge"), ["track_id", "seg"])
     out = out.where(F.col("alt").isNull() | (F.col("alt") == F.col("real")))
     return out.select("track_id", "n", "v", F.coalesce("run", "entry.run").alias("run"))
 
@@ -369,5 +371,5 @@ def match_sides(both: DataFrame, tolerance: float) -> DataFrame:
     table = folded.where(F.col("kind") == "state").groupBy("track_id", "seg").agg(F.collect_list(F.struct("alt", F.col("primary_pos").alias("exit"))).alias("t"))
     step = lambda s, t: f"get({A.only(t, lambda x: f'{x}.alt = {s}')}, 0).exit"
     known = entered(table, "bigint", "0", step, lambda s, t: s)
-    out = folded.where(F.col("kind") != "state").join(known, ["track_id", "seg"])
+    out = folded.where(F.col("kind") != "state").join(known.hint("merge"), ["track_id", "seg"])
     return out.where(F.col("alt").isNull() | (F.col("alt") == F.col("real"))).drop("seg", "alt", "entry", "real")

@@ -9,10 +9,12 @@ from beatloom.functions import documents as D
 from beatloom.operators import compare as C
 from beatloom.operators import corpus as P
 from beatloom.operators import events as E
+from beatloom.operators import folds
 from beatloom.operators import grid as G
 from beatloom.operators import metrics as M
 from beatloom.operators import notes as N
 from beatloom.operators import ordered as O
+from beatloom.operators import signal as SG
 from beatloom.plans import catalog_charts as Q
 from beatloom.plans import views as V
 from beatloom.sources import files
@@ -197,3 +199,10 @@ def test_nearest_beats_and_their_medians_are_no_broadcasts(spark):
     assert not broadcasts(O.median(beats, "start_seconds"))
     chunked = beats.withColumn("__c", O.time_chunk("start_seconds"))
     assert not broadcasts(O.row_index(chunked, ["track_id"], ["start_seconds"], "__c", "i"))
+
+
+def test_folds_over_located_hits_are_no_broadcasts(spark):
+    hits, beats = exploded(spark)
+    assert not broadcasts(SG.dedupe_same_lane(E.nearest_beat(hits, beats)))
+    sides = hits.select("track_id", F.col("onset_seconds").alias("t"), (F.col("event_id") % 2).alias("side"), F.col("event_id").alias("pos"))
+    assert not broadcasts(folds.match_sides(sides, 0.05))
