@@ -206,3 +206,7 @@ def test_folds_over_located_hits_are_no_broadcasts(spark):
     assert not broadcasts(SG.dedupe_same_lane(E.nearest_beat(hits, beats)))
     sides = hits.select("track_id", F.col("onset_seconds").alias("t"), (F.col("event_id") % 2).alias("side"), F.col("event_id").alias("pos"))
     assert not broadcasts(folds.match_sides(sides, 0.05))
+
+
+def test_weak_hits_are_no_broadcasts(spark):
+    assert not broadcasts(SG.filter_weak(E.nearest_beat(*exploded(spark))))
