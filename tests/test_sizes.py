@@ -210,3 +210,12 @@ def test_folds_over_located_hits_are_no_broadcasts(spark):
 
 def test_weak_hits_are_no_broadcasts(spark):
     assert not broadcasts(SG.filter_weak(E.nearest_beat(*exploded(spark))))
+
+
+def test_promoted_kicks_are_no_broadcasts(spark):
+    hits, beats = exploded(spark)
+    located = hits.withColumns({"nearest_index": F.col("event_id"), "beat_distance": F.lit(0.2), "beat_interval": F.lit(0.5)})
+    got = SG.promote_kicks(located)
+    assert not broadcasts(got)
+    # 34 snares in each track but the last, none near a beat: the strongest 32 percent, 11 of each
+    assert [tuple(r) for r in got.where("promoted").groupBy("track_id").count().orderBy("track_id").collect()] == [(t, 11) for t in range(5)]
