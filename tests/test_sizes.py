@@ -16,6 +16,7 @@ from beatloom.operators import notes as N
 from beatloom.operators import ordered as O
 from beatloom.operators import signal as SG
 from beatloom.plans import catalog_charts as Q
+from beatloom.plans import catalog_sources as CS
 from beatloom.plans import views as V
 from beatloom.sources import files
 from beatloom.streaming import jobs as J
@@ -219,3 +220,14 @@ def test_promoted_kicks_are_no_broadcasts(spark):
     assert not broadcasts(got)
     # 34 snares in each track but the last, none near a beat: the strongest 32 percent, 11 of each
     assert [tuple(r) for r in got.where("promoted").groupBy("track_id").count().orderBy("track_id").collect()] == [(t, 11) for t in range(5)]
+
+
+def test_streams_are_written_by_all_tasks_and_read_in_parts(spark, tmp_path):
+    root, seen = str(tmp_path / "in"), []
+    df = spark.range(0, 900, numPartitions=6).select("id", F.concat(F.lit("k"), "id").alias("name"))
+    s = CS.as_stream(df, root)
+    assert len(glob.glob(root + "/part-*")) == 18
+    keep = lambda batch, i: seen.append([r.id for r in batch.collect()])
+    s.writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 3 and all(200 < len(x) < 400 for x in seen)
+    assert sorted(sum(seen, [])) == list(range(900))
